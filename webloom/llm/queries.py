@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import exact_dedup, ngram_join
+from webloom.llm import exact_dedup, ngram_join, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,29 @@ FROM n WINDOW w AS (PARTITION BY t)
 @query
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components_of(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+RULES = [url_filter.Rule("net", "", False), url_filter.Rule("example.net", "en/", True), url_filter.Rule("example.com", "de/", False), url_filter.Rule("org", "fr/", True)]
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
+
+
+ORACLES["op4_url_filter"] = r"""
+WITH u AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r(h, p, verdict) AS (VALUES ('net', '', 'block'), ('example.net', 'en/', 'allow'), ('example.com', 'de/', 'block'), ('org', 'fr/', 'allow'))
+SELECT page_id, host, path, arg_max(h || '/' || p, length(h || '/' || p)) AS rule, coalesce(arg_max(verdict, length(h || '/' || p)), 'allow') AS verdict
+FROM u LEFT JOIN r ON ('.' || host) LIKE ('%.' || h) AND starts_with(path, '/' || p)
+GROUP BY page_id, host, path
+"""
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
