@@ -59,8 +59,9 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def partitions_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     """At least the session's shuffle partitions, and enough for bytes_each of the plan's estimated size."""
     spark = df.sparkSession
-    size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, math.ceil(size / bytes_each)))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # sources without statistics count as endless
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bytes_each) if known else 1)
 
 
 def column_or_null(df: DataFrame, name: str, kind: str):

@@ -76,9 +76,14 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit content hashes of byte spans, from one running sum over all bytes."""
-    p, q = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_TABLE[data] * p[: len(data)], out=total[1:])
+    return value_hashes(_TABLE[data], starts, ends)
+
+
+def value_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span_hashes for a random 64-bit value per position."""
+    p, q = _powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * p[: len(values)], out=total[1:])
     return mix((total[ends] - total[starts]) * q[starts])
 
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import exact_dedup, ngram_join, secret_scan, url_filter
+from webloom.llm import exact_dedup, importance, ngram_join, packing, secret_scan, token_table, url_filter
+from webloom.llm._common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +64,20 @@ GROUP BY page_id, host, path
 @query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op3_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "token-table")
+    token_table.write(table(spark, sf_dir, "documents"), folder)
+    return token_table.read(spark, folder, digest_only=True)
+
+
+@query
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "weight", "kept")
+
+
+@query
+def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.sequences(table(spark, sf_dir, "documents")))

@@ -217,9 +217,9 @@ def _any(tests: list, none):
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from scan()'s spans."""
     line = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    of = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda x: x["kind"] != "random")
-    n = {k: F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long") for k in KINDS}
-    return found.select("doc_id", *[n[k].alias(f"n_{k}") for k in KINDS], F.sha2(line(base), 256).alias("base_sha256"), line("spans").alias("spans"))
+    return found.select("doc_id", *map(of, KINDS), F.sha2(line(base), 256).alias("base_sha256"), line("spans").alias("spans"))
 
 
 def drop_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = Q) -> DataFrame:
