@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import exact_dedup, importance, ngram_join, packing, secret_scan, token_table, url_filter
+from webloom.llm import exact_dedup, importance, ngram_join, packing, piece_codec, secret_scan, token_table, url_filter
 from webloom.llm._common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.sequences(table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.table_of(table(spark, sf_dir, "documents"))
