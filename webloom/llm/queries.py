@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import exact_dedup, importance, line_labels, ngram_join, packing, piece_codec, secret_scan, token_table, url_filter
+from webloom.llm import exact_dedup, importance, line_dedup, line_labels, ngram_join, packing, piece_codec, secret_scan, token_table, url_filter
 from webloom.llm._common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_labels.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key")
+
+
+@query
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
