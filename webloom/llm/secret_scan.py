@@ -11,9 +11,9 @@ characters), hex (runs of 32 or more of 0-9a-f). The method adds kind random:
    own length: (a) chi-squared distance from uniform use of the encoding's
    alphabet, under text a noncentral chi-squared variable (its normal
    approximation); (b) runs of character classes (letter or digit, and case), of
-   which text has few: a binomial tail; (c) lag-1 serial correlation of alphabet
-   positions, high for text, 0 for random strings. Small p: not text. The three
-   are joined by Fisher's method.
+   which text has fewer: a binomial tail. Small p: not text. The two are joined by
+   Fisher's method. (c) A candidate whose lag-1 serial correlation of alphabet
+   positions can't be told from SERIAL or more (sequences, repeats) has p = 1.
 3. Benjamini-Hochberg at rate Q over all candidates of the corpus, separately in
    each band of lengths, on a grid of p-values (0.1 in log10, rounded towards 1,
    so the control stays on the safe side). The table of counts has a fixed size,
@@ -49,9 +49,10 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 #: Level of false discoveries among added spans.
 Q = 0.01
-#: Text-likeness under the hypothesis: noncentrality per character (sum of (p - 1/k)^2 * k for letter use in prose
-#: is over 1), chance that the next character is of another class, serial correlation.
-UNEVEN, TURNS, SERIAL = 0.6, 0.25, 0.6
+#: Text-likeness under the hypothesis: noncentrality per character (k * sum of p^2 - 1 for identifiers made of words, least
+#: for 16 characters and more by STEP for each further one), chance that the next character is of another class, serial
+#: correlation of structured strings and the level of its test.
+UNEVEN, STEP, TURNS, SERIAL, LEVEL = 0.6, 0.0184, 0.45, 0.6, 0.02
 #: Length bands (upper ends) and grid cells of -log10 p.
 BANDS = (23, 27, 31, 39, 47, 63, 95, 127, 255, 511, 1 << 62)
 CELLS, CELL = 3000, 0.1
@@ -107,7 +108,7 @@ def battery(s: str) -> tuple[float, float, float] | None:
     counts = np.bincount(x.astype(int), minlength=k)
     chi = float(((counts - n / k) ** 2).sum() * k / n)
     # Under text: noncentral chi-squared with k - 1 degrees and noncentrality n * UNEVEN, by Sankaran's cube-root normal.
-    f, lam = k - 1, n * UNEVEN * k / 16
+    f, lam = k - 1, n * (UNEVEN + STEP * (k - 16))
     h = 1 - 2 * (f + lam) * (f + 3 * lam) / (3 * (f + 2 * lam) ** 2)
     p, m = (f + 2 * lam) / (f + lam) ** 2, (h - 1) * (1 - 3 * h)
     z = ((chi / (f + lam)) ** h - (1 + h * p * (h - 1 - 0.5 * (2 - h) * m * p))) / (h * math.sqrt(2 * p) * (1 + 0.5 * m * p))
@@ -128,12 +129,17 @@ def fisher(ps: tuple[float, ...]) -> float:
     return max(0.0, half / math.log(10) - math.log10(tail))
 
 
+def joint(ps: tuple[float, float, float]) -> float:
+    """-log10 of a candidate's p-value."""
+    return 0.0 if ps[2] > LEVEL else fisher(ps[:2])
+
+
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, length band, grid cell) of each run that was tested."""
     out = []
     for m in CANDIDATE.finditer(text):
         if (ps := battery(m[0])) is not None:
-            out.append((m.start(), m.end(), next(i for i, top in enumerate(BANDS) if m.end() - m.start() <= top), min(CELLS, int(fisher(ps) / CELL))))
+            out.append((m.start(), m.end(), next(i for i, top in enumerate(BANDS) if m.end() - m.start() <= top), min(CELLS, int(joint(ps) / CELL))))
     return out
 
 
