@@ -12,13 +12,14 @@ marks, white space outside ASCII, or a special token's string go through the
 library whole.
 
 Shard layout (little-endian unless said):
-- blocks of about BLOCK bytes: entries (shared u32, rest u32, length u32, key
-  rest, value). A key is doc_id in 8 big-endian bytes, sign bit flipped, after a
+- blocks of about BLOCK bytes, each compressed by zstd: entries (shared u32, rest
+  u32, length u32, key rest, value). A key is doc_id in 8 big-endian bytes, sign bit flipped, after a
   byte 1 (a single byte 0 for a null doc_id), then a 4-byte sequence number for
   repeated keys; shared counts the bytes it has in common with the key before it
-  in the block, whose first key is whole. A value is the ids as u32.
-- index: for each block its offset u64, size u32, first row u64, first token
-  u64, and first key (u16 length and bytes); then the last key.
+  in the block, whose first key is whole. A value is a byte with the width of its
+  ids, 2 or 4, and the ids.
+- index: for each block its offset u64, stored size u32, size u32, first row u64,
+  first token u64, and first key (u16 length and bytes); then the last key.
 - Bloom filter over doc_id keys, 10 bits a key, 7 hash functions.
 - footer, 64 bytes: offsets and sizes of index and filter (4 u64), rows u64,
   tokens u64, blocks u32, version u32, magic of 8 bytes.
@@ -55,9 +56,10 @@ from webloom.llm._common import map_arrow, partitions_for
 from webloom.llm._text import U64, column, mix, slices, value_hashes
 
 MAGIC, VERSION, BLOCK, FOOTER = b"WLTOKSST", 1, 1 << 16, struct.Struct("<4Q2Q2I8s")
-INDEX_ENTRY, ENTRY = struct.Struct("<QIQQH"), struct.Struct("<3I")
+INDEX_ENTRY, ENTRY = struct.Struct("<QIIQQH"), struct.Struct("<3I")
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 END_ID = 2
+CODEC = pa.Codec("zstd", compression_level=1)
 
 # Classes of code points for cutting: letter, number, white space, other, and those that go through the library.
 _L, _N, _S, _O, _RARE = range(5)
@@ -103,7 +105,8 @@ class Encoder:
     def encode_slice(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids of the slice's texts in order, where each text's ids begin, with the end)."""
         texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offs[:-1], offs[1:], strict=True)]
-        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        joined = "".join(texts)
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         kind = np.full(len(code), _RARE, np.uint8)
         low = code < 1 << 16
@@ -121,7 +124,7 @@ class Encoder:
             if len(whole):
                 keep = ~np.isin(text, whole)
                 starts, ends, text = starts[keep], ends[keep], text[keep]
-            which = self._lookup(code, starts, ends)
+            which = self._lookup(joined, code, starts, ends)
             n = self.begin[which + 1] - self.begin[which]
             at = np.concatenate([[0], np.cumsum(n)])
             flat = self.flat[np.repeat(self.begin[which] - at[:-1], n) + np.arange(at[-1])]
@@ -132,7 +135,7 @@ class Encoder:
                 parts[i] = flat[bounds[i] : bounds[i + 1]]
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
-    def _lookup(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _lookup(self, joined: str, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Index into ids of each piece; new pieces are encoded by the library."""
         h = value_hashes(mix(code.astype(U64) + U64(1)), starts, ends)
         distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
@@ -142,7 +145,8 @@ class Encoder:
         known = self.known
         missing = [i for i, k in enumerate(keys) if k not in known]
         if missing:
-            texts = [code[starts[where[i]] : ends[where[i]]].tobytes().decode("utf-32-le", "surrogatepass") for i in missing]
+            at = where[missing]
+            texts = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
             new = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
             known.update((keys[i], len(self.begin) - 1 + j) for j, i in enumerate(missing))
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(new), np.uint32)])
@@ -203,6 +207,15 @@ def _key(doc_id: int | None) -> bytes:
     return b"\0" if doc_id is None else b"\1" + struct.pack(">Q", (doc_id + (1 << 63)) % (1 << 64))
 
 
+def _pack(ids: np.ndarray) -> bytes:
+    narrow = not len(ids) or int(ids.max()) < 1 << 16
+    return (b"\2" + ids.astype("<u2").tobytes()) if narrow else b"\4" + ids.astype("<u4").tobytes()
+
+
+def _unpack(value: bytes) -> np.ndarray:
+    return np.frombuffer(value, f"<u{value[0]}", offset=1).astype("<u4")
+
+
 def _bloom_places(key: bytes, bits: int) -> list[int]:
     a, b = zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
     return [(a + i * b) % bits for i in range(BLOOM_HASHES)]
@@ -226,7 +239,7 @@ class ShardWriter:
             self.first_key, self.first_row, self.first_token, shared = full, self.rows, self.tokens, 0
         else:
             shared = len(os.path.commonprefix([self.last, full]))
-        value = ids.astype("<u4").tobytes()
+        value = _pack(ids)
         self.block += ENTRY.pack(shared, len(full) - shared, len(value)) + full[shared:] + value
         self.last, self.rows, self.tokens = full, self.rows + 1, self.tokens + len(ids)
         if len(self.block) >= BLOCK:
@@ -234,14 +247,15 @@ class ShardWriter:
 
     def _flush(self) -> None:
         if self.block:
-            self.index.append((self.at, len(self.block), self.first_row, self.first_token, self.first_key))
-            self.out.write(bytes(self.block))
-            self.at += len(self.block)
+            stored = CODEC.compress(bytes(self.block), asbytes=True)
+            self.index.append((self.at, len(stored), len(self.block), self.first_row, self.first_token, self.first_key))
+            self.out.write(stored)
+            self.at += len(stored)
             self.block = bytearray()
 
     def finish(self) -> None:
         self._flush()
-        index = b"".join(INDEX_ENTRY.pack(a, n, r, t, len(k)) + k for a, n, r, t, k in self.index) + struct.pack("<H", len(self.last)) + self.last
+        index = b"".join(INDEX_ENTRY.pack(*entry, len(k)) + k for *entry, k in self.index) + struct.pack("<H", len(self.last)) + self.last
         bits = max(64, len(self.keys) * BLOOM_BITS)
         bloom = np.zeros(bits, bool)
         for key in self.keys:
@@ -274,10 +288,13 @@ class ShardReader:
         self.file.seek(at)
         return self.file.read(n)
 
+    def _block(self, i: int) -> bytes:
+        at, stored, size, *_ = self.index[i]
+        return CODEC.decompress(self._read(at, stored), size, asbytes=True)
+
     def block(self, i: int) -> Iterator[tuple[int | None, np.ndarray]]:
-        at, n, *_ = self.index[i]
-        for key, value in self._entries(self._read(at, n)):
-            yield (None if key[0] == 0 else struct.unpack(">Q", key[1:9])[0] - (1 << 63)), np.frombuffer(value, "<u4")
+        for key, value in self._entries(self._block(i)):
+            yield (None if key[0] == 0 else struct.unpack(">Q", key[1:9])[0] - (1 << 63)), _unpack(value)
 
     @staticmethod
     def _entries(raw: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -305,8 +322,7 @@ class ShardReader:
         i = max(0, bisect.bisect_right(self.firsts, key) - 1)
         out = []
         while i < len(self.index) and self.firsts[i][: len(key)] <= key:
-            at, n, *_ = self.index[i]
-            out += [np.frombuffer(v, "<u4") for k, v in self._entries(self._read(at, n)) if k[:-4] == key]
+            out += [_unpack(v) for k, v in self._entries(self._block(i)) if k[:-4] == key]
             i += 1
         return out
 
@@ -364,7 +380,7 @@ def _read_task(folder: str, digest_only: bool):
                 with store.open_input_file(f"{path}/{file}") as f:
                     reader = ShardReader(f, f.size())
                     for b in range(len(reader.index)):
-                        at = start + reader.index[b][3]
+                        at = start + reader.index[b][4]
                         ids, starts, sizes, values = [], [], [], []
                         for doc_id, tokens in reader.block(b):
                             ids.append(doc_id)
