@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,7 +87,7 @@ def json_ld_of(head: Column) -> Column:
 
 
 def extract_metadata(html: Column, json_ld: bool = True) -> Column:
-    """Struct of all metadata of a page."""
+    """Struct of all metadata of a page, as one expression. with_metadata() plans the same in steps, each pattern once."""
     head = head_of(html)
     return F.struct(
         title_of(head).alias("title"),
@@ -100,3 +100,23 @@ def extract_metadata(html: Column, json_ld: bool = True) -> Column:
         twitter_of(head).alias("twitter"),
         (json_ld_of(head) if json_ld else F.lit(None).cast("array<string>")).alias("json_ld"),
     )
+
+
+def with_metadata(pages: DataFrame, html: str = "html", name: str = "metadata") -> DataFrame:
+    """pages with the metadata struct (null where html is): the head is cut once, raw fields are taken once, then structs are put together."""
+    cut = pages.withColumn("_head", head_of(F.col(html)))
+    h = F.col("_head")
+    raw = {"title": title_of(h), "meta_description": meta_content(h, "name", "description"), "canonical_url": canonical_of(h), "language": language_of(F.col(html)), "author": meta_content(h, "name", "author"), "robots": meta_content(h, "name", "robots")}
+    raw |= {f"og_{n}": meta_content(h, "property", f"og:{n}") for n in OG_FIELDS}
+    raw |= {f"tn_{n}": meta_content(h, "name", f"twitter:{n}") for n in TWITTER_FIELDS} | {f"tp_{n}": meta_content(h, "property", f"twitter:{n}") for n in TWITTER_FIELDS}
+    rows = cut.withColumns({f"_m_{k}": c for k, c in raw.items()} | {"_m_json_ld": json_ld_of(h)})
+    m = lambda k: F.col(f"_m_{k}")
+    tw = {n: F.coalesce(m(f"tn_{n}"), m(f"tp_{n}")) for n in TWITTER_FIELDS}
+    og = {n: m(f"og_{n}") for n in OG_FIELDS}
+    built = F.struct(
+        *(m(k).alias(k) for k in ("title", "meta_description", "canonical_url", "language", "author", "robots")),
+        F.when(_any_filled(og, ("title", "description", "image", "url")), F.struct(*(c.alias(n) for n, c in og.items()))).alias("og"),
+        F.when(_any_filled(tw, ("card", "title", "description", "image")), F.struct(*(c.alias(n) for n, c in tw.items()))).alias("twitter"),
+        m("json_ld").alias("json_ld"),
+    )
+    return rows.withColumn(name, F.when(F.col(html).isNotNull(), built)).drop("_head", "_m_json_ld", *(f"_m_{k}" for k in raw))

@@ -136,7 +136,7 @@ def decode_cursor(text: str) -> Cursor:
 
 def short_cursor(state: Column) -> Column:
     """Uncompressed form of a state struct, natively."""
-    return F.base64(F.encode(F.to_json(state), "UTF-8"))
+    return F.regexp_replace(F.base64(F.encode(F.to_json(state), "UTF-8")), "[\\r\\n]", "")
 
 
 def take(frontier: DataFrame, n: int, strategy: str = "bfs") -> DataFrame:

@@ -82,14 +82,14 @@ def extract_images(markdown: Column) -> Column:
     return F.filter(pairs, lambda p, i: (p["url"] != "") & (F.array_position(urls, p["url"]) == i + 1))
 
 
-def with_links(pages: DataFrame, markdown: str = "markdown", url: str = "url") -> DataFrame:
-    """pages with links (array of structs in page order) and images. url must be unique."""
-    table = links_table(pages, markdown, url, [url])
-    key = "page_url" if url == "url" else url
-    lists = table.groupBy(F.col(key).alias("_page")).agg(F.array_sort(F.collect_list(F.struct("pos", "url", "anchor_text", "type", "location"))).alias("_l"))
+def with_links(pages: DataFrame, markdown: str = "markdown", url: str = "url", key: str | None = None) -> DataFrame:
+    """pages with links (array of structs in page order) and images. key (default: the url column) must be unique."""
+    key = key or url
+    rows = pages.select(F.col(key).alias("_page"), F.col(markdown).alias("_md"), F.col(url).alias("_base"))
+    lists = links_table(rows, "_md", "_base", ["_page"]).groupBy("_page").agg(F.array_sort(F.collect_list(F.struct("pos", "url", "anchor_text", "type", "location"))).alias("_l"))
     arrays = lists.select("_page", F.transform("_l", lambda x: F.struct(x["url"].alias("url"), x["anchor_text"].alias("anchor_text"), x["type"].alias("type"), x["location"].alias("location"))).alias("links"))
     none = F.array().cast("array<struct<url:string,anchor_text:string,type:string,location:string>>")
-    joined = pages.join(arrays, pages[url] == arrays["_page"], "left").drop("_page")
+    joined = pages.join(arrays, F.col(key) == F.col("_page"), "left").drop("_page")
     return joined.withColumn("links", F.coalesce("links", none)).withColumn("images", extract_images(F.col(markdown)))
 
 

@@ -130,7 +130,7 @@ def rule_length(pattern: Column) -> Column:
 def is_url_allowed(url: Column, rules: Column, compat_dollar: bool = False) -> Column:
     """Verdict of the longest matching rule (Allow wins ties), true where none matches. url: normalised; rules: array<struct<pattern, allow>>."""
     target = path_and_query(url)
-    hits = F.filter(rules, lambda r: target.rlike(rule_regex(r["pattern"], compat_dollar)))
+    hits = F.filter(rules, lambda r: F.rlike(target, rule_regex(r["pattern"], compat_dollar)))
     return F.coalesce(F.array_max(F.transform(hits, lambda r: F.struct(rule_length(r["pattern"]).alias("n"), r["allow"].alias("allow"))))["allow"], F.lit(True))
 
 
@@ -138,5 +138,5 @@ def allowed_by_join(pages: DataFrame, rules: DataFrame, url: str = "url", host:
     """keys and allowed, from a table of rules (host, pattern, allow): an equi-join on host, the match as its condition, then argmax."""
     keys = keys or [url]
     r = rules.select(F.col("host").alias("_h"), "pattern", "allow", rule_regex(F.col("pattern")).alias("_re"))
-    joined = pages.join(r, (F.col(host) == F.col("_h")) & path_and_query(F.col(url)).rlike(F.col("_re")), "left")
+    joined = pages.join(r, (F.col(host) == F.col("_h")) & F.rlike(path_and_query(F.col(url)), F.col("_re")), "left")
     return joined.groupBy(*keys).agg(F.coalesce(F.max_by("allow", F.when(F.col("allow").isNotNull(), F.struct(rule_length(F.col("pattern")), "allow"))), F.lit(True)).alias("allowed"))

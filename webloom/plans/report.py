@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.metadata import extract_metadata
+from webloom.functions.metadata import with_metadata
 from webloom.functions.render import render_html
 from webloom.functions.text import strip_html_to_text, utf16_length
 from webloom.functions.urls import normalize_url, sitemap_slug, to_relative_path
@@ -16,19 +16,18 @@ from webloom.operators.sitemaps import filter_priority
 FLAT = ("meta_description", "canonical_url", "robots", "author", "language")
 
 
-def page_rows(pages: DataFrame, render: bool = True, metadata: bool = True, strip: tuple[str, ...] = ("css",)) -> DataFrame:
-    """pages (url, html, status_code) with markdown, metadata, links and images. url: normalised and unique."""
+def page_rows(pages: DataFrame, render: bool = True, metadata: bool = True, strip: tuple[str, ...] = ("css",), key: str = "url") -> DataFrame:
+    """pages (url, html, status_code) with markdown, metadata, links and images. url: normalised; key: a unique column."""
     text = render_html(F.col("html"), F.col("url"), "markdown", strip) if render else strip_html_to_text(F.col("html"))
     rows = pages.withColumn("markdown", F.coalesce(text, F.lit("")))
-    if metadata:
-        rows = rows.withColumn("metadata", F.when(F.col("html").isNotNull(), extract_metadata(F.col("html"))))
-    return with_links(rows.drop("html"))
+    return with_links((with_metadata(rows) if metadata else rows).drop("html"), key=key)
 
 
-def page_report(rows: DataFrame, processed_at: Column | None = None) -> DataFrame:
-    """Flat report of page_rows()."""
+def page_report(rows: DataFrame, processed_at: Column | None = None, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Flat report of page_rows(), after the columns to keep."""
     m = F.col("metadata")
     return rows.select(
+        *keep,
         "url",
         F.coalesce(m["title"], F.lit("")).alias("title"),
         *(m[c].alias(c) for c in FLAT),
