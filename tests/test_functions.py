@@ -1,0 +1,172 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from webloom.functions import metadata as M
+from webloom.functions import text as X
+from webloom.functions import urls as U
+from webloom.functions.render import render_html, render_one
+
+PAGE = """<!doctype html><html lang="en-GB"><head>
+<title> A &amp; B&#39;s &quot;page&quot; </title>
+<meta name="description" content="What it is">
+<meta content='Ann' name='author'><meta name="robots" content="index, follow">
+<link rel="canonical" href="https://example.com/a?b=1&amp;c">
+<meta property="og:title" content="OT"><meta property="og:description" content="OD"><meta property="og:image" content="https://example.com/i.png">
+<meta property="og:url" content="https://example.com/a"><meta property="og:type" content="article"><meta property="og:site_name" content="Site">
+<meta name="twitter:card" content="summary"><meta property="twitter:title" content="TT"><meta name="twitter:description" content="TD">
+<meta name="twitter:image" content="https://example.com/t.png"><meta name="twitter:site" content="@s">
+<script type="application/ld+json">{"@type": "Article", "n": 1}</script><script type="application/ld+json">{bad}</script>
+</head><body><p>Hi</p></body></html>"""
+
+
+def one(spark, html, make):
+    return spark.createDataFrame([(html,)], "html string").select(make(F.col("html")).alias("x")).first().x
+
+
+def test_metadata_of_a_full_page(spark):
+    df = spark.createDataFrame([(1, PAGE), (2, "<p>bare</p>"), (3, None), (4, "")], "i int, html string")
+    rows = {r.i: r.metadata for r in M.with_metadata(df).collect()}
+    m = rows[1]
+    assert (m.title, m.meta_description, m.author, m.robots, m.language) == ('A & B\'s "page"', "What it is", "Ann", "index, follow", "en-GB")
+    assert m.canonical_url == "https://example.com/a?b=1&amp;c"
+    assert tuple(m.og) == ("OT", "OD", "https://example.com/i.png", "https://example.com/a", "article", "Site")
+    assert tuple(m.twitter) == ("summary", "TT", "TD", "https://example.com/t.png", "@s")
+    assert [json.loads(x) for x in m.json_ld] == [{"@type": "Article", "n": 1}]
+    assert rows[2].title is None and rows[2].og is None and rows[2].twitter is None and rows[2].json_ld is None
+    assert rows[3] is None and rows[4].title is None
+    assert one(spark, PAGE, M.extract_metadata) == m
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<head><meta name="description" content="it\'s cut"></head>', "it"),
+        ('<head><meta data-name="description" content="x"></head>', "x"),
+        ('<head><meta name="description" content=""></head>', ""),
+        ('<head><meta content="late" name="description"><meta name="description" content="first order wins"></head>', "first order wins"),
+        ("<head></head><meta name='description' content='body'>", None),
+        ("<meta name='description' content='&amp;lt;'>", "&lt;".replace("&lt;", "<")),
+    ],
+)
+def test_meta_quirks(spark, html, want):
+    assert one(spark, html, lambda h: M.meta_content(M.head_of(h), "name", "description")) == want
+
+
+def test_og_and_twitter_need_a_filled_field(spark):
+    assert one(spark, '<meta property="og:type" content="x"><meta property="og:title" content="">', M.open_graph_of) is None
+    assert one(spark, '<meta name="twitter:site" content="@x">', M.twitter_of) is None
+    assert one(spark, '<meta name="twitter:title" content=""><meta property="twitter:title" content="p"><meta name="twitter:card" content="c">', M.twitter_of).title == ""
+
+
+def test_language_takes_the_last_attribute_and_json_is_strict(spark):
+    assert one(spark, '<html lang="en" xml:lang="fr">', M.language_of) == "fr"
+    assert [M.canonical_json(x) for x in ("1 2", "NaN", '{"a":1,"a":2}', "null", " [1] ", "{'a':1}")] == [None, None, '{"a":2}', "null", "[1]", None]
+
+
+def test_strip_text(spark):
+    assert one(spark, "<p>a</p> <p>b</p>﻿", X.strip_html_to_text) == "a b"
+    assert one(spark, "a<script>x</script><style>y</style><br>b  c", X.strip_html_to_text) == "a b c"
+    assert one(spark, "\U0001f600a", X.utf16_length) == 3
+
+
+NORMAL = [
+    ("https://example.com", "https://example.com/"),
+    ("https://example.com/a/#top", "https://example.com/a"),
+    ("https://example.com/a/?q=1#x", "https://example.com/a?q=1"),
+    ("HTTP://EXAMPLE.com:80/A/../b/./c", "http://example.com/b/c"),
+    ("https://example.com:443/x", "https://example.com/x"),
+    ("https://example.com:8443/x/", "https://example.com:8443/x"),
+    ("http://example.com/a//", "http://example.com/a/"),
+    ("http://example.com/%2e%2E/a%20b", "http://example.com/a%20b"),
+    ("http://example.com/a b?c d'e", "http://example.com/a%20b?c%20d%27e"),
+    ("http:\\\\example.com\\a", "http://example.com/a"),
+    ("http:example.com/a", "http://example.com/a"),
+    ("http://bücher.example/ü?ü", "http://xn--bcher-kva.example/%C3%BC?%C3%BC"),
+    ("http://u:p@example.com/", "http://u:p@example.com/"),
+    ("http://192.168.0.257/", ""),
+    ("http://0x7f.1/", "http://127.0.0.1/"),
+    ("http://[::1]:80/a", "http://[::1]/a"),
+    ("http://a_b.example/", "http://a_b.example/"),
+    ("http://example.com/?", "http://example.com/?"),
+    ("  http://example.com/\tx\n ", "http://example.com/x"),
+    ("http://example.com:99999/", ""),
+    ("http://exa mple.com/", ""),
+    ("http://", ""),
+    ("//example.com/a", ""),
+    ("/a", ""),
+    ("ftp://example.com/a", ""),
+    ("mailto:a@b", ""),
+    ("junk", ""),
+    ("", ""),
+]
+
+
+def test_normalize_url(spark):
+    df = spark.createDataFrame([*NORMAL, (None, None)], "u string, want string")
+    bad = [tuple(r) for r in df.withColumn("got", U.normalize_url(F.col("u"))).filter("not (got <=> want)").collect()]
+    assert bad == []
+    plain = [(u, w) for u, w in NORMAL if u.startswith("https://example.com") and ":" not in u[8:]]
+    assert all(U.normalize_one(u) == w for u, w in plain)
+
+
+def test_normalising_twice_changes_nothing_and_native_equals_python(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    seen = []
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.builds(lambda s, h, p, q: f"{s}://{h}{p}{q}", st.sampled_from(["http", "https"]), st.sampled_from(["a.example", "b-c.example.org", "xn--a.com", "1.2.3.4"]), st.text("ab./-~%", max_size=8).map(lambda x: "/" + x), st.sampled_from(["", "?a=1&b", "#f", "?x#y/"])))
+    def collect(url):
+        n = U.normalize_one(url)
+        assert not n or "/?" in n or n.endswith("/") or U.normalize_one(n) == n  # only one trailing slash goes
+        seen.append((url, n))
+
+    collect()
+    df = spark.createDataFrame(seen, "u string, want string")
+    assert df.withColumn("got", U.normalize_url(F.col("u"))).filter("not (got <=> want)").collect() == []
+
+
+def test_globs_and_domains(spark):
+    def matches(url, *patterns):
+        return spark.createDataFrame([(url,)], "u string").select(U.matches_pattern(F.col("u"), list(patterns)).alias("m")).first().m
+
+    assert matches("https://e.com/a/b", "https://e.com/a/*") and not matches("https://e.com/a/b/c", "https://e.com/a/*")
+    assert matches("https://e.com/a/b/c", "https://e.com/**") and not matches("https://e.com/a", "https://f.com/**")
+    assert matches("https://e.com/?a$b", "https://e.com/?a$b") and not matches("https://eXcom/", "https://e.com/") and not matches("x")
+
+    def domain(url, **kw):
+        return spark.createDataFrame([(url,)], "u string").select(U.passes_domain_filter(F.col("u"), "example.com", **kw).alias("m")).first().m
+
+    assert domain("https://example.com/a") and not domain("https://other.com/") and not domain("https://blog.example.com/")
+    assert domain("https://blog.example.com/", subdomains=True) and not domain("https://badexample.com/", subdomains=True) and domain("junk", external=True) and not domain("")
+
+
+def test_hash_is_the_rounded_one(spark):
+    urls = ["", "a", "https://example.com/", "https://example.com/a/b?c=d", "é"]
+    df = spark.createDataFrame([(u, U.url_hash_one(u)) for u in urls], "u string, want long")
+    assert df.select((U.url_hash(F.col("u")) == F.col("want")).alias("ok")).filter("not ok").count() == 0
+    assert U.url_hash_one("") == 2166136261 and U.url_hash_one("https://example.com/1") != U.url_hash_one("https://example.com/2")
+
+
+def test_relative_paths_and_slugs(spark):
+    df = spark.createDataFrame([("https://e.com/a?b", "https://e.com/x"), ("https://f.com/a", "https://e.com/x"), ("junk", "https://e.com/x"), ("https://e.com/s/map.xml?x", "https://e.com:8/")], "u string, b string")
+    rows = df.select(U.to_relative_path(F.col("u"), F.col("b")).alias("r"), U.sitemap_slug(F.col("u")).alias("s")).collect()
+    assert [(r.r, r.s) for r in rows] == [("/a?b", "a"), ("https://f.com/a", "a"), ("junk", "sitemap.xml"), ("https://e.com/s/map.xml?x", "map.xml")]
+
+
+def test_render(spark):
+    html = '<html><head><title>t</title></head><body><nav><a href="/n">Nav</a></nav><h2>Head &amp; <em>it</em></h2><p>One<br>two <b>b</b></p><ul><li>x<li>y</ul><img src="i.png" alt="A"><a href="../up"><code>c</code></a><script>no</script></body></html>'
+    md = render_one(html, "https://e.com/d/p", "markdown", ())
+    assert "[Nav](https://e.com/n)" in md and "## Head & *it*" in md and "One\ntwo **b**" in md and "- x\n- y" in md and "![A](https://e.com/d/i.png)" in md and "[`c`](https://e.com/up)" in md and "no" not in md.replace("nope", "")
+    assert "Nav" not in render_one(html, "https://e.com/d/p", "markdown", ("ui",))
+    assert render_one("<div role=main>a<b>c</b></div>", "", "semantic_tree", ()) == "div role='main'\n  \"a\"\n  b\n    \"c\""
+    assert render_one("<div>a<b>c</b></div>", "", "semantic_tree_text", ()) == "  a\n    c"
+    got = one(spark, "<style>x</style><script>y</script><nav>n</nav>z", lambda h: render_html(h, F.lit(""), "html", ["js", "css"]))
+    assert got == "<nav>n</nav>z"
+    with pytest.raises(ValueError):
+        render_html(F.col("h"), F.col("u"), "pdf")
+    with pytest.raises(ValueError):
+        render_html(F.col("h"), F.col("u"), "html", ["images"])

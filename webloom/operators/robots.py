@@ -128,7 +128,7 @@ def rule_length(pattern: Column) -> Column:
 
 
 def is_url_allowed(url: Column, rules: Column, compat_dollar: bool = False) -> Column:
-    """Verdict of the longest matching rule (Allow wins ties), true where none matches. url: normalised; rules: array<struct<pattern, allow>>."""
+    """Verdict of the longest matching rule (Allow wins ties), true where none matches. url: a column of normalised URLs (Python UDFs can't stand inside the test); rules: array<struct<pattern, allow>>."""
     target = path_and_query(url)
     hits = F.filter(rules, lambda r: F.rlike(target, rule_regex(r["pattern"], compat_dollar)))
     return F.coalesce(F.array_max(F.transform(hits, lambda r: F.struct(rule_length(r["pattern"]).alias("n"), r["allow"].alias("allow"))))["allow"], F.lit(True))
