@@ -51,8 +51,17 @@ def save(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch, where the session has Spark's defaults: texts make batches of 10,000 rows too large.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "8388608")}
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    ship(df.sparkSession)
+    """mapInArrow with this package on the workers and batches of bounded size (a single longer text is its own batch)."""
+    spark = df.sparkSession
+    ship(spark)
+    for name, (default, ours) in BATCH.items():
+        if spark.conf.get(name, default).removesuffix("b") in (default, "64m"):
+            spark.conf.set(name, ours)
     return df.mapInArrow(fn, schema)
 
 
