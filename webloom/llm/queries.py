@@ -96,3 +96,44 @@ def op2_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+# Documents are told apart by doc_id here, which is unique in the tables.
+ORACLES["op1_line_templates"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+m AS (
+  SELECT doc_id, pos, line, list_transform(string_split_regex(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+'),
+    lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks FROM l),
+u AS (SELECT DISTINCT doc_id, toks FROM m WHERE toks[1] <> ''),
+recurring AS (SELECT toks FROM u GROUP BY toks HAVING count(*) >= 10),
+rest AS (SELECT doc_id, toks, len(toks) AS n, toks[1:2] AS lead FROM u WHERE toks NOT IN (SELECT toks FROM recurring)),
+leaf AS (SELECT n, lead, count(*) AS c FROM rest GROUP BY ALL HAVING count(*) >= 10),
+x AS (SELECT doc_id, toks, n, lead, c, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM rest JOIN leaf USING (n, lead)),
+fixed AS (SELECT n, lead, pos, tok, TRUE AS is_fixed FROM x WHERE tok <> '<*>' GROUP BY n, lead, pos, tok HAVING count(*) >= 10 AND count(*) * 100 >= any_value(c)),
+shaped AS (
+  SELECT doc_id, toks, list(CASE WHEN is_fixed THEN tok ELSE '<*>' END ORDER BY pos) AS shape, count(is_fixed) AS k
+  FROM x LEFT JOIN fixed USING (n, lead, pos, tok) GROUP BY doc_id, toks),
+solid AS (SELECT * FROM shaped WHERE 100 * k >= 70 * len(shape)),
+gone AS (
+  SELECT toks FROM recurring UNION
+  SELECT toks FROM solid WHERE shape IN (SELECT shape FROM solid GROUP BY shape HAVING count(DISTINCT doc_id) >= 10))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (toks IN (SELECT toks FROM gone)) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (toks NOT IN (SELECT toks FROM gone)), '')) AS text_sha256
+FROM m GROUP BY doc_id
+"""
+
+ORACLES["op5_ngram_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+t AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.m = e.x)
+SELECT doc_id, CAST(any_value(n.n) AS BIGINT) AS n_shingles, min(m) AS component_id FROM n JOIN r USING (doc_id) GROUP BY doc_id
+"""
