@@ -91,3 +91,26 @@ def test_words_split_at_ascii_space_only():
     text, sh = shingle_sets(data, offs, 3)
     assert text.tolist() == [0, 2, 3]
     assert sh[1] == sh[2] and sh[0] != sh[1]
+
+
+def test_sketch_never_parts_linked_sets():
+    rng = np.random.default_rng(7)
+    for n in (3, 40, 700, 5000, 70_000):
+        base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        sets = [base]
+        for share in (0.02, 0.08, 0.2, 0.6, 1.0):
+            other = base.copy()
+            at = rng.integers(0, len(base), int(share * len(base)))
+            other[at] = rng.integers(0, 2**63, len(at), dtype=np.uint64)
+            sets.append(np.unique(other)[: max(1, int(len(base) * rng.uniform(0.9, 1)))])
+        sizes = np.array([len(x) for x in sets])
+        edges = ngram_join.may_link([ngram_join.sketch(x).tobytes() for x in sets], sizes, 85)
+        part = list(range(len(sets)))
+        for i, j in edges:
+            part = [part[i] if p == part[j] else p for p in part]
+        for i in range(len(sets)):
+            for j in range(i):
+                inter = len(np.intersect1d(sets[i], sets[j]))
+                assert 100 * inter < 85 * (sizes[i] + sizes[j] - inter) or part[i] == part[j]
+        if 100 < n < 10_000:
+            assert part[5] != part[0]  # nothing in common

@@ -9,14 +9,17 @@ hash. Two documents link when 100 * |A & B| >= percent * |A | B|.
    (a + b) * (100 - percent) / (100 + percent) shingles. Sizes fall into bands;
    within a band the hash range is cut into more segments than a linked pair can
    have differences, so some segment is equal in both. A segment's content hash
-   is its signature. A task merges equal sets and equal signatures before the
-   shuffle, so copies and hot passages cost each task one row.
-2. Sets that share a signature are joined to the smallest of them (a star, never
-   all pairs); components of these stars are blocks. No link crosses two blocks.
+   is its signature. A task signs equal sets once, so copies cost each task one
+   set of rows.
+2. Sets that share a signature form groups; equal groups are merged. In a group two
+   sets stay together if their sketches (counts of shingles by low hash bits) allow
+   the overlap that a link needs: the sum of the smaller counts is never below it.
+   That parts documents that only share a passage. Spanning edges of what is left
+   give components, the blocks. No link crosses two blocks.
 3. The sets of a block meet in one task, or, where a block is large, in one task
    for each pair of its pieces. There they are ordered by frequency, then hash, and
-   stored in a trie with compressed paths. A probe walks the trie, sharing the
-   overlap of common prefixes; it leaves a subtree when the overlap so far plus
+   stored in a trie with compressed paths. Probes walk the trie together, sharing the
+   overlaps of common prefixes; a probe leaves a subtree when its overlap so far plus
    what can remain in probe and subtree is below the overlap that a link needs,
    or when the subtree's sets are all known to be connected with the probe.
 4. Links found span the components.
@@ -45,12 +48,7 @@ from webloom.llm._common import attach, components, keyed_filter, map_arrow, sav
 from webloom.llm._text import U64, column, mix, shingle_sets, slices
 
 #: Shingles that one piece of a block may hold; a larger block is cut into pieces that meet in pairs.
-PIECE_SHINGLES = 2_000_000
-
-
-def needed(a: int, b: int, percent: int) -> int:
-    """Least overlap of linked sets of these sizes."""
-    return -(-percent * (a + b) // (100 + percent))
+PIECE_SHINGLES = 400_000
 
 
 class Bands:
@@ -79,14 +77,45 @@ def _keys(text: np.ndarray, sh: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return first, np.diff(first), keys
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Counts (255: or more) of tokens by their low bits: 32 to 4096 buckets, 4 to 8 tokens each on average."""
+    buckets = 32
+    while buckets * 8 < len(tokens) and buckets < 4096:
+        buckets *= 2
+    return np.minimum(np.bincount((tokens & U64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows over the same buckets; a count of 255 may be any."""
+    arrays = [np.frombuffer(x, np.uint8).astype(np.int32) for x in sketches]
+    least = min(map(len, arrays))
+    return np.stack([np.where(a == 255, 1 << 24, a).reshape(-1, least).sum(0) for a in arrays])
+
+
+def may_link(sketches: list[bytes], sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Spanning edges of the graph of sets whose sketches allow a link."""
+    rows, part, edges = _folded(sketches), np.arange(len(sizes)), []
+    for i in range(len(sizes) - 1):
+        other = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+        if not len(other):
+            continue
+        overlap = np.minimum(rows[other], rows[i]).sum(1)
+        for j in other[overlap * (100 + percent) >= percent * (sizes[other] + sizes[i])].tolist():
+            if part[j] != part[i]:
+                part[part == part[j]] = part[i]
+                edges.append((i, j))
+    return edges
+
+
 def _sets_task(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = column(batch, "doc_id"), column(batch, "rep")
             for lo, hi, offs, data in slices(column(batch, "text")):
                 text, sh = shingle_sets(data, offs, k)
-                _, sizes, keys = _keys(text, sh, hi - lo)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(keys, mask=sizes == 0), rows.slice(lo, hi - lo)], ["doc_id", "n_shingles", "set_key", "rep"])
+                first, sizes, keys = _keys(text, sh, hi - lo)
+                sketches = pa.array([sketch(sh[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(keys, mask=sizes == 0), rows.slice(lo, hi - lo), sketches], ["doc_id", "n_shingles", "set_key", "rep", "sketch"])
 
     return run
 
@@ -130,44 +159,59 @@ def _sign_task(k: int, bands: Bands):
                 lower = (own > 0) & (sizes[new] <= bands.reach[np.maximum(own - 1, 0)])
                 parts = [_signatures(first, sizes, sh, bands, new, own), _signatures(first, sizes, sh, bands, new[lower], own[lower] - 1)]
                 who, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield _combined(sig.view(np.int64), keys[who])
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(keys[who])], ["sig", "set_key"])
 
     return run
 
 
-def _combined(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-    """Rows (sig, set_key) with each signature once: further sets under it meet its smallest set under a signature of that pair."""
-    order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
-    head = np.concatenate([[True], sig[1:] != sig[:-1]])
-    hub = key[head][np.cumsum(head) - 1]
-    other = hub != key
-    a, b = _distinct(hub[other], key[other])
-    own = mix(mix(a.view(U64)) + b.view(U64)).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[head], own, own])), pa.array(np.concatenate([key[head], a, b]))], ["sig", "set_key"])
-
+def _groups_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by signature and key. Out: (grp, set_key) for signatures of several sets; grp tells member lists apart."""
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
+    def groups(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+        sig, key = sig[new], key[new]
+        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(sig)))
+        tag = mix(np.add.reduceat(mix(key.view(U64)), start) + size.astype(U64)) if len(start) else np.zeros(0, U64)
+        several = np.repeat(size > 1, size)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(tag, size)[several].view(np.int64)), pa.array(key[several])], ["grp", "set_key"])
 
-
-def _star_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by signature and key: an edge from each signature's smallest set to each other one."""
-    last_sig = last_hub = None
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
     for batch in batches:
-        sig, key = (column(batch, c).to_numpy() for c in ("sig", "set_key"))
+        sig, key = (np.concatenate([h, column(batch, c).to_numpy()]) for h, c in zip(held, ("sig", "set_key"), strict=True))
         if not len(sig):
             continue
-        head = np.concatenate([[last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]])
-        hubs = np.concatenate([[last_hub if last_hub is not None else 0], key[head]])
-        hub = hubs[np.cumsum(head)]
-        last_sig, last_hub = int(sig[-1]), int(hub[-1])
-        other = hub != key
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _distinct(hub[other], key[other])], ["a", "b"])
+        cut = int(np.searchsorted(sig, sig[-1]))
+        held = [sig[cut:], key[cut:]]
+        if cut:
+            yield groups(sig[:cut], key[:cut])
+    yield groups(*held)
+
+
+def _edges_task(percent: int):
+    """Rows come sorted by group: edges (a, b) between sets of a group that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, keys, sizes, sketches = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            edges = may_link(sketches, np.array(sizes), percent) if len(keys) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([keys[e[i]] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for g, k, n, x in zip(*(column(batch, c).to_pylist() for c in ("grp", "set_key", "n_shingles", "sketch")), strict=True):
+                if g != group:
+                    if len(keys) > 1:
+                        yield done()
+                    group, keys, sizes, sketches = g, [], [], []
+                keys.append(k)
+                sizes.append(n)
+                sketches.append(x)
+        if len(keys) > 1:
+            yield done()
+
+    return run
 
 
 def _content_task(k: int):
@@ -193,122 +237,141 @@ def _content_task(k: int):
     return run
 
 
-class _Node:
-    __slots__ = ("depth", "high", "kids", "low", "segment", "sets", "whole")
-
-    def __init__(self, segment: np.ndarray, depth: int):
-        self.segment, self.depth = segment, depth  # ranks on the path to here, and the path's length up to its end
-        self.kids: dict[int, _Node] = {}
-        self.sets: list[int] = []
-        self.low, self.high = 1 << 60, 0  # sizes of the sets below
-        self.whole = -1  # a set below if all below are known to be connected, else -1
-
-
 class Trie:
-    """Prefix tree over rank-ordered sets with shared overlaps in its probes."""
-
-    def __init__(self, percent: int, vocabulary: int):
-        self.percent, self.root = percent, _Node(np.zeros(0, np.int64), 0)
-        self.mask = np.zeros(vocabulary + 1, bool)
-        self.sizes: list[int] = []
-        self.up: list[int] = []
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def name(self, size: int) -> int:
-        self.sizes.append(size)
-        self.up.append(len(self.up))
-        return len(self.up) - 1
-
-    def insert(self, me: int, ranks: np.ndarray) -> None:
-        node, at, n = self.root, 0, len(ranks)
-        while True:
-            if not node.kids and not node.sets:
-                node.whole = me
-            elif node.whole >= 0 and self.find(node.whole) != self.find(me):
-                node.whole = -1
-            node.low, node.high = min(node.low, n), max(node.high, n)
-            if at == n:
-                node.sets.append(me)
-                return
-            kid = node.kids.get(int(ranks[at]))
-            if kid is None:
-                leaf = node.kids[int(ranks[at])] = _Node(ranks[at:], n)
-                leaf.low, leaf.high, leaf.whole = n, n, me
-                leaf.sets.append(me)
-                return
-            here = ranks[at : at + len(kid.segment)]
-            differ = np.flatnonzero(kid.segment[: len(here)] != here)
-            same = int(differ[0]) if len(differ) else len(here)
-            if same < len(kid.segment):
-                upper = _Node(kid.segment[:same], kid.depth - len(kid.segment) + same)
-                upper.low, upper.high, upper.whole = kid.low, kid.high, kid.whole
-                kid.segment = kid.segment[same:]
-                upper.kids[int(kid.segment[0])] = kid
-                node.kids[int(ranks[at])] = kid = upper
-            node, at = kid, at + same
-
-    def link(self, me: int, ranks: np.ndarray) -> list[int]:
-        """Connect a named set with the sets below that it links with; one of each component so found."""
-        n, mask, p = len(ranks), self.mask, self.percent
-        mask[ranks] = True
-        found: list[int] = []
-        stack = [(kid, 0) for kid in self.root.kids.values()]
-        for s in self.root.sets:
-            self._check(me, s, 0, n, found)
-        while stack:
-            node, overlap = stack.pop()
-            if node.whole >= 0 and self.find(node.whole) == self.find(me):
-                continue
-            if node.high * 100 < n * p or node.low * p > n * 100:
-                continue
-            segment = node.segment
-            overlap += int(np.count_nonzero(mask[segment]))
-            left = n - int(np.searchsorted(ranks, segment[-1], "right"))
-            if overlap + min(left, node.high - node.depth) < needed(n, max(node.low, -(-n * p // 100)), p):
-                continue
-            for s in node.sets:
-                self._check(me, s, overlap, n, found)
-            stack += [(kid, overlap) for kid in node.kids.values()]
-            if node.whole < 0:  # sets below may have been connected since
-                below = [kid.whole for kid in node.kids.values()] + node.sets
-                if min(below) >= 0 and len({self.find(s) for s in below}) == 1:
-                    node.whole = below[0]
-        mask[ranks] = False
-        return found
-
-    def _check(self, me: int, s: int, overlap: int, n: int, found: list[int]) -> None:
-        if 100 * overlap >= self.percent * (n + self.sizes[s] - overlap) and self.find(me) != self.find(s):
-            self.up[self.find(me)] = self.find(s)
-            found.append(s)
+    """Prefix tree over rank-ordered sets, walked by many probes at once.
+
+    Sets stand in lexicographic order, so a node is a run [a, b) of them with a common prefix, and
+    prefix lengths of neighbours give its children; paths without branches are one step. A walk
+    carries, down each path, the probes that can still reach the needed overlap with some set below,
+    and their overlaps so far.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
+        self.order, self.sets = np.array(order), [sets[i] for i in order]
+        self.sizes = np.array([len(s) for s in self.sets])
+        #: Length of the prefix that each set has in common with the one before it.
+        self.common = np.zeros(len(sets) + 1, np.int64)
+        for i in range(1, len(sets)):
+            a, b = self.sets[i - 1], self.sets[i]
+            n = min(len(a), len(b))
+            differ = np.flatnonzero(a[:n] != b[:n])
+            self.common[i] = differ[0] if len(differ) else n
+
+    def depth(self, a: int, b: int) -> int:
+        """Length of the prefix of all sets of a run."""
+        return int(self.sizes[a]) if b == a + 1 else int(self.common[a + 1 : b].min())
+
+    def children(self, a: int, b: int, depth: int) -> list[tuple[int, int]]:
+        cuts = [a, *(np.flatnonzero(self.common[a + 1 : b] == depth) + a + 1).tolist(), b]
+        return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+class Probes:
+    """Sets that walk: which of them hold a token. Frequent tokens (the first ranks) have a row of flags, others a list."""
+
+    def __init__(self, sets: list[np.ndarray], vocabulary: int):
+        self.sizes = np.array([len(s) for s in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        self.vocabulary, self.keys = vocabulary, owner * vocabulary + flat  # ascending
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+        order = np.argsort(flat, kind="stable")
+        self.owners, self.start = owner[order], np.searchsorted(flat[order], np.arange(vocabulary + 1))
+        count = np.diff(self.start)
+        # Flags take 1 byte a set: 16 bytes for each token of the sets at most.
+        frequent = np.flatnonzero(count * 16 >= len(sets))
+        self.row = np.full(vocabulary, -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.flags = np.zeros((len(frequent), len(sets)), np.uint8)
+        inside = self.row[flat] >= 0
+        self.flags[self.row[flat[inside]], owner[inside]] = 1
+
+    def count(self, tokens: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """How many of at most 255 tokens each live probe holds."""
+        rows = self.row[tokens]
+        dense = rows[rows >= 0]
+        part = self.flags[dense].sum(0, dtype=np.uint8)[live] if len(live) * 2 > len(self.sizes) else self.flags[dense[:, None], live].sum(0, dtype=np.uint8)
+        out = part.astype(np.int64)
+        if rare := [self.owners[self.start[t] : self.start[t + 1]] for t in tokens[rows < 0].tolist() if self.start[t] != self.start[t + 1]]:
+            out += np.bincount(np.concatenate(rare), minlength=len(self.sizes))[live]
+        return out
+
+    def left(self, rank: int, live: np.ndarray) -> np.ndarray:
+        """How many tokens after a rank each live probe has."""
+        return self.first[live + 1] - np.searchsorted(self.keys, live * self.vocabulary + rank, "right")
+
+
+#: Tokens of a path taken at a time, between two looks at the bounds.
+STRIDE = 48
+
+
+def walk(trie: Trie, probes: Probes, percent: int, names: np.ndarray, offset: int | None) -> list[tuple[int, int]]:
+    """Spanning links (set, probe) between the trie's sets and probes; numbers below len(names).
+
+    names: a component for each number; the trie's set i is number order[i]; probe j is number j + offset, or
+    number j where offset is None: then the probes are the trie's own sets, and each pair is tried once.
+    """
+    links: list[tuple[int, int]] = []
+    place = np.empty(len(trie.sets), np.int64)
+    place[trie.order] = np.arange(len(trie.sets))
+    shift = offset or 0
+    everyone = np.arange(len(probes.sizes))
+    stack = [(0, len(trie.sets), 0, everyone, np.zeros(len(everyone), np.int64))]
+    while stack:
+        a, b, depth, live, overlap = stack.pop()
+        low, high = int(trie.sizes[a:b].min()), int(trie.sizes[a:b].max())
+        keep = (probes.sizes[live] * percent <= high * 100) & (low * percent <= probes.sizes[live] * 100)
+        if offset is None:
+            keep &= place[live] < b - 1
+        below = names[trie.order[a:b]]
+        if (below == below[0]).all():
+            keep &= names[live + shift] != below[0]
+        live, overlap = live[keep], overlap[keep]
+        end = trie.depth(a, b)
+        path = trie.sets[a]
+        while depth < end and len(live):
+            tokens = path[depth : min(end, depth + STRIDE)]
+            overlap = overlap + probes.count(tokens, live)
+            depth += len(tokens)
+            n = probes.sizes[live]
+            least = -(-percent * (n + np.maximum(low, -(-n * percent // 100))) // (100 + percent))
+            ok = overlap + (high - depth) >= least
+            live, overlap, least = live[ok], overlap[ok], least[ok]
+            ok = overlap + probes.left(int(tokens[-1]), live) >= least
+            live, overlap = live[ok], overlap[ok]
+        if not len(live):
+            continue
+        full = a
+        while full < b and trie.sizes[full] == end:  # equal sets are one set, so at most one
+            n = probes.sizes[live]
+            hits = live[(100 * overlap >= percent * (n + end - overlap))]
+            for j in hits[names[hits + shift] != names[trie.order[full]]].tolist():
+                x, y = int(trie.order[full]), j + shift
+                if names[x] != names[y]:
+                    names[names == names[y]] = names[x]
+                    links.append((x, y))
+            full += 1
+        if full < b:
+            stack += [(x, y, end, live, overlap) for x, y in trie.children(a, b, end) if y > full]
+    return links
 
 
 def join_block(sets: list[tuple[int, int, np.ndarray]], percent: int, apart: bool) -> list[tuple[int, int]]:
-    """Spanning links among (piece, key, tokens); apart: only between sets of different pieces."""
+    """Spanning links among (piece, key, tokens); apart: only between the sets of two pieces."""
+    if apart:
+        sets = sorted(sets, key=lambda x: x[0])
     vocabulary, rank, count = np.unique(np.concatenate([t for _, _, t in sets]), return_inverse=True, return_counts=True)
     order = np.empty(len(vocabulary), np.int64)
     order[np.lexsort((vocabulary, -count))] = np.arange(len(vocabulary))
-    rank, at = order[rank], 0
-    trie, keys, links, later = Trie(percent, len(vocabulary)), [], [], []
-    pieces = min(p for p, _, _ in sets)
-    for piece, key, tokens in sets:
-        ranks = np.sort(rank[at : at + len(tokens)])
-        at += len(tokens)
-        me = trie.name(len(ranks))
-        keys.append(key)
-        if apart and piece != pieces:
-            later.append((me, ranks))
-            continue
-        if not apart:
-            links += [(key, keys[s]) for s in trie.link(me, ranks)]
-        trie.insert(me, ranks)
-    for me, ranks in later:
-        links += [(keys[me], keys[s]) for s in trie.link(me, ranks)]
-    return links
+    rank = order[rank]
+    ends = np.cumsum([len(t) for _, _, t in sets])
+    ranks = [np.sort(rank[e - len(t) : e]) for e, (_, _, t) in zip(ends.tolist(), sets, strict=True)]
+    half = sum(p == sets[0][0] for p, _, _ in sets) if apart else len(sets)
+    if apart and half == len(sets):
+        return []
+    trie, probes = Trie(ranks[:half]), Probes(ranks[half:] if apart else ranks, len(vocabulary))
+    found = walk(trie, probes, percent, np.arange(len(sets)), half if apart else None)
+    return [(sets[x][1], sets[y][1]) for x, y in found]
 
 
 def _join_task(percent: int):
@@ -338,11 +401,13 @@ def links_of(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     """(sets, links): doc_id, n_shingles, set_key of each document, and spanning links (a, b) between set keys. docs: doc_id, text."""
     bands = Bands(percent)
     rows = docs.withColumn("rep", F.xxhash64("doc_id", "text"))
-    sets = save(map_arrow(rows, _sets_task(k), "doc_id long, n_shingles long, set_key long, rep long"), "sets")
+    sets = save(map_arrow(rows, _sets_task(k), "doc_id long, n_shingles long, set_key long, rep long, sketch binary"), "sets")
     signed = map_arrow(docs.select("text"), _sign_task(k, bands), "sig long, set_key long")
-    stars = map_arrow(signed.repartition("sig").sortWithinPartitions("sig", "set_key"), _star_task, "a long, b long")
-    blocks = components(stars, "blocks")
-    chosen = sets.filter("set_key is not null").groupBy("set_key").agg(F.min("rep").alias("rep"), F.max("n_shingles").alias("n_shingles"))
+    groups = map_arrow(signed.repartition("sig").sortWithinPartitions("sig", "set_key"), _groups_task, "grp long, set_key long")
+    chosen = sets.filter("set_key is not null").groupBy("set_key").agg(F.min("rep").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    grouped = save(groups.distinct(), "groups").join(chosen, "set_key").select("grp", "set_key", "n_shingles", "sketch")
+    edges = map_arrow(grouped.repartition("grp").sortWithinPartitions("grp"), _edges_task(percent), "a long, b long")
+    blocks = components(edges, "blocks")
     members = save(blocks.join(chosen, blocks.node == chosen.set_key).select(F.col("root").alias("block"), "set_key", "n_shingles", "rep"), "members")
     weight = members.groupBy("block").agg(F.ceil(F.sum("n_shingles") / PIECE_SHINGLES).cast("int").alias("pieces"))
     placed = save(members.join(weight, "block").select("rep", "block", "pieces", F.pmod(F.xxhash64("set_key"), F.col("pieces")).cast("int").alias("piece"), F.col("set_key").alias("want")), "placed")
