@@ -65,7 +65,7 @@ CODEC = pa.Codec("zstd", compression_level=1)
 _L, _N, _S, _O, _RARE = range(5)
 _CLASS: list[np.ndarray] = []
 #: Pieces kept per worker.
-CACHE = 400_000
+CACHE = 250_000
 
 
 def _classes() -> np.ndarray:
@@ -432,6 +432,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, text_col: str =
             for lo, hi, offs, data in slices(column(batch, text_col)):
                 _, at = enc.encode_slice(data, offs)
                 yield pa.RecordBatch.from_arrays([*(column(batch, f.name).slice(lo, hi - lo) for f in rest), pa.array(np.diff(at), pa.int64())], [*(f.name for f in rest), name])
+        _ENCODERS.clear()  # the worker may serve other operators next
 
     fields = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in rest)
     return map_arrow(docs, run, f"{fields}`{name}` long")
