@@ -15,7 +15,7 @@ variable fields, <*>. Two levels of templates follow, each found by aggregation:
 Lines of recurring templates are dropped from all documents. A document is its doc_id
 and text; a line that it repeats counts once. All counts are combined before each
 shuffle, so a hot line is one row per task and document; no group meets in one task.
-Templates and leaves are known by 64-bit hashes.
+Tokens, templates and leaves are known by 64-bit hashes.
 
 Defined cases: null text counts as empty; lines without a word are never dropped; null
 or repeated doc_id are ordinary rows (rows equal in doc_id and text are one document); an
@@ -27,55 +27,105 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm._common import SPACE, attach, keyed_filter, save
+from webloom.llm._common import attach, keyed_filter, map_arrow, save
+from webloom.llm._text import U64, column, mix, slices, span_hashes, value_hashes, word_spans
 
 DEPTH, MIN_DOCS, RARE, SOLID = 2, 10, 100, 70
 FIELD = "<*>"
-
-
-def _tokens(line: Column) -> Column:
-    """Masked tokens of a line; one empty token where it has no word."""
-    words = F.split(F.regexp_replace(line, f"^{SPACE}|{SPACE}$", ""), SPACE, -1)
-    return F.transform(words, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+#: The token hash of a variable field.
+FIELD_HASH = span_hashes(np.frombuffer(FIELD.encode(), np.uint8), np.array([0]), np.array([len(FIELD)]))[0]
+_DIGIT = np.isin(np.arange(256), np.arange(48, 58))
 
 
 def _split(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
-def _doc(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
-
-
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct lines with a word of each document: doc, tokens, mask (hash of the tokens), leaf."""
-    text = F.col(f"`{text_col}`")
-    rows = docs.select(_doc(id_col, text_col).alias("doc"), F.explode(F.array_distinct(_split(text))).alias("line"))
-    rows = rows.select("doc", _tokens(F.col("line")).alias("tokens")).filter("tokens[0] <> ''")
-    return rows.withColumns({"mask": F.xxhash64("tokens"), "leaf": F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))})
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc (hash of doc_id and text) and text."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("doc"), text.alias("text"))
+
+
+def lines_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each line with a word: text index, place among the text's lines, first and end word, mask, leaf; and all masked token hashes."""
+    starts, ends, _ = word_spans(data, offs)
+    tokens = span_hashes(data, starts, ends)
+    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
+    tokens[digits[ends] > digits[starts]] = FIELD_HASH
+    breaks = np.flatnonzero(data == 0x0A)
+    begin = np.unique(np.concatenate([offs[:-1], breaks + 1]))
+    begin = begin[begin < len(data)]
+    first = np.searchsorted(starts, begin)
+    size = np.diff(np.append(first, len(starts)))
+    used = np.flatnonzero(size)
+    begin, first, size = begin[used], first[used], size[used]
+    text = np.searchsorted(offs, begin, "right") - 1
+    place = np.searchsorted(breaks, begin) - np.searchsorted(breaks, offs[text])
+    mask = value_hashes(mix(tokens), first, first + size) if len(used) else np.zeros(0, U64)
+    leaf = mix(size.astype(U64))
+    for d in range(DEPTH):
+        there = np.where(size > d, tokens[np.minimum(first + d, max(len(tokens) - 1, 0))], U64(0)) if len(used) else np.zeros(0, U64)
+        leaf = mix(leaf * U64(31) + there)
+    return text, place, first, first + size, mask, leaf, tokens
+
+
+def _lines_task(with_tokens: bool):
+    """(doc, mask, leaf) of the distinct lines of each document, and their token hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = column(batch, "doc").to_numpy()
+            for lo, _, offs, data in slices(column(batch, "text")):
+                text, _, first, end, mask, leaf, tokens = lines_of(data, offs)
+                order = np.lexsort((mask, text))
+                new = np.ones(len(order), bool)
+                new[1:] = (mask[order[1:]] != mask[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+                pick = order[new]
+                cols = [pa.array(docs[lo + text[pick]]), pa.array(mask[pick].view(np.int64)), pa.array(leaf[pick].view(np.int64))]
+                if with_tokens:
+                    size = (end - first)[pick]
+                    at = np.concatenate([[0], np.cumsum(size)])
+                    flat = tokens[np.repeat(first[pick] - at[:-1], size) + np.arange(at[-1])]
+                    cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(cols, ["doc", "mask", "leaf", "tokens"][: len(cols)])
+
+    return run
+
+
+def _places_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        docs = column(batch, "doc").to_numpy()
+        for lo, _, offs, data in slices(column(batch, "text")):
+            text, place, _, _, mask, _, _ = lines_of(data, offs)
+            yield pa.RecordBatch.from_arrays([pa.array(docs[lo + text]), pa.array(place, pa.int32()), pa.array(mask.view(np.int64))], ["_doc", "pos", "mask"])
 
 
 def recurring_masks(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Masks of the lines to drop (one column, mask, saved)."""
-    lines = _lines(docs, id_col, text_col)
-    plain = save(lines.select("doc", "mask", "leaf").distinct(), "masks")
+    rows = _keyed(docs, id_col, text_col)
+    plain = save(map_arrow(rows, _lines_task(False), "doc long, mask long, leaf long"), "masks").distinct()
     first = save(plain.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("mask"), "recurring-1")
     busy = keyed_filter(plain, first, "mask", "left_anti").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     busy = save(busy.filter(F.col("n") >= min_docs), "busy-leaves")
     if busy.isEmpty():
         return first
-    held = keyed_filter(keyed_filter(lines, busy.select("leaf"), "leaf", "left_semi"), first, "mask", "left_anti").dropDuplicates(["doc", "mask"])
-    held = save(held, "busy-lines")
-    places = held.select("leaf", F.posexplode("tokens").alias("pos", "token")).filter(F.col("token") != FIELD).groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("k"))
+    lines = map_arrow(rows, _lines_task(True), "doc long, mask long, leaf long, tokens array<long>")
+    held = save(keyed_filter(keyed_filter(lines, busy.select("leaf"), "leaf", "left_semi"), first, "mask", "left_anti").dropDuplicates(["doc", "mask"]), "busy-lines")
+    field = F.lit(int(FIELD_HASH.view(np.int64)))
+    places = held.select("leaf", F.posexplode("tokens").alias("pos", "token")).filter(F.col("token") != field).groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("k"))
     constant = places.filter(F.col("k") >= min_docs).join(busy, "leaf").filter(F.col("k") * RARE >= F.col("n"))
-    fixed = save(constant.groupBy("leaf").agg(F.first("n").alias("n"), F.collect_list(F.concat_ws(" ", "pos", "token")).alias("fixed")), "constants")
-    shape = F.transform("tokens", lambda t, i: F.when(F.array_contains("fixed", F.concat_ws(" ", i, t)), t).otherwise(F.lit(FIELD)))
+    fixed = save(constant.groupBy("leaf").agg(F.first("n").alias("n"), F.collect_list(F.struct("pos", "token")).alias("fixed")), "constants")
+    shape = F.transform("tokens", lambda t, i: F.when(F.array_contains("fixed", F.struct(i.alias("pos"), t.alias("token"))), t).otherwise(field))
     named = attach(held, fixed, "leaf", "n", held.count()).filter("fixed is not null").withColumn("shape", shape)
-    named = named.filter(100 * F.size(F.filter("shape", lambda t: t != FIELD)) >= SOLID * F.size("shape"))
+    named = named.filter(100 * F.size(F.filter("shape", lambda t: t != field)) >= SOLID * F.size("shape"))
     named = save(named.select("doc", "mask", F.xxhash64("shape").alias("template")), "templates")
     second = named.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("template")
     return save(first.union(keyed_filter(named, save(second, "recurring-2"), "template", "left_semi").select("mask").distinct()), "recurring")
@@ -85,11 +135,10 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", tex
     """docs with the lines of recurring templates taken out of the text; texts that hold none are as they were. counter: a column for their number."""
     gone = recurring_masks(docs, min_docs, id_col, text_col)
     text = F.col(f"`{text_col}`").cast("string")
-    places = docs.select(_doc(id_col, text_col).alias("_doc"), F.posexplode(_split(text)).alias("pos", "line"))
-    places = places.select("_doc", "pos", F.xxhash64(_tokens(F.col("line"))).alias("mask"))
+    places = map_arrow(_keyed(docs, id_col, text_col), _places_task, "_doc long, pos int, mask long")
     hit = keyed_filter(places, gone, "mask", "left_semi").select("_doc", "pos").distinct()
     bad = save(hit.groupBy("_doc").agg(F.collect_list("pos").alias("_gone")), "hit-lines")
-    rows = keyed_filter(docs.withColumn("_doc", _doc(id_col, text_col)), bad, "_doc", "left")
+    rows = keyed_filter(docs.withColumn("_doc", F.xxhash64(F.col(f"`{id_col}`"), text)), bad, "_doc", "left")
     left = F.array_join(F.filter(_split(text), lambda _, i: ~F.array_contains("_gone", i)), "\n")
     out = rows.withColumn(text_col, F.when(F.col("_gone").isNull(), text).otherwise(left))
     if counter:
