@@ -44,7 +44,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def slices(col: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, byte offsets, bytes) of consecutive rows with about limit bytes; a longer text comes alone. Null: empty."""
     col = pc.fill_null(col.cast(pa.large_string()), "")
     if not len(col):

@@ -64,8 +64,10 @@ CODEC = pa.Codec("zstd", compression_level=1)
 # Classes of code points for cutting: letter, number, white space, other, and those that go through the library.
 _L, _N, _S, _O, _RARE = range(5)
 _CLASS: list[np.ndarray] = []
-#: Pieces kept per worker.
-CACHE = 250_000
+#: Pieces kept per worker while writing shards, and while only counting.
+CACHE, COUNT_CACHE = 300_000, 200_000
+#: Pieces encoded at a time.
+GROUP = 8_192
 
 
 def _classes() -> np.ndarray:
@@ -147,10 +149,14 @@ class Encoder:
         if missing:
             at = where[missing]
             texts = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            new = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
             known.update((keys[i], len(self.begin) - 1 + j) for j, i in enumerate(missing))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(new), np.uint32)])
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in new])])
+            flat, sizes = [self.flat], []
+            for i in range(0, len(texts), GROUP):  # the library's results take much room
+                new = [e.ids for e in self.lib.encode_batch_fast(texts[i : i + GROUP], add_special_tokens=False)]
+                flat.append(np.fromiter(chain.from_iterable(new), np.uint32))
+                sizes += map(len, new)
+            self.flat = np.concatenate(flat)
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
         return np.array([known[k] for k in keys], np.int64)[back]
 
 
@@ -190,10 +196,10 @@ def _cut(code: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndar
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """This worker's encoder for a vocabulary file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, cache)
     return _ENCODERS[path]
 
 
@@ -339,7 +345,7 @@ def _write_task(folder: str, vocabulary: str, end_id: int):
         name, least = f"{uuid.uuid4().hex}.sst", None
         for batch in batches:
             ids = column(batch, "doc_id").to_pylist()
-            for lo, hi, offs, data in slices(column(batch, "text")):
+            for lo, hi, offs, data in slices(column(batch, "text"), 2 << 20):
                 flat, at = enc.encode_slice(data, offs)
                 for i in range(hi - lo):
                     if writer is None:
@@ -427,7 +433,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, text_col: str =
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, COUNT_CACHE)
         for batch in batches:
             for lo, hi, offs, data in slices(column(batch, text_col)):
                 _, at = enc.encode_slice(data, offs)
