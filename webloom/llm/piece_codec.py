@@ -64,6 +64,7 @@ class PieceCodec(dict):
         self.bytes = {i: int(p[3:5], 16) for i, p in enumerate(self.pieces) if self.lib.is_byte(i)}
         self.byte_ids = {b: i for i, b in self.bytes.items()}
         self.control = {i for i, x in enumerate(special) if x and i not in self.bytes}
+        self.raw = [bytes([self.bytes[i]]) if i in self.bytes else b"" if i in self.control - {self.unknown} else b" \xe2\x81\x87 " if i == self.unknown else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.automaton, scores = ahocorasick.Automaton(), []
         for i, piece in enumerate(self.pieces):
             if not special[i] and not self.lib.is_unused(i):
@@ -84,22 +85,22 @@ class PieceCodec(dict):
     def search(self, word: str) -> tuple[int, ...]:
         """Ids of the best segmentation of a normalised word."""
         n, none = len(word), float("-inf")
-        best, back = [0.0, *[none] * n], [(0, 0)] * (n + 1)
-        strange = [i for i, c in enumerate(word) if c not in self.single]
+        best, origin, last = [0.0, *[none] * n], [0] * (n + 1), [0] * (n + 1)
+        strange = [] if self.single.issuperset(word) else [i for i, c in enumerate(word) if c not in self.single]
         at = 0
         for end, (piece, length, score) in self.automaton.iter(word):
             while at < len(strange) and strange[at] < end:
-                self._unknown(best, back, strange[at])
+                self._unknown(best, origin, last, strange[at])
                 at += 1
-            start = end + 1 - length
-            if (total := best[start] + score) > best[end + 1]:
-                best[end + 1], back[end + 1] = total, (start, piece)
+            end += 1
+            if (total := best[end - length] + score) > best[end]:
+                best[end], origin[end], last[end] = total, end - length, piece
         for i in strange[at:]:
-            self._unknown(best, back, i)
+            self._unknown(best, origin, last, i)
         out: list[int] = []
         pos = n
         while pos:
-            start, piece = back[pos]
+            start, piece = origin[pos], last[pos]
             if piece < 0:
                 raw = [self.byte_ids.get(b, self.unknown) for b in word[start:pos].encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
                 if not self.byte_ids and out and out[-1] == self.unknown:
@@ -110,9 +111,9 @@ class PieceCodec(dict):
             pos = start
         return tuple(out[::-1])
 
-    def _unknown(self, best: list[float], back: list[tuple[int, int]], i: int) -> None:
+    def _unknown(self, best: list[float], origin: list[int], last: list[int], i: int) -> None:
         if (total := best[i] + self.unknown_score) > best[i + 1]:
-            best[i + 1], back[i + 1] = total, (i, -1)
+            best[i + 1], origin[i + 1], last[i + 1] = total, i, -1
 
     def encode(self, text: str) -> np.ndarray:
         words = self.cut.findall(self.lib.normalize(text)) if text else []
@@ -120,21 +121,7 @@ class PieceCodec(dict):
 
     def decode(self, ids) -> str:
         """Text of ids: bytes joined, space marks as spaces, without the leading space that normalising added."""
-        out, raw = [], bytearray()
-        for i in map(int, ids):
-            if i in self.bytes:
-                raw.append(self.bytes[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            if i == self.unknown:
-                out.append(" ⁇ ")
-            elif i not in self.control:
-                out.append(self.pieces[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ").removeprefix(" ")
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
 _CODECS: dict[str, PieceCodec] = {}
