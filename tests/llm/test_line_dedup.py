@@ -33,3 +33,16 @@ def test_keeps_columns_and_plain_texts(spark):
     df = spark.createDataFrame([(1, "a b\r\nc", 7), (2, None, 8)], "doc_id long, text string, _gone long").withColumnRenamed("_gone", "leaf")
     assert sorted(map(tuple, line_dedup.clean(df).collect())) == [(1, "a b\r\nc", 7), (2, None, 8)]
     assert line_dedup.report(df.limit(0)).collect() == []
+
+
+def test_templates_of_a_large_leaf(spark, monkeypatch):
+    """A template in under 1 % of its leaf recurs all the same; so do hot places, which are looked up by broadcast."""
+    word = lambda n: "".join("abcdefghij"[int(c)] for c in f"{n:06d}")
+    rows = [(i, f"{word(500 + i)}\nRead more about {word(i)} in our daily news section today") for i in range(12)]
+    rows += [(100 + i, "\n".join("Read more " + " ".join(word(1000 + 8 * (50 * i + k) + j) for j in range(8)) for k in range(50))) for i in range(26)]
+    want = [(d, n, hashlib.sha256(t.encode()).hexdigest()) for d, n, t in line_dedup.brute_force(rows, line_dedup.MIN_DOCS)]
+    assert [n for _, n, _ in want] == [1] * 12 + [0] * 26
+    for hot_rows in (10_000, 15):
+        monkeypatch.setattr("webloom.llm._common.HOT_ROWS", hot_rows)
+        got = line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted((r.doc_id, r.n_dropped, r.text_sha256) for r in got.collect()) == want

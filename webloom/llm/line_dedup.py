@@ -7,14 +7,15 @@ variable fields, <*>. Two levels of templates follow, each found by aggregation:
    it is recurring.
 2. Other lines descend a tree of fixed depth: by token count, then by their first
    DEPTH masked tokens. In a leaf, a token is a constant of its position if it stands
-   there in MIN_DOCS lines or more and in 1 of RARE lines of the leaf or more (so a
-   position has at most RARE constants); other tokens are generalised to <*>. Such a
-   template is recurring if lines of MIN_DOCS documents have it and SOLID percent or
-   more of its tokens are constants.
+   there in MIN_DOCS lines or more, however many lines the leaf has; other tokens are
+   generalised to <*>. Such a template is recurring if lines of MIN_DOCS documents have
+   it and SOLID percent or more of its tokens are constants.
 
 Lines of recurring templates are dropped from all documents. A document is its doc_id
 and text; a line that it repeats counts once. All counts are combined before each
 shuffle, so a hot line is one row per task and document; no group meets in one task.
+Constants are marked by a join on leaf, position and token whose hot keys are broadcast,
+so neither a large leaf nor a common token meets in one task or one list.
 Tokens, templates and leaves are known by 64-bit hashes.
 
 Defined cases: null text counts as empty; lines without a word are never dropped; null
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from webloom.llm._common import attach, keyed_filter, map_arrow, save
 from webloom.llm._text import U64, column, mix, slices, span_hashes, value_hashes, word_spans
 
-DEPTH, MIN_DOCS, RARE, SOLID = 2, 10, 100, 70
+DEPTH, MIN_DOCS, SOLID = 2, 10, 70
 FIELD = "<*>"
 #: The token hash of a variable field.
 FIELD_HASH = span_hashes(np.frombuffer(FIELD.encode(), np.uint8), np.array([0]), np.array([len(FIELD)]))[0]
@@ -120,13 +121,19 @@ def recurring_masks(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "do
     lines = map_arrow(rows, _lines_task(True), "doc long, mask long, leaf long, tokens array<long>")
     held = save(keyed_filter(keyed_filter(lines, busy.select("leaf"), "leaf", "left_semi"), first, "mask", "left_anti").dropDuplicates(["doc", "mask"]), "busy-lines")
     field = F.lit(int(FIELD_HASH.view(np.int64)))
-    places = held.select("leaf", F.posexplode("tokens").alias("pos", "token")).filter(F.col("token") != field).groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("k"))
-    constant = places.filter(F.col("k") >= min_docs).join(busy, "leaf").filter(F.col("k") * RARE >= F.col("n"))
-    fixed = save(constant.groupBy("leaf").agg(F.first("n").alias("n"), F.collect_list(F.struct("pos", "token")).alias("fixed")), "constants")
-    shape = F.transform("tokens", lambda t, i: F.when(F.array_contains("fixed", F.struct(i.alias("pos"), t.alias("token"))), t).otherwise(field))
-    named = attach(held, fixed, "leaf", "n", held.count()).filter("fixed is not null").withColumn("shape", shape)
-    named = named.filter(100 * F.size(F.filter("shape", lambda t: t != field)) >= SOLID * F.size("shape"))
-    named = save(named.select("doc", "mask", F.xxhash64("shape").alias("template")), "templates")
+    place = F.xxhash64("leaf", "pos", "token").alias("place")
+    at = lambda rows: rows.select("mask", "leaf", F.posexplode("tokens").alias("pos", "token")).filter(F.col("token") != field)
+    counts = save(at(held).groupBy(place).agg(F.count(F.lit(1)).alias("k")), "places")
+    total = counts.agg(F.sum("k")).first()[0] or 0
+    constant = counts.filter(F.col("k") >= min_docs).withColumn("fixed", F.lit(True))
+    # A mask here has fewer than min_docs documents; its tokens are looked up once.
+    shapes = held.dropDuplicates(["mask"])
+    spots = save(at(shapes).select("mask", "pos", "token", place), "spots")
+    marked = attach(spots, constant, "place", "k", total).filter("fixed")
+    marked = marked.groupBy("mask").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("shape"))
+    marked = shapes.select("mask", F.size("tokens").alias("size")).join(marked, "mask").filter(100 * F.size("shape") >= SOLID * F.col("size"))
+    solid = save(marked.select("mask", F.xxhash64("size", "shape").alias("template")), "templates")
+    named = save(keyed_filter(held.select("doc", "mask"), solid, "mask", "inner"), "named")
     second = named.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("template")
     return save(first.union(keyed_filter(named, save(second, "recurring-2"), "template", "left_semi").select("mask").distinct()), "recurring")
 
@@ -173,7 +180,7 @@ def brute_force(rows: list[tuple[int | None, str | None]], min_docs: int) -> lis
             for place in enumerate(m):
                 count[place] += 1
         for row, m in held:
-            shape = tuple(t if t != FIELD and count[i, t] >= min_docs and count[i, t] * RARE >= len(held) else FIELD for i, t in enumerate(m))
+            shape = tuple(t if t != FIELD and count[i, t] >= min_docs else FIELD for i, t in enumerate(m))
             if 100 * sum(t != FIELD for t in shape) >= SOLID * len(shape):
                 shapes[shape].append((row, m))
     drop |= {m for found in shapes.values() if len({row for row, _ in found}) >= min_docs for _, m in found}
