@@ -78,6 +78,23 @@ def test_bfs_levels(spark):
     assert sorted(map(tuple, bfs_levels(seeds, edges, max_pages=2).collect())) == [("a", 0), ("b", 1)]
 
 
+def test_bfs_without_a_depth_bound(spark):
+    from compare import SF
+
+    from webloom.plans.queries import QUERIES, graph
+
+    edges = spark.createDataFrame([(f"{i:02d}", f"{i + 1:02d}") for i in range(12)] + [("03", "05")], "src string, dst string")
+    got = bfs_levels(spark.createDataFrame([("00",)], "url string"), edges, max_depth=None)
+    assert sorted(map(tuple, got.collect())) == [(f"{i:02d}", i if i < 5 else i - 1) for i in range(13)]
+    seeds, edges = graph(spark, SF)
+    links, want = [tuple(e) for e in edges.collect()], {r.url: 0 for r in seeds.collect()}
+    depth, level = 0, set(want)
+    while level:
+        depth, level = depth + 1, {dst for src, dst in links if src in level and dst not in want}
+        want |= dict.fromkeys(level, depth)
+    assert {r.url: r.depth for r in QUERIES["crawl_bfs_whole"](spark, SF).collect()} == want
+
+
 def test_report_and_sitemap_pages(spark):
     pages = spark.createDataFrame([("https://e.com/", page("/a"), 201), ("https://e.com/n", None, None)], "url string, html string, status_code int")
     got = {r.url: r for r in page_report(page_rows(pages)).collect()}

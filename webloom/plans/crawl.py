@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -178,12 +179,12 @@ def _follow(links: list[Row], config: CrawlConfig, seed: str) -> list[str]:
     return out
 
 
-def bfs_levels(seeds: DataFrame, edges: DataFrame, max_depth: int = 10, max_pages: int | None = None) -> DataFrame:
+def bfs_levels(seeds: DataFrame, edges: DataFrame, max_depth: int | None = 10, max_pages: int | None = None) -> DataFrame:
     """(url, depth) of everything reachable from seeds (url) over edges (src, dst), each URL once at its least depth.
 
     Each level is a join of the last level with the edges, a distinct and an anti-join
     with what is visited, then a checkpoint, so that lineage stays short and lost
-    executors cost no earlier level. A page limit keeps whole levels while they
+    executors cost no earlier level. Without max_depth it goes on until no new page appears. A page limit keeps whole levels while they
     fit, and of the level that doesn't the first URLs in order.
     """
     level = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0).cast("long")))
@@ -191,7 +192,7 @@ def bfs_levels(seeds: DataFrame, edges: DataFrame, max_depth: int = 10, max_page
     if max_pages is not None and n > max_pages:
         return level.orderBy("url").limit(max_pages)
     step = edges.select("src", "dst").distinct()
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         new = level.join(step, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct().join(visited, "url", "left_anti")
         level = cut(new.withColumn("depth", F.lit(depth).cast("long")))
         found = level.count()

@@ -423,6 +423,13 @@ def crawl_bfs_levels(spark, sf_dir):
     return bfs_levels(seeds, edges, max_depth=6)
 
 
+@query()
+def crawl_bfs_whole(spark, sf_dir):
+    """Every reachable page: as many levels as the longest chain of a host has, so no recursive SQL."""
+    seeds, edges = graph(spark, sf_dir)
+    return bfs_levels(seeds, edges, max_depth=None)
+
+
 @query(f"""WITH {RULES}, p AS (SELECT page_id, {HOST} AS host, {NORM} AS u FROM pages),
 a AS (SELECT page_id, any_value(u) AS u, coalesce(arg_max(allow, n * 2 + allow :: INT), TRUE) AS ok FROM p JOIN h USING (host) LEFT JOIN r ON r.kind = h.kind AND regexp_matches(regexp_extract(u, '^https?://[^/?#]*([^#]*)', 1), re) GROUP BY page_id)
 SELECT CASE WHEN NOT ok THEN 'disallowed' WHEN regexp_full_match(u, '.*/es/.*') OR NOT regexp_full_match(u, 'https?://.*/[^/]*') THEN 'skipped' ELSE 'completed' END AS status, count(*) AS n FROM a GROUP BY 1""")
@@ -441,5 +448,5 @@ def crawl_one_seed(spark, sf_dir):
     body = F.concat(F.lit("<html><head><title>"), F.col("n"), F.lit("</title></head><body>"), *(F.coalesce(F.concat(F.lit('<a href="'), F.lead("n", k).over(w), F.lit('">next</a> ')), F.lit("")) for k in (1, 2)), F.lit("</body></html>"))
     store = PageStore(pages.select(F.col("n").alias("url"), body.alias("html")))
     seed = pages.orderBy("page_id").select("n").first()[0]
-    out = crawl_batch(spark, fr.CrawlConfig(seed, source="links", extract_metadata=True, obey_robots=False, max_pages=20), store, clock=lambda: 0)
+    out = crawl_batch(spark, fr.CrawlConfig(seed, source="links", extract_metadata=True, obey_robots=False), store, clock=lambda: 0)
     return out.pages.select("ord", "url", "status", "depth", F.col("metadata.title").alias("title"), F.size("links").alias("n_links"))
