@@ -127,6 +127,15 @@ def test_discover(spark):
     assert S.filter_priority(d.urls, 0.5).count() == 3
 
 
+def test_discover_passes_missing_children(spark):
+    children = [f"https://e.com/{i}.xml" for i in range(200)]
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in children) + "</sitemapindex>"
+    store = [("https://e.com/sitemap.xml", index), *((u, XML) for u in children[120:130])]
+    d = S.discover_sitemaps(spark, "e.com", spark.createDataFrame(store, "url string, content string"))
+    assert [r.url for r in d.sitemaps.orderBy("ord").collect()] == ["https://e.com/sitemap.xml", *children[120:130]]
+    assert d.total_urls == 20 == d.urls.count() and not d.has_more
+
+
 def test_cursor_round_trip():
     config = fr.CrawlConfig.of("https://e.com", max_pages=7, include_patterns=["https://e.com/*"], strategy=None)
     c = fr.Cursor(config, "e.com", [("https://e.com/1", 1), ("https://e.com/é", 2)], {5: None}, {"e.com": R.Robots([("/x", False)], 2000.0, ["s"])}, 5, 99)

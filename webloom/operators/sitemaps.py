@@ -89,7 +89,8 @@ def discover_sitemaps(spark: SparkSession, domain: str, store: DataFrame, robots
     """Sitemaps and their URLs, depth first. store: (url, content).
 
     Each level is one join of at most max_sitemaps URLs with the store; what is
-    gathered is bounded by the caps, except the urls table, which stays lazy.
+    gathered is bounded by the caps, except the child lists of the sitemaps found,
+    which stay whole, as missing children don't count, and the urls table, which stays lazy.
     Cycles are followed until a cap ends them.
     """
     origin, host = origin_and_host(domain)
@@ -103,8 +104,7 @@ def discover_sitemaps(spark: SparkSession, domain: str, store: DataFrame, robots
         if wanted:
             known.update(dict.fromkeys(wanted))
             found = parse_sitemap_table(store.filter("content <> ''").filter(F.col("url").isin(wanted)))
-            kids = F.slice("child_sitemaps", 1, max_sitemaps + 1)  # more can't be visited
-            known.update({r.url: (r.type, r.url_count, r.kids) for r in found.select("url", "type", "url_count", kids.alias("kids")).collect()})
+            known.update({r.url: (r.type, r.url_count, r.child_sitemaps) for r in found.select("url", "type", "url_count", "child_sitemaps").collect()})
 
     out: list[tuple[int, str, str, int]] = []
     has_more = False
