@@ -124,6 +124,29 @@ def test_store_and_sources(spark, tmp_path):
     assert len(live) == 1 and live[0].html is None and live[0].error
 
 
+def test_long_live_pages_are_errors(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(404 if "none" in self.path else 200)
+            self.end_headers()
+            self.wfile.write(b"x" * int(self.path.rpartition("/")[2]))
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    register(spark)
+    urls = " ".join(f"http://127.0.0.1:{server.server_port}/{p}" for p in ("100", "101", "none/101"))
+    got = spark.read.format("webloom_http").option("urls", urls).option("maxBytes", "100").load().collect()
+    server.shutdown()
+    assert sorted((r.status_code, r.html, bool(r.error)) for r in got if r.html) == [(200, "x" * 100, False)]
+    assert sorted((r.status_code, bool(r.error)) for r in got if not r.html) == [(200, True), (404, True)]
+
+
 def test_stream_reports_each_url_once(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
     for part in ([(1, "https://e.com/1", page()), (2, "https://e.com/1#x", page()), (3, "junk", page())], [(4, "https://e.com/1/", page()), (5, "https://e.com/2", page())]):

@@ -75,7 +75,7 @@ class PageStore:
 
 
 class HttpPages(DataSource):
-    """spark.read.format("webloom_http").option("urls", "u1 u2").load(): one row per URL; an error gives a null html."""
+    """spark.read.format("webloom_http").option("urls", "u1 u2").load(): one row per URL; an error, or a body of more than maxBytes, gives a null html."""
 
     @classmethod
     def name(cls) -> str:
@@ -106,11 +106,19 @@ class _HttpReader(DataSourceReader):
 
         context = ssl._create_unverified_context() if self.insecure else None
         request = urllib.request.Request(partition.value, headers={"User-Agent": self.agent})
+
+        def row(status: int, answer) -> tuple:
+            body = answer.read(self.limit + 1)
+            if len(body) > self.limit:
+                return partition.value, status, None, f"TooLong: more than {self.limit} bytes"
+            return partition.value, status, body.decode("utf-8", "replace"), None
+
         try:
-            with urllib.request.urlopen(request, timeout=self.timeout, context=context) as r:
-                yield partition.value, r.status, r.read(self.limit).decode("utf-8", "replace"), None
-        except urllib.error.HTTPError as e:  # an answer all the same
-            yield partition.value, e.code, e.read(self.limit).decode("utf-8", "replace"), None
+            try:
+                with urllib.request.urlopen(request, timeout=self.timeout, context=context) as r:
+                    yield row(r.status, r)
+            except urllib.error.HTTPError as e:  # an answer all the same
+                yield row(e.code, e)
         except Exception as e:
             yield partition.value, None, None, f"{type(e).__name__}: {e}"
 
