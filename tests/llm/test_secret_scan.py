@@ -50,3 +50,14 @@ def test_drop_and_redact(spark):
     df = spark.createDataFrame([(1, "clean text", 0), (2, "password=abcdefgh end", 0), (None, None, 0), (2, "é token=12345678 secret=abcdefghi", 0)], "doc_id long, text string, _n int").withColumnRenamed("_n", "keep")
     assert sorted(str(r.doc_id) for r in S.drop_documents(df).collect()) == ["1", "None"]
     assert sorted(str(r.text) for r in S.redact(df).collect()) == ["None", "[secret] end", "clean text", "é [secret] [secret]"]
+
+
+def test_short_random_keys_are_not_screened_out():
+    r = random.Random(3)
+    for n, least in ((20, 0.42), (24, 0.57), (28, 0.7), (32, 0.8), (40, 0.9)):
+        found = [p for _ in range(1000) if (p := battery("".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))))]
+        passed = [p for p in found if S.fisher(p[:2]) >= 2]
+        assert sum(S.joint(p) == 0 < S.fisher(p[:2]) for p in passed) <= 0.04 * len(passed)
+        assert sum(S.joint(p) >= 2 for p in found) > least * len(found)
+    letters = string.ascii_lowercase + string.digits
+    assert all(S.joint(battery(letters[i : i + 24])) == 0 for i in range(5, 12))

@@ -12,8 +12,10 @@ characters), hex (runs of 32 or more of 0-9a-f). The method adds kind random:
    alphabet, under text a noncentral chi-squared variable (its normal
    approximation); (b) runs of character classes (letter or digit, and case), of
    which text has fewer: a binomial tail. Small p: not text. The two are joined by
-   Fisher's method. (c) A candidate whose lag-1 serial correlation of alphabet
-   positions can't be told from SERIAL or more (sequences, repeats) has p = 1.
+   Fisher's method. (c) Sequences and repeats pass both, so a candidate whose
+   lag-1 serial correlation of alphabet positions differs from none at LEVEL has
+   p = 1: a share of LEVEL of random strings of any length, not more. Its p-value
+   is one of randomness and depends on (b), so Fisher's method can't take it in.
 3. Benjamini-Hochberg at rate Q over all candidates of the corpus, separately in
    each band of lengths, on a grid of p-values (0.1 in log10, rounded towards 1,
    so the control stays on the safe side). The table of counts has a fixed size,
@@ -50,9 +52,9 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Level of false discoveries among added spans.
 Q = 0.01
 #: Text-likeness under the hypothesis: noncentrality per character (k * sum of p^2 - 1 for identifiers made of words, least
-#: for 16 characters and more by STEP for each further one), chance that the next character is of another class, serial
-#: correlation of structured strings and the level of its test.
-UNEVEN, STEP, TURNS, SERIAL, LEVEL = 0.6, 0.0184, 0.45, 0.6, 0.02
+#: for 16 characters and more by STEP for each further one), chance that the next character is of another class; level of
+#: the test of serial correlation.
+UNEVEN, STEP, TURNS, LEVEL = 0.6, 0.0184, 0.45, 0.02
 #: Length bands (upper ends) and grid cells of -log10 p.
 BANDS = (23, 27, 31, 39, 47, 63, 95, 127, 255, 511, 1 << 62)
 CELLS, CELL = 3000, 0.1
@@ -98,7 +100,7 @@ def _at_least(turns: int, n: int) -> float:
 
 
 def battery(s: str) -> tuple[float, float, float] | None:
-    """p-values of the three tests against text-likeness; None where no encoding can be inferred."""
+    """p-values of two tests against text-likeness and of serial correlation against randomness; None where no encoding can be inferred."""
     alphabet = encoding(s)
     if alphabet is None:
         return None
@@ -118,7 +120,7 @@ def battery(s: str) -> tuple[float, float, float] | None:
     a, b = x[:-1] - x[:-1].mean(), x[1:] - x[1:].mean()
     spread = math.sqrt(float((a * a).sum() * (b * b).sum()))
     r = min(0.999, abs(float((a * b).sum()) / spread)) if spread else 0.999
-    serial = _normal((math.atanh(r) - math.atanh(SERIAL)) * math.sqrt(max(1, n - 3)))
+    serial = max(1e-300, math.erfc(math.atanh(r) * math.sqrt(max(1, n - 3)) / math.sqrt(2)))
     return uniform, turns, serial
 
 
@@ -131,7 +133,7 @@ def fisher(ps: tuple[float, ...]) -> float:
 
 def joint(ps: tuple[float, float, float]) -> float:
     """-log10 of a candidate's p-value."""
-    return 0.0 if ps[2] > LEVEL else fisher(ps[:2])
+    return 0.0 if ps[2] <= LEVEL else fisher(ps[:2])
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
