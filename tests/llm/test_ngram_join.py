@@ -114,3 +114,10 @@ def test_sketch_never_parts_linked_sets():
                 assert 100 * inter < 85 * (sizes[i] + sizes[j] - inter) or part[i] == part[j]
         if 100 < n < 10_000:
             assert part[5] != part[0]  # nothing in common
+
+
+def test_dedup_decides_by_row(spark):
+    text = lambda word: " ".join(f"{word}{i}" for i in range(60))
+    rows = [(1, text("a")), (5, text("a") + " end"), (5, text("b")), (None, text("c")), (None, text("c") + " end"), (None, text("d")), (7, text("e")), (7, text("e")), (7, text("e") + " end"), (8, None), (8, "")]
+    got = ngram_join.dedup(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, rep int")).collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:2]) for r in got) == [("1", "a0"), ("5", "b0"), ("7", "e0"), ("8", ""), ("8", ""), ("None", "c0"), ("None", "d0")]

@@ -430,9 +430,23 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the row with its smallest identifier. Rows with a null identifier and rows that repeat one stay."""
-    found = components_of(docs, k, percent, id_col, text_col).filter("doc_id is not null and component_id <> doc_id")
-    return keyed_filter(docs, save(found.select(F.col("doc_id").alias(id_col)).distinct(), "dropped"), id_col, "left_anti")
+    """docs with one row of each component: the one with its smallest identifier (null ones last, then by a hash of identifier and text). Rows without a word stay."""
+    doc_id, text = F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
+    sets, links = links_of(docs.select(doc_id, text), k, percent)
+    sets = sets.filter("set_key is not null")
+    roots = components(links, "links").select(F.col("node").alias("set_key"), "root")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rep")
+    by_key = sets.groupBy("set_key").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("size"))
+    rooted = save(by_key.join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")), "rooted")
+    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    told = save(rooted.join(first, "root").select("set_key", "size", F.col("first.rep").alias("kept")), "told")
+    verdicts = attach(sets, told, "set_key", "size", sets.count()).groupBy("rep").agg(F.max(F.col("rep") == F.col("kept")).alias("kept"), F.count(F.lit(1)).alias("n"))
+    verdicts = save(verdicts.select(F.col("rep").alias("_rep"), "kept", "n"), "verdicts")
+    rest = keyed_filter(docs.withColumn("_rep", F.xxhash64(doc_id, text)), verdicts.filter(~F.col("kept")).select("_rep"), "_rep", "left_anti")
+    twice = verdicts.filter("kept and n > 1").select("_rep")
+    if twice.isEmpty():
+        return rest.drop("_rep")
+    return keyed_filter(rest, twice, "_rep", "left_anti").unionByName(keyed_filter(rest, twice, "_rep", "left_semi").dropDuplicates(["_rep"])).drop("_rep")
 
 
 def brute_force(rows: list[tuple[int, str | None]], k: int, percent: int) -> list[tuple[int, int, int]]:
