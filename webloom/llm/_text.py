@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,11 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
+#: Masks that leave the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Spans of more than so many steps of 8 bytes are taken one by one.
+LONG_SPAN = 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,16 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _POWERS or len(_POWERS["p"]) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("p", _BASE), ("q", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, U64(base))
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["p"], _POWERS["q"]
-
-
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -74,17 +67,63 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def _long_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Which spans are short; the others get BLAKE2b hashes of their content."""
+    size = ends - starts
+    most = LONG_SPAN * 8 // values.itemsize
+    for i in np.flatnonzero(size > most):
+        out[i] = int.from_bytes(hashlib.blake2b(values[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return np.flatnonzero((size > 0) & (size <= most))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit content hashes of byte spans, from one running sum over all bytes."""
-    return value_hashes(_TABLE[data], starts, ends)
+    """64-bit content hashes of byte spans.
+
+    Each step takes the next 8 bytes of all spans that have some left through the mixer, which is not
+    linear, so no family of texts collides by structure; spans of equal length up to 8 never collide.
+    """
+    out = mix((ends - starts).astype(U64) * U64(_BASE))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    words = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    live = _long_hashes(data, starts, ends, out)
+    at, left = starts[live], ends[live] - starts[live]
+    while len(live):
+        out[live] = mix(out[live] ^ (words[at] & _FIRST[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each span equals the other one."""
+    out = ends - starts == other_ends - other
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    words = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    live = np.flatnonzero(out & (starts != other))
+    for i in live[(ends - starts)[live] > LONG_SPAN * 8]:
+        out[i] = (data[starts[i] : ends[i]] == data[other[i] : other_ends[i]]).all()
+    live = live[(ends - starts)[live] <= LONG_SPAN * 8]
+    x, y, left = starts[live], other[live], (ends - starts)[live]
+    while len(live):
+        keep = ((words[x] ^ words[y]) & _FIRST[np.clip(left, 0, 8)]) == 0
+        out[live[~keep]] = False
+        keep &= left > 8
+        live, x, y, left = live[keep], x[keep] + 8, y[keep] + 8, left[keep] - 8
+    return out
 
 
 def value_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """span_hashes for a random 64-bit value per position."""
-    p, q = _powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * p[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * q[starts])
+    """span_hashes for spans of 64-bit values."""
+    out = mix((ends - starts).astype(U64) * U64(_BASE) + U64(1))
+    live = _long_hashes(values, starts, ends, out)
+    at, end = starts[live], ends[live]
+    while len(live):
+        out[live] = mix(out[live] ^ values[at]) + U64(_BASE)
+        more = end - at > 1
+        live, at, end = live[more], at[more] + 1, end[more]
+    return out
 
 
 def chain(hashes: np.ndarray, k: int) -> np.ndarray:

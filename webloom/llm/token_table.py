@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm._common import map_arrow, partitions_for
-from webloom.llm._text import U64, column, mix, slices, value_hashes
+from webloom.llm._text import column, same_spans, slices, span_hashes
 
 MAGIC, VERSION, BLOCK, FOOTER = b"WLTOKSST", 1, 1 << 16, struct.Struct("<4Q2Q2I8s")
 INDEX_ENTRY, ENTRY = struct.Struct("<QIIQQH"), struct.Struct("<3I")
@@ -101,7 +101,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)  # ids of all known pieces, and where each one's begin
 
     def encode_slice(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,26 +138,35 @@ class Encoder:
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
     def _lookup(self, joined: str, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Index into ids of each piece; new pieces are encoded by the library."""
-        h = value_hashes(mix(code.astype(U64) + U64(1)), starts, ends)
-        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > self.limit:
+        """Index into ids of each piece; new pieces are encoded by the library. Pieces are known by their text; hashes only sort them."""
+        units = code.astype("<u2")  # plain texts have no other code points
+        where, back = _distinct(units, starts, ends)
+        texts = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        if len(self.known) + len(texts) > self.limit:
             self._clear()
-        keys = distinct.tolist()
         known = self.known
-        missing = [i for i, k in enumerate(keys) if k not in known]
+        missing = list(dict.fromkeys(t for t in texts if t not in known))
         if missing:
-            at = where[missing]
-            texts = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            known.update((keys[i], len(self.begin) - 1 + j) for j, i in enumerate(missing))
+            known.update((t, len(self.begin) - 1 + j) for j, t in enumerate(missing))
             flat, sizes = [self.flat], []
-            for i in range(0, len(texts), GROUP):  # the library's results take much room
-                new = [e.ids for e in self.lib.encode_batch_fast(texts[i : i + GROUP], add_special_tokens=False)]
+            for i in range(0, len(missing), GROUP):  # the library's results take much room
+                new = [e.ids for e in self.lib.encode_batch_fast(missing[i : i + GROUP], add_special_tokens=False)]
                 flat.append(np.fromiter(chain.from_iterable(new), np.uint32))
                 sizes += map(len, new)
             self.flat = np.concatenate(flat)
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-        return np.array([known[k] for k in keys], np.int64)[back]
+        return np.fromiter(map(known.__getitem__, texts), np.int64, len(texts))[back]
+
+
+def _distinct(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of a first piece of each content, which of these each piece is): sorted by hash, then compared with its first."""
+    raw = units.view(np.uint8)
+    _, where, back = np.unique(span_hashes(raw, starts * 2, ends * 2), return_index=True, return_inverse=True)
+    if not same_spans(raw, starts * 2, ends * 2, (starts * 2)[where][back], (ends * 2)[where][back]).all():
+        kinds: dict[bytes, int] = {}
+        back = np.array([kinds.setdefault(raw[2 * a : 2 * b].tobytes(), len(kinds)) for a, b in zip(starts, ends, strict=True)])
+        where = np.unique(back, return_index=True)[1]
+    return where, back
 
 
 def _cut(code: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
