@@ -39,7 +39,7 @@ def test_dedup_and_hot_group(spark, monkeypatch):
     from webloom.llm import _common
 
     monkeypatch.setattr(_common, "HOT_ROWS", 3)
-    df = spark.createDataFrame([*ROWS, (3, "a b")], "doc_id long, text string").withColumn("_key", F.lit(1)).withColumnRenamed("_key", "kept")
+    df = spark.createDataFrame([*ROWS, (3, "a b")], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("key", "_key", "Key_", "kept", "chunks", "_chunks", "recipe", "doc", "_doc")})
     got = exact_dedup.dedup(df)
     assert got.columns == df.columns
     left = {(d, sha) for d, _, _, kept, sha in want(ROWS) if kept}

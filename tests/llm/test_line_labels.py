@@ -55,7 +55,7 @@ def test_judge(spark):
     good = "The quick brown fox jumps over the lazy dog near the river.\nIt was a calm and pleasant evening in the old town."
     junk = "BUY!! NOW!! FREE!! $$$ CLICK!! HERE!! WIN!! BIG!! CASH!! TODAY!! ONLY!!"
     docs = [(i, good.replace("fox", f"fox{i} hen{i}")) for i in range(30)] + [(100 + i, junk.replace("WIN", f"WIN{i}")) for i in range(30)] + [(None, None), (1, good), (200, "")]
-    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "9 AS kept", "8 AS key")
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "9 AS kept", "8 AS key", "7 AS _key")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(100 + i, 0, 0) for i in range(20)], "doc_id long, quality int, toxic int")
     got = {(r.doc_id, r.n_words): r.kept for r in L.judge(df, labels).collect()}
     assert all(v for (d, _), v in got.items() if d is not None and d < 30) and not any(v for (d, _), v in got.items() if d is None or d >= 100)

@@ -47,7 +47,8 @@ def test_thresholds_are_benjamini_hochberg():
 
 
 def test_drop_and_redact(spark):
-    df = spark.createDataFrame([(1, "clean text", 0), (2, "password=abcdefgh end", 0), (None, None, 0), (2, "é token=12345678 secret=abcdefghi", 0)], "doc_id long, text string, _n int").withColumnRenamed("_n", "keep")
+    df = spark.createDataFrame([(1, "clean text", 0), (2, "password=abcdefgh end", 0), (None, None, 0), (2, "é token=12345678 secret=abcdefghi", 0)], "doc_id long, text string, _key int").selectExpr("*", "1 AS key", "2 AS _spans", "3 AS spans", "4 AS _text")
+    assert S.drop_documents(df).columns == S.redact(df).columns == df.columns
     assert sorted(str(r.doc_id) for r in S.drop_documents(df).collect()) == ["1", "None"]
     assert sorted(str(r.text) for r in S.redact(df).collect()) == ["None", "[secret] end", "clean text", "é [secret] [secret]"]
 

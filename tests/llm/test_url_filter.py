@@ -30,5 +30,11 @@ def test_judge_both_ways(spark, monkeypatch):
             m.setattr(url_filter, "BROADCAST_RULES", 1)
             assert sorted((x.page_id, x.host, x.path, x.rule, x.verdict) for x in url_filter.judge(df, rules).collect()) == want
     assert url_filter.judge(df.limit(0), RULES).collect() == []
+    upper = [Rule("EXAMPLE.Com", "de/", False)]
+    for bound in (10, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_RULES", bound)
+        assert {(x.rule, x.verdict) for x in url_filter.judge(df, upper).collect()} == {("example.com/de/", "block"), (None, "allow")}
+        assert url_filter.judge(df.limit(0), upper).collect() == []
+    monkeypatch.undo()
     table = spark.createDataFrame([("net", "", False)], "host string, path string, allow boolean")
     assert url_filter.judge(df, table, default="block").filter("verdict = 'allow'").count() == 0

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm._common import SPACE, attach, keyed_filter, save
+from webloom.llm._common import SPACE, attach, fresh, keyed_filter, save
 
 #: Chunk ends: after 256 characters or more at a space that follows one of these letters and one of those, or at 4096.
 LEAST, MOST, CUT = 256, 4096, r"[aeiou][dnrst]\x20"
@@ -40,24 +40,25 @@ def chunks_of(text: Column) -> Column:
 
 
 def recipes(docs: DataFrame, text_col: str = "text", hash_of=F.xxhash64) -> DataFrame:
-    """docs with a column recipe (binary): the ordered verified chunk identifiers of each text."""
-    base = docs.withColumn("_chunks", chunks_of(normalised(F.col(f"`{text_col}`"))))
-    pairs = base.select(F.explode("_chunks").alias("chunk")).select(hash_of("chunk").alias("h"), "chunk")
+    """docs with a column recipe (binary), which replaces one of that name: the ordered verified chunk identifiers of each text."""
+    chunks, doc = fresh(docs, "chunks"), fresh(docs, "doc")
+    base = docs.drop("recipe").withColumn(chunks, chunks_of(normalised(F.col(f"`{text_col}`"))))
+    pairs = base.select(F.explode(chunks).alias("chunk")).select(hash_of("chunk").alias("h"), "chunk")
     clashes = save(pairs.groupBy("h", "chunk").agg(F.lit(1).alias("one")).groupBy("h").count().filter("count > 1").select("h"), "clashes")
     if clashes.isEmpty():
         # Every hash stands for one content, so the hashes themselves are verified identifiers.
-        ids = F.transform("_chunks", lambda c: F.lpad(F.hex(hash_of(c)), 16, "0"))
-        return base.withColumn("recipe", F.unhex(F.array_join(ids, ""))).drop("_chunks")
+        ids = F.transform(chunks, lambda c: F.lpad(F.hex(hash_of(c)), 16, "0"))
+        return base.withColumn("recipe", F.unhex(F.array_join(ids, ""))).drop(chunks)
     # Contents under a hash that several share are numbered; all their chunks pass through one join by hash and content.
     several = pairs.join(clashes, "h", "left_semi").distinct()
     # A clashing hash has a handful of contents; the rank of each is the count of smaller ones under its hash.
     other = several.select("h", F.col("chunk").alias("less"))
     numbered = save(several.join(other, "h").groupBy("h", "chunk").agg(F.sum((F.col("less") < F.col("chunk")).cast("int")).alias("ordinal")), "ordinals")
-    keyed = base.withColumn("_doc", F.sha2(normalised(F.col(f"`{text_col}`")), 256))
-    parts = keyed.select("_doc", "_chunks").dropDuplicates(["_doc"]).select("_doc", F.posexplode("_chunks").alias("pos", "chunk")).withColumn("h", hash_of("chunk"))
-    ids = parts.join(numbered, ["h", "chunk"], "left").select("_doc", "pos", F.concat(F.lpad(F.hex("h"), 16, "0"), F.lpad(F.hex(F.coalesce("ordinal", F.lit(0))), 4, "0")).alias("id"))
-    lists = ids.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("l")).select("_doc", F.unhex(F.array_join(F.col("l.id"), "")).alias("recipe"))
-    return keyed.drop("_chunks").join(lists, "_doc", "left").drop("_doc").withColumn("recipe", F.coalesce("recipe", F.lit(b"")))
+    keyed = base.withColumn(doc, F.sha2(normalised(F.col(f"`{text_col}`")), 256))
+    parts = keyed.select(F.col(doc).alias("doc"), F.col(chunks).alias("chunks")).dropDuplicates(["doc"]).select("doc", F.posexplode("chunks").alias("pos", "chunk")).withColumn("h", hash_of("chunk"))
+    ids = parts.join(numbered, ["h", "chunk"], "left").select("doc", "pos", F.concat(F.lpad(F.hex("h"), 16, "0"), F.lpad(F.hex(F.coalesce("ordinal", F.lit(0))), 4, "0")).alias("id"))
+    lists = ids.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("l")).select(F.col("doc").alias(doc), F.unhex(F.array_join(F.col("l.id"), "")).alias("recipe"))
+    return keyed.drop(chunks).join(lists, doc, "left").drop(doc).withColumn("recipe", F.coalesce("recipe", F.lit(b"")))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=F.xxhash64) -> DataFrame:
@@ -75,11 +76,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Of several rows with the smallest identifier itself one stays.
     """
     key = F.concat_ws("|", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.sha2(normalised(F.col(f"`{text_col}`")), 256))
-    rows = docs.withColumn("_key", key)
-    told = groups(docs, id_col, text_col).select(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_sha256").alias("_key"), "kept")
-    told = save(told.groupBy("_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "verdicts")
-    rest = keyed_filter(rows, told.filter(~F.col("kept")).select("_key"), "_key", "left_anti")
-    twice = told.filter("kept and n > 1").select("_key")
+    mark = fresh(docs, "key")
+    rows = docs.withColumn(mark, key)
+    told = groups(docs, id_col, text_col).select(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_sha256").alias(mark), "kept")
+    told = save(told.groupBy(mark).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "verdicts")
+    rest = keyed_filter(rows, told.filter(~F.col("kept")).select(mark), mark, "left_anti")
+    twice = told.filter("kept and n > 1").select(mark)
     if twice.isEmpty():
-        return rest.drop("_key")
-    return keyed_filter(rest, twice, "_key", "left_anti").unionByName(keyed_filter(rest, twice, "_key", "left_semi").dropDuplicates(["_key"])).drop("_key")
+        return rest.drop(mark)
+    return keyed_filter(rest, twice, mark, "left_anti").union(keyed_filter(rest, twice, mark, "left_semi").dropDuplicates([mark])).drop(mark)

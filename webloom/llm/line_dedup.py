@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm._common import attach, keyed_filter, map_arrow, save
+from webloom.llm._common import attach, fresh, keyed_filter, map_arrow, save
 from webloom.llm._text import U64, column, mix, slices, span_hashes, value_hashes, word_spans
 
 DEPTH, MIN_DOCS, SOLID = 2, 10, 70
@@ -106,7 +106,7 @@ def _places_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = column(batch, "doc").to_numpy()
         for lo, _, offs, data in slices(column(batch, "text")):
             text, place, _, _, mask, _, _ = lines_of(data, offs)
-            yield pa.RecordBatch.from_arrays([pa.array(docs[lo + text]), pa.array(place, pa.int32()), pa.array(mask.view(np.int64))], ["_doc", "pos", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs[lo + text]), pa.array(place, pa.int32()), pa.array(mask.view(np.int64))], ["doc", "pos", "mask"])
 
 
 def recurring_masks(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,15 +142,16 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", tex
     """docs with the lines of recurring templates taken out of the text; texts that hold none are as they were. counter: a column for their number."""
     gone = recurring_masks(docs, min_docs, id_col, text_col)
     text = F.col(f"`{text_col}`").cast("string")
-    places = map_arrow(_keyed(docs, id_col, text_col), _places_task, "_doc long, pos int, mask long")
-    hit = keyed_filter(places, gone, "mask", "left_semi").select("_doc", "pos").distinct()
-    bad = save(hit.groupBy("_doc").agg(F.collect_list("pos").alias("_gone")), "hit-lines")
-    rows = keyed_filter(docs.withColumn("_doc", F.xxhash64(F.col(f"`{id_col}`"), text)), bad, "_doc", "left")
-    left = F.array_join(F.filter(_split(text), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    out = rows.withColumn(text_col, F.when(F.col("_gone").isNull(), text).otherwise(left))
+    places = map_arrow(_keyed(docs, id_col, text_col), _places_task, "doc long, pos int, mask long")
+    hit = keyed_filter(places, gone, "mask", "left_semi").select("doc", "pos").distinct()
+    doc, held = fresh(docs, "doc"), fresh(docs, "gone")
+    bad = save(hit.groupBy(F.col("doc").alias(doc)).agg(F.collect_list("pos").alias(held)), "hit-lines")
+    rows = keyed_filter(docs.withColumn(doc, F.xxhash64(F.col(f"`{id_col}`"), text)), bad, doc, "left").select(*(f"`{c}`" for c in docs.columns), held)
+    left = F.array_join(F.filter(_split(text), lambda _, i: ~F.array_contains(held, i)), "\n")
+    out = rows.withColumn(text_col, F.when(F.col(held).isNull(), text).otherwise(left))
     if counter:
-        out = out.withColumn(counter, F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    return out.drop("_doc", "_gone")
+        out = out.withColumn(counter, F.coalesce(F.size(held), F.lit(0)).cast("long"))
+    return out.drop(held)
 
 
 def report(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

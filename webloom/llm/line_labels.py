@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm._common import keyed_filter, map_arrow, save
+from webloom.llm._common import fresh, keyed_filter, map_arrow, save
 from webloom.llm._text import column, slices, span_hashes, window_hashes, word_spans
 
 SAMPLE, PIECE, STEPS, SHARE = 4_000, 64, 120, 0.5
@@ -267,6 +267,7 @@ def judge(docs: DataFrame, labels: DataFrame, share: float = SHARE, id_col: str
 
 def keep(docs: DataFrame, labels: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs that are kept, columns as they were."""
-    out = save(judge(docs, labels, share, id_col, text_col).filter("not kept").select(F.col("key").alias("_key")).distinct(), "failed")
+    mark = fresh(docs, "key")
+    out = save(judge(docs, labels, share, id_col, text_col).filter("not kept").select(F.col("key").alias(mark)).distinct(), "failed")
     key = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
-    return keyed_filter(docs.withColumn("_key", key), out, "_key", "left_anti").drop("_key")
+    return keyed_filter(docs.withColumn(mark, key), out, mark, "left_anti").drop(mark)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm._common import keyed_filter, map_arrow, save
+from webloom.llm._common import fresh, keyed_filter, map_arrow, save
 from webloom.llm._text import LOWER, column, slices
 
 KINDS = ("assign", "access", "hex", "random")
@@ -233,22 +233,24 @@ def digest(found: DataFrame) -> DataFrame:
 def drop_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = Q) -> DataFrame:
     """docs without those that hold a secret. Rows are told by doc_id and text."""
     key = F.xxhash64(f"`{id_col}`", f"`{text_col}`")
-    found = scan(docs.select(key.alias("_key"), F.col(f"`{text_col}`").alias("_text")), "_key", "_text", q).filter(F.size("spans") > 0)
-    bad = save(found.select(F.col("doc_id").alias("_key")).distinct(), "secret-keys")
-    return keyed_filter(docs.withColumn("_key", key), bad, "_key", "left_anti").drop("_key")
+    mark = fresh(docs, "key")
+    found = scan(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), "key", "text", q).filter(F.size("spans") > 0)
+    bad = save(found.select(F.col("doc_id").alias(mark)).distinct(), "secret-keys")
+    return keyed_filter(docs.withColumn(mark, key), bad, mark, "left_anti").drop(mark)
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", q: float = Q) -> DataFrame:
     """docs with each secret replaced by a mark; touching spans give one mark."""
     key = F.xxhash64(f"`{text_col}`")
-    spans = scan(docs.select(key.alias("_key"), F.col(f"`{text_col}`").alias("_text")), "_key", "_text", q).filter(F.size("spans") > 0)
-    bad = save(spans.groupBy(F.col("doc_id").alias("_key")).agg(F.first("spans").alias("_spans")), "secret-spans")
-    rows = keyed_filter(docs.withColumn("_key", key), bad, "_key", "left")
+    mark_key, held = fresh(docs, "key"), fresh(docs, "spans")
+    spans = scan(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), "key", "text", q).filter(F.size("spans") > 0)
+    bad = save(spans.groupBy(F.col("doc_id").alias(mark_key)).agg(F.first("spans").alias(held)), "secret-spans")
+    rows = keyed_filter(docs.withColumn(mark_key, key), bad, mark_key, "left").select(*(f"`{c}`" for c in docs.columns), held)
     text = F.col(f"`{text_col}`")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     step = lambda a, x: F.when(x["start"] >= a["at"], F.struct(F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, (x["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out"), x["end"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], x["end"]).alias("at")))
-    done = F.aggregate(F.col("_spans"), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, 1 << 30)))
-    return rows.withColumn(text_col, F.coalesce(F.when(F.col("_spans").isNotNull(), done), text)).drop("_key", "_spans")
+    done = F.aggregate(F.col(held), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, 1 << 30)))
+    return rows.withColumn(text_col, F.coalesce(F.when(F.col(held).isNotNull(), done), text)).drop(held)
 
 
 def base_digest(text: str | None) -> tuple[int, int, int, str]:

@@ -1,6 +1,6 @@
 """URL allow and block lists in a trie over reversed host labels and path segments.
 
-A rule is (host, path, action). It fits its host and all subdomains, if the
+A rule is (host, path, action), its host A-Z lower-cased. It fits its host and all subdomains, if the
 url's path starts with "/" + the rule's path. Of several fitting rules the one
 with most host labels wins, then the longest path; of an allow and a block rule
 with the same host and path the allow rule wins. Where none fits, the verdict is
@@ -31,12 +31,19 @@ from webloom.llm._text import column
 BROADCAST_RULES = 500_000
 
 
+_UPPER_AZ, _LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWER = str.maketrans(_UPPER_AZ, _LOWER_AZ)
+
+
 @dataclass(frozen=True)
 class Rule:
     host: str
     path: str  # without the leading "/"
     allow: bool
 
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "host", self.host.translate(_LOWER))
+
     @property
     def name(self) -> str:
         return f"{self.host}/{self.path}"
@@ -61,7 +68,7 @@ class UrlTrie:
         self.root = _Labels()
         for rule in rules:
             node = self.root
-            for label in reversed(rule.host.lower().split(".")):
+            for label in reversed(rule.host.split(".")):
                 node = node.kids.setdefault(label, _Labels())
             node.paths = at = node.paths or _Paths()
             *segments, end = rule.path.split("/")
@@ -97,7 +104,7 @@ class UrlTrie:
 
 
 def host_of(url: Column) -> Column:
-    return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), _UPPER_AZ, _LOWER_AZ)
 
 
 def path_of(url: Column) -> Column:
@@ -138,7 +145,7 @@ def _by_join(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     pages = rows.select("host", "path").distinct()
-    r = rules.select(F.lower("host").alias("suffix"), F.col("path").alias("rule_path"), "allow")
+    r = rules.select(F.translate("host", _UPPER_AZ, _LOWER_AZ).alias("suffix"), F.col("path").alias("rule_path"), "allow")
     tests = pages.select("host", "path", F.explode(suffixes).alias("suffix")).join(r, "suffix").filter(F.col("path").startswith(F.concat(F.lit("/"), F.col("rule_path"))))
     rank = F.struct(F.size(F.split("suffix", r"\.")), F.length("rule_path"), "allow")
     best = tests.groupBy("host", "path").agg(F.max_by(F.struct(F.concat_ws("/", "suffix", "rule_path").alias("rule"), F.when(F.col("allow"), "allow").otherwise("block").alias("verdict")), rank).alias("b"))
