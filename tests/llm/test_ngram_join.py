@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from webloom.llm import ngram_join
@@ -28,26 +29,59 @@ def test_matches_brute_force(spark, k, percent):
     assert sorted(tuple(r) for r in got.collect()) == ngram_join.brute_force(rows, k, percent)
 
 
-def test_large_block_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "PIECE_SHINGLES", 300)
-    r = random.Random(5)
-    base = [f"w{i}" for i in range(100)]
+def near_copies(seed, n, changes):
+    r = random.Random(seed)
+    base = [f"s{seed}w{i}" for i in range(100)]
     rows = []
-    for i in range(40):
+    for i in range(n):
         words = list(base)
-        for _ in range(i % 4):
-            words[r.randrange(100)] = f"x{r.randrange(1000)}"
-        rows.append((i, " ".join(words)))
-    got = ngram_join.components_of(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+        for _ in range(r.choice(changes)):
+            words[r.randrange(100)] = f"x{r.randrange(100_000)}"
+        rows.append((1000 * seed + i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("group", "frequent", "pieces"), [(8, 32, 2000), (3, 2, 400)])
+def test_large_groups_and_blocks_in_pieces(spark, monkeypatch, group, frequent, pieces):
+    """Groups beyond the bound become stars or are signed again; blocks of several pieces are joined by a pivot, then by what lies outside."""
+    for name, value in {"PIECE_SHINGLES": pieces, "GROUP": group, "FREQUENT": frequent}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = near_copies(1, 40, [0, 1, 2, 3]) + near_copies(2, 30, [1, 2, 4, 6]) + [(5000 + i, passage + " " + t) for i, t in near_copies(3, 1, [0]) + near_copies(4, 12, [0, 1, 9])]
+    r = random.Random(1)
+    rows += [(9000 + i, passage + " " + " ".join(f"u{r.randrange(10**6)}" for _ in range(40))) for i in range(60)]
+    got = ngram_join.components_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 4, 85)
     assert sorted(tuple(x) for x in got.collect()) == ngram_join.brute_force(rows, 4, 85)
 
 
+def test_many_different_sets_under_one_signature(spark):
+    """20,000 texts that share a passage of half their length, so thousands share a signature; ten of them are copied with a change."""
+    r = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, passage + " " + " ".join(f"u{r.randrange(10**8)}" for _ in range(40))) for i in range(20_000)]
+    rows += [(30_000 + i, rows[i * 7][1] + " end") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {x.doc_id: x.component_id for x in ngram_join.components_of(docs, 4, 85).collect()}
+    assert got == {i: i for i in range(20_000)} | {30_000 + i: i * 7 for i in range(10)}
+
+
+def test_groups_pass_through_without_being_held():
+    rows = sorted([(5, 0, i) for i in range(30_000)] + [(6, -1, 3)] + [(6, 0, i) for i in range(4)] + [(6, 2, i) for i in range(40)] + [(7, 0, 1), (7, 0, 1), (7, 0, 2), (8, 0, 9)], key=lambda x: (x[0], max(x[1], 0), x[1], x[2]))
+    table = pa.table({"sig": pa.array([x[0] for x in rows], pa.int64()), "salt": pa.array([x[1] for x in rows], pa.int32()), "set_key": pa.array([x[2] for x in rows], pa.int64())})
+    for size in (1, 7, 1000, 100_000):
+        out = list(ngram_join._groups_task(512)(iter(table.to_batches(size))))
+        got = {(g, k, b) for x in out for g, k, b in zip(*(c.to_pylist() for c in x.columns), strict=True)}
+        assert {k for g, k, b in got if g == 5 and b} == set(range(30_000)) and {k for g, k, b in got if g == 6 and b} == {*range(4), *range(40)}
+        assert sorted(k for _, k, b in got if not b) == [1, 2]
+        assert size > 1000 or max(x.num_rows for x in out) <= 1024 + size
+
+
 def test_nulls_repeats_extra_columns_and_empty(spark):
     t = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(None, t, 1), (7, t, 2), (7, t, 3), (9, t + " more", 4), (None, "zz", 5), (None, "zz", 6)], "doc_id long, text string, rep long")
     got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in ngram_join.components_of(df, 4, 85).collect())
     assert got == sorted([("None", 27, "7"), ("7", 27, "7"), ("7", 27, "7"), ("9", 28, "7"), ("None", 1, "None"), ("None", 1, "None")])
-    assert sorted(str(x.doc_id) for x in ngram_join.dedup(df, 4, 85).collect()) == ["7", "7", "None", "None", "None"]
+    assert sorted(str(x.doc_id) for x in ngram_join.dedup(df, 4, 85).collect()) == ["7", "None"]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.components_of(empty).collect() == []
 
@@ -84,8 +118,6 @@ def test_trie_against_pairs():
 
 
 def test_words_split_at_ascii_space_only():
-    import pyarrow as pa
-
     col = pa.array(["a b c", None, "A b\x0bC", "a b c"])
     ((_, _, offs, data),) = slices(col)
     text, sh = shingle_sets(data, offs, 3)
@@ -119,5 +151,7 @@ def test_sketch_never_parts_linked_sets():
 def test_dedup_decides_by_row(spark):
     text = lambda word: " ".join(f"{word}{i}" for i in range(60))
     rows = [(1, text("a")), (5, text("a") + " end"), (5, text("b")), (None, text("c")), (None, text("c") + " end"), (None, text("d")), (7, text("e")), (7, text("e")), (7, text("e") + " end"), (8, None), (8, "")]
-    got = ngram_join.dedup(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, rep int")).collect()
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, rep int").selectExpr("*", "1 AS _rep", "2 AS kept")
+    assert ngram_join.dedup(df).columns == df.columns
+    got = ngram_join.dedup(df).collect()
     assert sorted((str(r.doc_id), (r.text or "")[:2]) for r in got) == [("1", "a0"), ("5", "b0"), ("7", "e0"), ("8", ""), ("8", ""), ("None", "c0"), ("None", "d0")]

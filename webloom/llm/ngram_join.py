@@ -8,20 +8,27 @@ hash. Two documents link when 100 * |A & B| >= percent * |A | B|.
 1. Every set is signed. Linked sets of sizes a <= b differ in at most
    (a + b) * (100 - percent) / (100 + percent) shingles. Sizes fall into bands;
    within a band the hash range is cut into more segments than a linked pair can
-   have differences, so some segment is equal in both. A segment's content hash
-   is its signature. A task signs equal sets once, so copies cost each task one
-   set of rows.
-2. Sets that share a signature form groups; equal groups are merged. In a group two
-   sets stay together if their sketches (counts of shingles by low hash bits) allow
+   have differences, so some segments are equal in both. The content hash of a segment
+   that isn't empty is a signature. A set with so many empty segments that these could be all
+   it shares also signs its first n - ceil(n * percent / 100) + 1 shingles in the global order, of which linked
+   sets share one. A task signs equal sets once, so copies cost each task one set of rows.
+2. Sets that share a signature form groups; equal groups are merged. In a group of up to GROUP
+   sets two stay together if their sketches (counts of shingles by low hash bits) allow
    the overlap that a link needs: the sum of the smaller counts is never below it.
-   That parts documents that only share a passage. Spanning edges of what is left
-   give components, the blocks. No link crosses two blocks.
-3. The sets of a block meet in one task, or, where a block is large, in one task
-   for each pair of its pieces. There they are ordered by frequency, then hash, and
+   That parts documents that only share a passage. A larger group is never held by a task: each of
+   its sets is compared with one of them, the pivot. Where half or more may link with it, the
+   group is a star; otherwise its sets are signed again after another hash, once more together with
+   the group, which parts those that have no more than a passage in common (LEVELS times, then a star).
+   Signatures that are frequent within a slice of texts are dealt over SALTS tasks.
+   Components of all these edges are the blocks. No link crosses two blocks.
+3. A block is cut into pieces of bounded size. In each piece sets are ordered by frequency, then hash, and
    stored in a trie with compressed paths. Probes walk the trie together, sharing the
    overlaps of common prefixes; a probe leaves a subtree when its overlap so far plus
    what can remain in probe and subtree is below the overlap that a link needs,
    or when the subtree's sets are all known to be connected with the probe.
+   Where a block has several pieces, one set of its largest component then visits every piece, which
+   joins what belongs together in a large group of near copies. Sets that are still outside the block's largest
+   component, and only these, visit all pieces of the block.
 4. Links found span the components.
 
 Whether two documents link is decided on the counts of equal 64-bit shingle
@@ -38,17 +45,20 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm._common import attach, components, keyed_filter, map_arrow, save
+from webloom.llm._common import attach, components, fresh, keyed_filter, map_arrow, save
 from webloom.llm._text import U64, column, mix, shingle_sets, slices
 
-#: Shingles that one piece of a block may hold; a larger block is cut into pieces that meet in pairs.
-PIECE_SHINGLES = 400_000
+#: What one piece of a block may hold: shingles, and about so many sets.
+PIECE_SHINGLES, PIECE_SETS = 400_000, 160
+#: Largest group whose sets are compared with each other; levels of signing; sets of a slice that make a signature frequent; tasks it is dealt over.
+GROUP, LEVELS, FREQUENT, SALTS = 512, 3, 32, 64
 
 
 class Bands:
@@ -62,7 +72,7 @@ class Bands:
         #: Largest partner of a band's sets.
         self.reach = self.top * 100 // percent
         differences = (self.top + self.reach) * (100 - percent) // (100 + percent)
-        #: Segments beyond the differences: so many empty segments a set may have before it must sign these too.
+        #: Segments beyond the differences: up to so many empty segments a linked pair has others in common.
         self.slack = 1 + differences // 25
         self.segments = differences + 1 + self.slack
 
@@ -120,8 +130,8 @@ def _sets_task(k: int):
     return run
 
 
-def _signatures(first: np.ndarray, sizes: np.ndarray, sh: np.ndarray, bands: Bands, chosen: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set index, signature) of the chosen sets in the given bands."""
+def _signatures(first: np.ndarray, sizes: np.ndarray, sh: np.ndarray, bands: Bands, percent: int, chosen: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set index, signature) of the chosen sets in the given bands. sh: ordered within each set."""
     segments = bands.segments[band]
     length = sizes[chosen]
     base = np.concatenate([[0], np.cumsum(segments)])
@@ -135,14 +145,21 @@ def _signatures(first: np.ndarray, sizes: np.ndarray, sh: np.ndarray, bands: Ban
     owner = np.searchsorted(base, used, "right") - 1
     place = (used - base[owner]).astype(U64)
     filled = np.bincount(owner, minlength=len(chosen))
-    # A set with more empty segments than the slack covers signs its empty segments as well.
+    who, sig = chosen[owner], mix(sums + mix(place + (band[owner].astype(U64) << U64(32)) + U64(1)))
     for i in np.flatnonzero(segments - filled > bands.slack[band]):
-        empty = np.setdiff1d(np.arange(segments[i]), place[owner == i].astype(np.int64))
-        owner, place, sums = np.concatenate([owner, np.full(len(empty), i)]), np.concatenate([place, empty.astype(U64)]), np.concatenate([sums, np.zeros(len(empty), U64)])
-    return chosen[owner], mix(sums + mix(place + (band[owner].astype(U64) << U64(32)) + U64(1)))
+        n = int(length[i])
+        head = sh[first[chosen[i]] : first[chosen[i]] + n + (-percent * n // 100) + 1]
+        who, sig = np.concatenate([who, np.full(len(head), chosen[i])]), np.concatenate([sig, mix(head ^ U64(0x5BF0_3635_DCF4_98B1))])
+    return who, sig
 
 
-def _sign_task(k: int, bands: Bands):
+def _sign_task(k: int, percent: int, level: int = 0):
+    """(sig, salt, set_key): salt 0, or for signatures frequent in a slice 1 to SALTS, and one row with salt -1 that tells of it.
+
+    level 0 takes text; others take text, want (the set key) and grps, the groups that are signed again.
+    """
+    bands = Bands(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -154,43 +171,92 @@ def _sign_task(k: int, bands: Bands):
                 if not len(new):
                     continue
                 seen.update(keys[new].tolist())
+                if level:
+                    sh = mix(sh + U64(level) * U64(0x9E3779B97F4A7C15))
+                    sh = sh[np.lexsort((sh, text))]
                 own = bands.of(sizes[new])
                 # A set also stands in the band below while a set of that band can link with it.
                 lower = (own > 0) & (sizes[new] <= bands.reach[np.maximum(own - 1, 0)])
-                parts = [_signatures(first, sizes, sh, bands, new, own), _signatures(first, sizes, sh, bands, new[lower], own[lower] - 1)]
+                parts = [_signatures(first, sizes, sh, bands, percent, new, own), _signatures(first, sizes, sh, bands, percent, new[lower], own[lower] - 1)]
                 who, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(keys[who])], ["sig", "set_key"])
+                if level:
+                    lists = column(batch, "grps").slice(lo, hi - lo)
+                    n = np.diff(lists.offsets.to_numpy())
+                    begin, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy().view(U64)
+                    times = n[who]
+                    at = np.repeat(begin[who] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+                    who, sig = np.repeat(who, times), mix(np.repeat(sig, times) ^ mix(flat[at]))
+                _, where, back, count = np.unique(sig, return_index=True, return_inverse=True, return_counts=True)
+                often = count >= FREQUENT
+                salt = np.where(often[back], 1 + (mix(keys[who].view(U64)) % U64(SALTS)).astype(np.int64), 0)
+                told = where[often]
+                sig, salt, who = np.concatenate([sig, sig[told]]), np.concatenate([salt, np.full(len(told), -1)]), np.concatenate([who, who[told]])
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(salt, pa.int32()), pa.array(keys[who])], ["sig", "salt", "set_key"])
 
     return run
 
 
-def _groups_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by signature and key. Out: (grp, set_key) for signatures of several sets; grp tells member lists apart."""
+def _groups_task(limit: int):
+    """Rows come sorted by signature, salt (-1 and 0 meet) and key. Out: (grp, set_key, big) for signatures of several sets.
 
-    def groups(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    A group of up to limit sets is told by its members, so that equal groups are one; a big one by its signature, and passes through without being held.
+    """
+
+    def out(grp: np.ndarray, key: np.ndarray, big: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(grp.view(np.int64)), pa.array(key), pa.array(np.full(len(key), big))], ["grp", "set_key", "big"])
+
+    def groups(sig: np.ndarray, salt: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        run = np.concatenate([[True], (sig[1:] != sig[:-1]) | (np.maximum(salt[1:], 0) != np.maximum(salt[:-1], 0))])
+        owner = np.cumsum(run) - 1
+        told = np.zeros(owner[-1] + 1, bool)
+        told[owner[salt != 0]] = True
+        told |= np.bincount(owner) > limit
+        big = told[owner]
+        if big.any():
+            yield out(sig[big], key[big], True)
+        sig, key = sig[~big], key[~big]
+        if not len(sig):
+            return
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
         sig, key = sig[new], key[new]
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(np.append(start, len(sig)))
-        tag = mix(np.add.reduceat(mix(key.view(U64)), start) + size.astype(U64)) if len(start) else np.zeros(0, U64)
+        tag = mix(np.add.reduceat(mix(key.view(U64)), start) + size.astype(U64))
         several = np.repeat(size > 1, size)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(tag, size)[several].view(np.int64)), pa.array(key[several])], ["grp", "set_key"])
+        yield out(np.repeat(tag, size)[several], key[several], False)
 
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-    for batch in batches:
-        sig, key = (np.concatenate([h, column(batch, c).to_numpy()]) for h, c in zip(held, ("sig", "set_key"), strict=True))
-        if not len(sig):
-            continue
-        cut = int(np.searchsorted(sig, sig[-1]))
-        held = [sig[cut:], key[cut:]]
-        if cut:
-            yield groups(sig[:cut], key[:cut])
-    yield groups(*held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("sig", "salt", "set_key")
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+        passing = None  # the (signature, salt) of a big group whose rows still come
+        for batch in batches:
+            sig, salt, key = (np.concatenate([h, column(batch, c).to_numpy()]) for h, c in zip(held, names, strict=True))
+            if not len(sig):
+                continue
+            dealt = np.maximum(salt, 0)
+            same = int(np.argmin(np.append((sig == passing[0]) & (dealt == passing[1]), False))) if passing else 0
+            if same:
+                yield out(sig[:same], key[:same], True)
+            last = (sig == sig[-1]) & (dealt == dealt[-1])
+            cut = max(same, int(np.argmax(last)))
+            if cut > same:
+                yield from groups(sig[same:cut], salt[same:cut], key[same:cut])
+            if cut < len(sig) and (len(sig) - cut > 2 * limit or salt[cut] != 0):
+                passing = (sig[-1], dealt[-1])
+                yield out(sig[cut:], key[cut:], True)
+                cut = len(sig)
+            elif cut < len(sig):
+                passing = None
+            held = [sig[cut:], salt[cut:], key[cut:]]
+        if len(held[0]):
+            yield from groups(*held)
+
+    return run
 
 
 def _edges_task(percent: int):
-    """Rows come sorted by group: edges (a, b) between sets of a group that may link."""
+    """Rows come sorted by group, up to GROUP sets each: edges (a, b) between sets of a group that may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, keys, sizes, sketches = None, [], [], []
@@ -214,25 +280,67 @@ def _edges_task(percent: int):
     return run
 
 
+def _pivot_task(percent: int):
+    """Whether each set may link with its group's pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [column(batch, c).to_pylist() for c in ("sketch", "pivot_sketch", "n_shingles", "pivot_size")]
+            may = [bool(may_link([a, b], np.array([n, m]), percent)) for a, b, n, m in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([column(batch, "grp"), column(batch, "set_key"), column(batch, "pivot"), pa.array(may, pa.bool_())], ["grp", "set_key", "pivot", "may"])
+
+    return run
+
+
+def _stars(big: DataFrame, chosen: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """(edges, rest): big groups half of whose sets may link with their pivot as stars; (grp, set_key) of the others."""
+    by = big.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("pivot"))
+    told = chosen.select(F.col("set_key").alias("pivot"), F.col("sketch").alias("pivot_sketch"), F.col("n_shingles").alias("pivot_size"))
+    pivots = save(by.join(told, "pivot"), "pivots")
+    if last:
+        seen = attach(big, pivots.select("grp", "pivot", "n"), "grp", "n", big.count())
+        return seen.select(F.col("set_key").alias("a"), F.col("pivot").alias("b")), big.limit(0)
+    both = attach(big.join(chosen.select("set_key", "n_shingles", "sketch"), "set_key"), pivots, "grp", "n", big.count())
+    seen = save(map_arrow(both.select("grp", "set_key", "pivot", "sketch", "pivot_sketch", "n_shingles", "pivot_size"), _pivot_task(percent), "grp long, set_key long, pivot long, may boolean"), "pivoted")
+    dense = save(seen.groupBy("grp").agg(F.avg(F.col("may").cast("int")).alias("share")).filter("share >= 0.5").select("grp"), "dense")
+    return keyed_filter(seen, dense, "grp", "left_semi").select(F.col("set_key").alias("a"), F.col("pivot").alias("b")), keyed_filter(seen, dense, "grp", "left_anti").select("grp", "set_key")
+
+
+def _blocks(docs: DataFrame, rows: DataFrame, chosen: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, root): sets by the block that holds all their links."""
+    signed = map_arrow(docs.select("text"), _sign_task(k, percent), "sig long, salt int, set_key long")
+    edges: list[DataFrame] = []
+    for level in range(1, LEVELS + 1):
+        dealt = signed.repartition(F.col("sig"), F.greatest("salt", F.lit(0))).sortWithinPartitions("sig", F.greatest("salt", F.lit(0)), "salt", "set_key")
+        groups = save(map_arrow(dealt, _groups_task(GROUP), "grp long, set_key long, big boolean").distinct(), "groups")
+        small = groups.filter("not big").join(chosen, "set_key").select("grp", "set_key", "n_shingles", "sketch")
+        edges.append(map_arrow(small.repartition("grp").sortWithinPartitions("grp"), _edges_task(percent), "a long, b long"))
+        big = groups.filter("big").select("grp", "set_key")
+        if big.isEmpty():
+            break
+        star, rest = _stars(big, chosen, percent, level == LEVELS)
+        edges.append(star)
+        if rest.isEmpty():
+            break
+        # A set has no more groups than signatures.
+        again = save(rest.groupBy("set_key").agg(F.collect_list("grp").alias("grps")).join(chosen.select("set_key", "rep"), "set_key").select("rep", "grps"), "again")
+        signed = map_arrow(keyed_filter(rows.select("text", "rep"), again, "rep", "inner").select("text", "grps"), _sign_task(k, percent, level), "sig long, salt int, set_key long")
+    return components(reduce(DataFrame.union, edges), "blocks")
+
+
 def _content_task(k: int):
     """The ordered sets of those rows whose own key is the wanted one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("block", "pieces", "piece", "want")
         for batch in batches:
-            names = ("block", "pieces", "piece", "want")
             for lo, hi, offs, data in slices(column(batch, "text")):
                 text, sh = shingle_sets(data, offs, k)
                 first, sizes, keys = _keys(text, sh, hi - lo)
-                block, pieces, piece, want = (column(batch, c).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for c in names)
-                rows: list[tuple] = []
-                for i in np.flatnonzero((keys == want) & (sizes > 0)):
-                    tokens = sh[first[i] : first[i + 1]].tobytes()
-                    for j in range(int(pieces[i])):
-                        x, y = sorted((int(piece[i]), j))
-                        rows.append((int(block[i]), x, y, int(piece[i]), int(keys[i]), tokens))
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["block", "x", "y", "piece", "set_key", "tokens"])
+                cols = [column(batch, c).slice(lo, hi - lo) for c in names]
+                right = np.flatnonzero((keys == cols[3].to_numpy()) & (sizes > 0))
+                tokens = pa.array([sh[first[i] : first[i + 1]].tobytes() for i in right], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(right)) for c in cols), tokens], ["block", "pieces", "piece", "set_key", "tokens"])
 
     return run
 
@@ -356,10 +464,11 @@ def walk(trie: Trie, probes: Probes, percent: int, names: np.ndarray, offset: in
     return links
 
 
-def join_block(sets: list[tuple[int, int, np.ndarray]], percent: int, apart: bool) -> list[tuple[int, int]]:
-    """Spanning links among (piece, key, tokens); apart: only between the sets of two pieces."""
+def join_block(sets: list[tuple[int, int, np.ndarray]], percent: int, apart: bool, roots: list[int] | None = None) -> list[tuple[int, int]]:
+    """Spanning links among (side, key, tokens); apart: only between the two sides. roots: components that are known already."""
     if apart:
-        sets = sorted(sets, key=lambda x: x[0])
+        order = sorted(range(len(sets)), key=lambda i: sets[i][0])
+        sets, roots = [sets[i] for i in order], roots and [roots[i] for i in order]
     vocabulary, rank, count = np.unique(np.concatenate([t for _, _, t in sets]), return_inverse=True, return_counts=True)
     order = np.empty(len(vocabulary), np.int64)
     order[np.lexsort((vocabulary, -count))] = np.arange(len(vocabulary))
@@ -370,50 +479,89 @@ def join_block(sets: list[tuple[int, int, np.ndarray]], percent: int, apart: boo
     if apart and half == len(sets):
         return []
     trie, probes = Trie(ranks[:half]), Probes(ranks[half:] if apart else ranks, len(vocabulary))
-    found = walk(trie, probes, percent, np.arange(len(sets)), half if apart else None)
+    names = np.unique(np.array(roots, np.int64), return_inverse=True)[1] if roots else np.arange(len(sets))
+    found = walk(trie, probes, percent, names, half if apart else None)
     return [(sets[x][1], sets[y][1]) for x, y in found]
 
 
 def _join_task(percent: int):
+    """Rows (block, x, y, side, set_key, root, tokens) come sorted by block, x, y; each such group has bounded size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[int, int, np.ndarray]] = {}
+        held: dict[tuple[int, int], tuple[np.ndarray, int | None]] = {}
         group = None
 
         def done() -> pa.RecordBatch:
-            links = join_block(list(held.values()), percent, group[1] != group[2]) if len(held) > 1 else []
+            sides = {s for s, _ in held}
+            roots = [r for _, r in held.values()]
+            sets = [(s, k, t) for (s, k), (t, _) in held.items()]
+            wanted = len(held) > 1 and (group[2] < 0 or len(sides) > 1)
+            links = join_block(sets, percent, group[2] >= 0, None if None in roots else roots) if wanted else []
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            block, x, y, piece, key = (column(batch, c).to_pylist() for c in ("block", "x", "y", "piece", "set_key"))
+            block, x, y, side, key, root = (column(batch, c).to_pylist() for c in ("block", "x", "y", "side", "set_key", "root"))
             for i, tokens in enumerate(column(batch, "tokens")):
                 if (g := (block[i], x[i], y[i])) != group:
                     if held:
                         yield done()
                     group, held = g, {}
-                held[key[i]] = (piece[i], key[i], np.frombuffer(tokens.as_buffer(), U64).copy())
+                held[side[i], key[i]] = (np.frombuffer(tokens.as_buffer(), U64).copy(), root[i])
         if held:
             yield done()
 
     return run
 
 
+def _joined(rows: DataFrame, percent: int, what: str) -> DataFrame:
+    """Links within the groups (block, x, y) of rows, saved."""
+    dealt = rows.select("block", "x", "y", "side", "set_key", "root", "tokens").repartition("block", "x", "y").sortWithinPartitions("block", "x", "y")
+    return save(map_arrow(dealt, _join_task(percent), "a long, b long"), what)
+
+
+def _across(contents: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links between the pieces of the blocks that have several: contents (block, pieces, piece, set_key, tokens, saved), links within pieces."""
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def rooted(found: DataFrame, what: str) -> DataFrame:
+        root = components(found, what).select(F.col("node").alias("set_key"), "root")
+        return save(contents.join(root, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")), what)
+
+    known = rooted(links, "within")
+    largest = lambda rows: rows.groupBy("block", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("block").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    pivots = known.join(largest(known).select(F.col("main").alias("set_key")), "set_key", "left_semi")
+    visits = pivots.select("block", number("pieces").alias("x"), F.lit(0).alias("y"), F.lit(1).alias("side"), "set_key", "root", "tokens")
+    home = known.select("block", F.col("piece").alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "set_key", "root", "tokens")
+    found = links.union(_joined(home.union(visits), percent, "pivot-links"))
+    known = rooted(found, "pivoted-blocks")
+    main = save(largest(known), "main")
+    out = keyed_filter(known, main, "block", "inner").filter("root <> main")
+    parts = out.groupBy("block").agg(F.ceil(F.greatest(F.sum(F.octet_length("tokens")) / 8 / PIECE_SHINGLES, F.count(F.lit(1)) / PIECE_SETS)).cast("int").alias("parts"))
+    parts = save(parts, "outside")
+    if parts.isEmpty():
+        return found
+    visits = keyed_filter(out, parts, "block", "inner").select("block", number("pieces").alias("x"), F.pmod(F.xxhash64("set_key", F.lit(1)), F.col("parts")).cast("int").alias("y"), F.lit(1).alias("side"), "set_key", "root", "tokens")
+    home = keyed_filter(known, parts, "block", "inner").select("block", F.col("piece").alias("x"), number("parts").alias("y"), F.lit(0).alias("side"), "set_key", "root", "tokens")
+    return found.union(_joined(home.union(visits), percent, "outside-links"))
+
+
 def links_of(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(sets, links): doc_id, n_shingles, set_key of each document, and spanning links (a, b) between set keys. docs: doc_id, text."""
-    bands = Bands(percent)
     rows = docs.withColumn("rep", F.xxhash64("doc_id", "text"))
     sets = save(map_arrow(rows, _sets_task(k), "doc_id long, n_shingles long, set_key long, rep long, sketch binary"), "sets")
-    signed = map_arrow(docs.select("text"), _sign_task(k, bands), "sig long, set_key long")
-    groups = map_arrow(signed.repartition("sig").sortWithinPartitions("sig", "set_key"), _groups_task, "grp long, set_key long")
     chosen = sets.filter("set_key is not null").groupBy("set_key").agg(F.min("rep").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    grouped = save(groups.distinct(), "groups").join(chosen, "set_key").select("grp", "set_key", "n_shingles", "sketch")
-    edges = map_arrow(grouped.repartition("grp").sortWithinPartitions("grp"), _edges_task(percent), "a long, b long")
-    blocks = components(edges, "blocks")
+    chosen = save(chosen, "chosen")
+    blocks = _blocks(docs, rows, chosen, k, percent)
     members = save(blocks.join(chosen, blocks.node == chosen.set_key).select(F.col("root").alias("block"), "set_key", "n_shingles", "rep"), "members")
-    weight = members.groupBy("block").agg(F.ceil(F.sum("n_shingles") / PIECE_SHINGLES).cast("int").alias("pieces"))
-    placed = save(members.join(weight, "block").select("rep", "block", "pieces", F.pmod(F.xxhash64("set_key"), F.col("pieces")).cast("int").alias("piece"), F.col("set_key").alias("want")), "placed")
+    weight = members.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.greatest(F.sum("n_shingles") / PIECE_SHINGLES, F.count(F.lit(1)) / PIECE_SETS)).cast("int").alias("pieces"))
+    sized = attach(members, save(weight, "weight"), "block", "n", members.count())
+    placed = save(sized.select("rep", "block", "pieces", F.pmod(F.xxhash64("set_key"), F.col("pieces")).cast("int").alias("piece"), F.col("set_key").alias("want")), "placed")
     texts = keyed_filter(rows.select("text", "rep"), placed, "rep", "inner").select("text", "block", "pieces", "piece", "want")
-    content = map_arrow(texts, _content_task(k), "block long, x int, y int, piece int, set_key long, tokens binary")
-    return sets, map_arrow(content.repartition("block", "x", "y").sortWithinPartitions("block", "x", "y"), _join_task(percent), "a long, b long")
+    contents = save(map_arrow(texts, _content_task(k), "block long, pieces int, piece int, set_key long, tokens binary"), "contents")
+    none = F.lit(None).cast("long").alias("root")
+    links = _joined(contents.select("block", F.col("piece").alias("x"), F.lit(-1).alias("y"), F.lit(0).alias("side"), "set_key", none, "tokens"), percent, "links")
+    cut = contents.filter("pieces > 1")
+    return sets, links if cut.isEmpty() else _across(save(cut, "cut"), links, percent)
 
 
 def components_of(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -441,12 +589,13 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id"
     first = rooted.groupBy("root").agg(F.min("least").alias("first"))
     told = save(rooted.join(first, "root").select("set_key", "size", F.col("first.rep").alias("kept")), "told")
     verdicts = attach(sets, told, "set_key", "size", sets.count()).groupBy("rep").agg(F.max(F.col("rep") == F.col("kept")).alias("kept"), F.count(F.lit(1)).alias("n"))
-    verdicts = save(verdicts.select(F.col("rep").alias("_rep"), "kept", "n"), "verdicts")
-    rest = keyed_filter(docs.withColumn("_rep", F.xxhash64(doc_id, text)), verdicts.filter(~F.col("kept")).select("_rep"), "_rep", "left_anti")
-    twice = verdicts.filter("kept and n > 1").select("_rep")
+    mark = fresh(docs, "rep")
+    verdicts = save(verdicts.select(F.col("rep").alias(mark), "kept", "n"), "verdicts")
+    rest = keyed_filter(docs.withColumn(mark, F.xxhash64(doc_id, text)), verdicts.filter(~F.col("kept")).select(mark), mark, "left_anti")
+    twice = verdicts.filter("kept and n > 1").select(mark)
     if twice.isEmpty():
-        return rest.drop("_rep")
-    return keyed_filter(rest, twice, "_rep", "left_anti").unionByName(keyed_filter(rest, twice, "_rep", "left_semi").dropDuplicates(["_rep"])).drop("_rep")
+        return rest.drop(mark)
+    return keyed_filter(rest, twice, mark, "left_anti").union(keyed_filter(rest, twice, mark, "left_semi").dropDuplicates([mark])).drop(mark)
 
 
 def brute_force(rows: list[tuple[int, str | None]], k: int, percent: int) -> list[tuple[int, int, int]]:
