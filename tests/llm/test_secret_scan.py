@@ -2,28 +2,92 @@ import hashlib
 import random
 import string
 
+import pytest
+
 from webloom.llm import secret_scan as S
-from webloom.llm.secret_scan import base_digest, battery, thresholds
+from webloom.llm.secret_scan import battery, thresholds
 
 R = random.Random(11)
 KEY = "".join(R.choice(string.ascii_letters + string.digits) for _ in range(40))
 TEXTS = [None, "", "password=short", 'Token : "abcdefgh1"', "API_KEY=x secret='12345678'", "AKIA" + "A" * 11, "xAKIA" + "B2" * 9, "f" * 31, "é " + "0a" * 16 + " g", f"see {KEY} there", "plain words only " * 50, "ſecret=abcdefghij", "passwordpassword=abcdefgh=x", "A" * 50_000, "secret=" + "0f" * 20, "an ordinarylongwordwithoutdigitsatall", "11111111111111111111111111"]
 
 
+def plain_spans(text):
+    """Base spans by walking over the text, without the operator's patterns."""
+    text, out, word = text or "", [], "+/_.=-" + string.ascii_letters + string.digits
+    fold = lambda s: "".join(c.lower() if c in string.ascii_uppercase else c for c in s)
+
+    def assign(i):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if fold(text[i : i + len(name)]) == name:
+                for quote in (1, 0):  # the optional marks, most of them first
+                    j = i + len(name)
+                    if quote and text[j : j + 1] not in ("'", '"', ""):
+                        continue
+                    j += bool(quote and text[j : j + 1])
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    if text[j : j + 1] not in (":", "=") or not text[j : j + 1]:
+                        continue
+                    j += 1
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    if text[j : j + 1] in ("'", '"') and text[j : j + 1]:
+                        j += 1
+                    k = j
+                    while k < len(text) and text[k] in word:
+                        k += 1
+                    if k > j:
+                        return k, k - j
+        return None
+
+    i = 0
+    while i < len(text):
+        if found := assign(i):
+            out += [(i, found[0], "assign")] if found[1] >= 8 else []
+            i = found[0]
+        else:
+            i += 1
+    for kind, start, letters, least in (("access", "AKIA", string.ascii_uppercase + string.digits, 16), ("hex", "", "0123456789abcdef", 32)):
+        i = 0
+        while i < len(text):
+            k = i + len(start)
+            while k < len(text) and text[k] in letters:
+                k += 1
+            if text.startswith(start, i) and k > i + len(start):
+                out += [(i, k, kind)] if k - i >= least else []
+                i = k
+            else:
+                i += 1
+    return sorted(out, key=lambda x: (x[0], S.KINDS.index(x[2])))
+
+
+def test_base_spans_against_a_walk():
+    bits = ["password", "Token", "api_key", "APIKEY", "secret", "=", ":", " ", '"', "'", "abcdefgh", "x1/+", "AKIA", "ABCD1234EFGH", "0f" * 16, "é", "\n", "_", "."]
+    for text in [*TEXTS, *("".join(R.choice(bits) for _ in range(R.randrange(14))) for _ in range(4000))]:
+        if len(text or "") < 10_000:
+            assert S.base_spans(text or "") == plain_spans(text), text
+
+
 def test_scan_digests(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").selectExpr("*", "3 AS base", "4 AS spans")
     got = {r.doc_id: r for r in S.digest(S.scan(df)).collect()}
+    tested = {i: S.candidates(t or "") for i, t in enumerate(TEXTS)}
+    cells = [(b, c) for found in tested.values() for _, _, b, c in found]
+    least = thresholds([(b, c, cells.count((b, c))) for b, c in set(cells)])
     for i, t in enumerate(TEXTS):
-        r = got[i]
-        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == base_digest(t), t
-    assert got[0].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+        r, base = got[i], plain_spans(t) if len(t or "") < 10_000 else []
+        line = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda x: (x[0], S.KINDS.index(x[2]))))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[2] == k for x in base) for k in S.KINDS[:3]), t
+        assert r.base_sha256 == hashlib.sha256(line(base).encode()).hexdigest()
+        assert r.spans == line([*base, *((a, b, "random") for a, b, band, c in tested[i] if c >= least.get(band, 1 << 30))])
     assert "random:4:44" in got[9].spans
     assert got[10].spans == got[15].spans == got[16].spans == "" and got[13].spans == ""
     assert S.scan(df.limit(0)).collect() == []
 
 
 def test_battery_tells_random_from_text():
-    words = ["the", "Quick", "brown", "Fox", "jumped", "over", "Lazy", "dog", "module", "name", "With", "and", "More", "water", "Index"]
+    words = [w if i % 2 else w.capitalize() for i, w in enumerate(WORDS)]
     text = lambda: "".join(R.choice(words) + R.choice(["", "", "_", "-", str(R.randrange(10))]) for _ in range(R.randrange(8, 14))) + "7"
     rand = lambda: "".join(R.choice(string.ascii_letters + string.digits) for _ in range(R.randrange(44, 60)))
     cases = [(s, real) for make, real in ((text, False), (rand, True)) for s in (make() for _ in range(300))]
@@ -33,8 +97,9 @@ def test_battery_tells_random_from_text():
     told = [(c[3] >= least.get(c[2], 1 << 30), real) for c, real in found]
     assert sum(t for t, real in told if real) > 0.9 * 300
     assert sum(t for t, real in told if not real) <= 6
-    assert battery("ordinarylowercasewordwithoutdigits") is None
-    assert S.joint(battery("a1" * 20)) == S.joint(battery("0123456789abcdefghijklmnopqrstuvwxyz")) == 0
+    assert battery("20240102030405060708") is battery("2024-01-02-03-04-05a") is None
+    assert S.joint(battery("ordinarylowercasewordwithoutdigits")) < 1
+    assert S.joint(battery("a1" * 20)) == S.joint(battery("0123456789abcdefghijklmnopqrstuvwxyz")) == S.joint(battery("a" * 40)) == 0
 
 
 def test_thresholds_are_benjamini_hochberg():
@@ -53,12 +118,65 @@ def test_drop_and_redact(spark):
     assert sorted(str(r.text) for r in S.redact(df).collect()) == ["None", "[secret] end", "clean text", "é [secret] [secret]"]
 
 
+ALPHABETS = {
+    "base62": string.ascii_letters + string.digits,
+    "base64": string.ascii_letters + string.digits + "+/",
+    "letters": string.ascii_letters,
+    "lower": string.ascii_lowercase,
+    "base32": string.ascii_uppercase + "234567",
+    "HEX": "0123456789ABCDEF",
+}
+
+
+def text_like(r, words):
+    """Identifiers, compounds and paths of words."""
+    made = [r.choice(words) for _ in range(r.randrange(5, 9))]
+    kind = r.randrange(6)
+    if kind == 0:
+        return "".join(w.capitalize() for w in made)
+    if kind == 1:
+        return "_".join(made).upper() + str(r.randrange(10))
+    if kind == 2:
+        return "/".join(made[:3]) + "/" + "-".join(made[3:])
+    if kind == 3:
+        return f"{r.randrange(2000, 2030)}-{r.randrange(10, 13)}-" + "-".join(made)
+    return ("-" if kind == 4 else "").join(made)
+
+
+WORDS = "the and for with that this have which would there about people after first water where right think through before little place great change small house under number always world school system page news article report daily update service market weather sport music health travel company profile login index contact privacy static content product category search result item list user account setting download version release module package window button config server request response zeitung verlag grosse strasse haus einheit fragen kaufen jahre wochen zwischen quelle que jour vous avec plus monde projet maison pays entre cuando mejor viajes ayuda trabajo nueva".split()
+
+
+@pytest.mark.parametrize(("length", "kinds"), [(32, ("base62", "base64", "letters", "lower")), (40, ("base62", "base64", "letters", "lower", "base32", "HEX")), (64, tuple(ALPHABETS))])
+def test_recall_among_text_with_few_secrets(length, kinds):
+    """60 secrets of a kind among 240 text-like strings of about the same length: nine in ten are found, and few of the others."""
+    r = random.Random(length)
+    for kind in kinds:
+        cases = [("".join(r.choice(ALPHABETS[kind]) for _ in range(length)), True) for _ in range(60)]
+        while len(cases) < 300:
+            s = text_like(r, WORDS)
+            if len(s) >= length - 4:
+                cases.append((s[: length + 2], False))
+        found = [(c[0], real) for s, real in cases if (c := S.candidates(s))]
+        cells = [(c[2], c[3]) for c, _ in found]
+        least = thresholds([(b, x, cells.count((b, x))) for b, x in set(cells)])
+        told = [real for c, real in found if c[3] >= least.get(c[2], 1 << 30)]
+        assert sum(told) >= 0.9 * 60 and len(told) - sum(told) <= 2, (kind, sum(told), len(told))
+
+
 def test_short_random_keys_are_not_screened_out():
     r = random.Random(3)
-    for n, least in ((20, 0.42), (24, 0.57), (28, 0.7), (32, 0.8), (40, 0.9)):
+    for n, least in ((20, 0.72), (24, 0.8), (28, 0.86), (32, 0.9), (40, 0.95)):
         found = [p for _ in range(1000) if (p := battery("".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))))]
-        passed = [p for p in found if S.fisher(p[:2]) >= 2]
-        assert sum(S.joint(p) == 0 < S.fisher(p[:2]) for p in passed) <= 0.04 * len(passed)
+        passed = [p for p in found if S.fisher(p[0]) >= 2]
+        assert sum(S.joint(p) == 0 for p in passed) <= 0.02 * len(passed)
         assert sum(S.joint(p) >= 2 for p in found) > least * len(found)
     letters = string.ascii_lowercase + string.digits
     assert all(S.joint(battery(letters[i : i + 24])) == 0 for i in range(5, 12))
+
+
+def test_text_like_strings_have_large_p():
+    r = random.Random(8)
+    found = [S.joint(p) for _ in range(4000) if len(s := text_like(r, WORDS)) >= 20 and (p := battery(s))]
+    assert len(found) > 3000
+    for level in (1, 2, 3):
+        assert sum(x >= level for x in found) <= 10**-level * len(found)

@@ -5,17 +5,18 @@ and a value of 8 or more characters), access (AKIA and more, 16 or more
 characters), hex (runs of 32 or more of 0-9a-f). The method adds kind random:
 
 1. Candidates are maximal runs of [A-Za-z0-9+/_-] of 20 or more characters whose
-   encoding can be inferred: hex, HEX, base32 or base64 (letters of both cases and
-   digits); runs of letters only are words, runs of digits only are numbers.
-2. Each candidate is tested against the hypothesis that it is text-like, at its
-   own length: (a) chi-squared distance from uniform use of the encoding's
-   alphabet, under text a noncentral chi-squared variable (its normal
-   approximation); (b) runs of character classes (letter or digit, and case), of
-   which text has fewer: a binomial tail. Small p: not text. The two are joined by
-   Fisher's method. (c) Sequences and repeats pass both, so a candidate whose
-   lag-1 serial correlation of alphabet positions differs from none at LEVEL has
-   p = 1: a share of LEVEL of random strings of any length, not more. Its p-value
-   is one of randomness and depends on (b), so Fisher's method can't take it in.
+   encoding can be inferred: hex, HEX, base32, one case of letters with digits and marks,
+   base64, or letters alone; runs of digits only are numbers.
+2. Each candidate is tested against the hypothesis that it is text-like, at its own length:
+   (a) chi-squared uniformity of the alphabet: letters are pooled into CELLS, so that each
+   expects enough of them, and compared with the use that text makes of these cells, to which the
+   uniform use of random strings is far; in hexadecimal, distance from uniform use,
+   under the hypothesis a noncentral chi-squared variable (its normal approximation). (b) Runs of
+   character classes (digit, lower, upper case), of which text has fewer: a binomial tail.
+   (c) Lag-1 serial correlation: of vowels among neighbouring letters, which alternate in text
+   (RHO); in hexadecimal, of alphabet positions, high where digits follow a pattern (PATTERN).
+   Small p: not text. The p-values of the tests that apply are joined by Fisher's method. Sequences and repeats
+   are neither text nor random: a candidate whose positions correlate at LEVEL has p = 1.
 3. Benjamini-Hochberg at rate Q over all candidates of the corpus, separately in
    each band of lengths, on a grid of p-values (0.1 in log10, rounded towards 1,
    so the control stays on the safe side). The table of counts has a fixed size,
@@ -51,10 +52,15 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 #: Level of false discoveries among added spans.
 Q = 0.01
-#: Text-likeness under the hypothesis: noncentrality per character (k * sum of p^2 - 1 for identifiers made of words, least
-#: for 16 characters and more by STEP for each further one), chance that the next character is of another class; level of
-#: the test of serial correlation.
-UNEVEN, STEP, TURNS, LEVEL = 0.6, 0.0184, 0.45, 0.02
+#: Cells of letters and how much of a text's letters falls into each: rounded averages of English, French, German and Spanish.
+CELLS_OF = ("aeiou", "nrstld", "bcfghmp", "jkqvwxyz")
+SHARES = (0.40, 0.36, 0.18, 0.06)
+#: Under the hypothesis: noncentrality per hexadecimal digit; chance that the next character is of another class, for
+#: identifiers of capitalised words and for a single case with digits; correlation of vowels (text has about -0.35, the
+#: nearer to 0 the safer); correlation of patterned digits. Level of the test for sequences and repeats.
+UNEVEN, TURNS, TURNS_ONE_CASE, RHO, PATTERN, LEVEL = 0.6, 0.4, 0.2, -0.2, 0.5, 0.005
+#: Letters, or pairs of them, that a test needs.
+ENOUGH = 8
 #: Length bands (upper ends) and grid cells of -log10 p.
 BANDS = (23, 27, 31, 39, 47, 63, 95, 127, 255, 511, 1 << 62)
 CELLS, CELL = 3000, 0.1
@@ -70,78 +76,113 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+_LOW, _UP, _DIGITS, _MARKS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_-"
+_CELL = {c: i for i, cell in enumerate(CELLS_OF) for c in cell}
+
+
 def encoding(s: str) -> str | None:
-    """Alphabet that a run is written in: its characters in order."""
-    low, up, dig = (any(a <= c <= b for c in s) for a, b in (("a", "z"), ("A", "Z"), ("0", "9")))
-    if not dig or not (low or up):
+    """Alphabet that a run is written in: its characters in order. None for numbers."""
+    low, up, dig, mark = (any(c in kind for c in s) for kind in (_LOW, _UP, _DIGITS, _MARKS))
+    if not (low or up):
         return None
-    if re.fullmatch(r"[0-9a-f]+", s):
-        return "0123456789abcdef"
-    if re.fullmatch(r"[0-9A-F]+", s):
-        return "0123456789ABCDEF"
-    if re.fullmatch(r"[A-Z2-7]+", s):
-        return "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    if low != up:
-        return "0123456789abcdefghijklmnopqrstuvwxyz+/_-" if low else "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-"
-    return "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    for alphabet in (_DIGITS + "abcdef", _DIGITS + "ABCDEF", _UP + "234567"):
+        if dig and set(s) <= set(alphabet):
+            return alphabet
+    return _UP * up + _LOW * low + _DIGITS * dig + _MARKS * mark
 
 
 def _normal(z: float) -> float:
+    """Chance of at most z, at least the smallest p-value in use."""
     return max(1e-300, 0.5 * math.erfc(-z / math.sqrt(2)))
 
 
 @lru_cache(100_000)
-def _at_least(turns: int, n: int) -> float:
-    """Chance of so many turns or more in n places of text."""
-    if turns <= n * TURNS:
+def _at_least(turns: int, n: int, chance: float) -> float:
+    """Chance of so many turns or more in n places."""
+    if turns <= n * chance:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(TURNS) + (n - i) * math.log1p(-TURNS) for i in range(turns, min(n, turns + 200) + 1)]
+    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(chance) + (n - i) * math.log1p(-chance) for i in range(turns, min(n, turns + 200) + 1)]
     return min(1.0, max(1e-300, sum(map(math.exp, logs))))
 
 
-def battery(s: str) -> tuple[float, float, float] | None:
-    """p-values of two tests against text-likeness and of serial correlation against randomness; None where no encoding can be inferred."""
-    alphabet = encoding(s)
-    if alphabet is None:
-        return None
-    n, k = len(s), len(alphabet)
-    place = {c: i for i, c in enumerate(alphabet)}
-    x = np.array([place[c] for c in s], float)
-    counts = np.bincount(x.astype(int), minlength=k)
+def _correlation(x: list[float], y: list[float]) -> float:
+    """Correlation of two lists; 0.999 where one of them doesn't vary."""
+    a, b = np.array(x) - np.mean(x), np.array(y) - np.mean(y)
+    spread = math.sqrt(float((a * a).sum() * (b * b).sum()))
+    return min(0.999, max(-0.999, float((a * b).sum()) / spread)) if spread else 0.999
+
+
+def _uneven(x: list[int], k: int) -> float:
+    """Chance under the hypothesis that k digits are used so evenly: noncentral chi-squared by Sankaran's cube-root normal."""
+    n = len(x)
+    counts = np.bincount(x, minlength=k)
     chi = float(((counts - n / k) ** 2).sum() * k / n)
-    # Under text: noncentral chi-squared with k - 1 degrees and noncentrality n * UNEVEN, by Sankaran's cube-root normal.
-    f, lam = k - 1, n * (UNEVEN + STEP * (k - 16))
+    f, lam = k - 1, n * UNEVEN
     h = 1 - 2 * (f + lam) * (f + 3 * lam) / (3 * (f + 2 * lam) ** 2)
     p, m = (f + 2 * lam) / (f + lam) ** 2, (h - 1) * (1 - 3 * h)
-    z = ((chi / (f + lam)) ** h - (1 + h * p * (h - 1 - 0.5 * (2 - h) * m * p))) / (h * math.sqrt(2 * p) * (1 + 0.5 * m * p))
-    uniform = _normal(z)
-    classes = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "s" for c in s]
-    turns = _at_least(sum(a != b for a, b in zip(classes, classes[1:], strict=False)), n - 1)
-    a, b = x[:-1] - x[:-1].mean(), x[1:] - x[1:].mean()
-    spread = math.sqrt(float((a * a).sum() * (b * b).sum()))
-    r = min(0.999, abs(float((a * b).sum()) / spread)) if spread else 0.999
-    serial = max(1e-300, math.erfc(math.atanh(r) * math.sqrt(max(1, n - 3)) / math.sqrt(2)))
-    return uniform, turns, serial
+    return _normal(((chi / (f + lam)) ** h - (1 + h * p * (h - 1 - 0.5 * (2 - h) * m * p))) / (h * math.sqrt(2 * p) * (1 + 0.5 * m * p)))
+
+
+def _cells(letters: list[str]) -> float:
+    """Chance under the hypothesis that letters are so far from text's use of the cells (3 degrees), towards more of the rare ones."""
+    n = len(letters)
+    counts = [0] * len(CELLS_OF)
+    for c in letters:
+        counts[_CELL[c]] += 1
+    if counts[-1] <= n * SHARES[-1]:
+        return 1.0
+    chi = sum((o - n * t) ** 2 / (n * t) for o, t in zip(counts, SHARES, strict=True))
+    return max(1e-300, math.erfc(math.sqrt(chi / 2)) + math.sqrt(2 * chi / math.pi) * math.exp(-chi / 2))
 
 
-def fisher(ps: tuple[float, ...]) -> float:
+def battery(s: str) -> tuple[list[float], float] | None:
+    """(p-values of the tests against text-likeness that apply, p-value of a pattern in the positions); None for numbers and what has too few letters."""
+    alphabet = encoding(s)
+    if alphabet is None:
+        return None
+    place = {c: i for i, c in enumerate(alphabet)}
+    x = [place[c] for c in s]
+    r = abs(_correlation(x[:-1], x[1:]))
+    depth = math.sqrt(max(1, len(s) - 3))
+    pattern = max(1e-300, math.erfc(math.atanh(r) * depth / math.sqrt(2)))
+    if len(alphabet) == 16:
+        ps = [_uneven(x, 16), _normal((math.atanh(r) - math.atanh(PATTERN)) * depth)]
+    else:
+        folded = s.lower()
+        letters = [c for c in folded if c in _CELL]
+        if len(letters) < ENOUGH:
+            return None
+        ps = [_cells(letters)]
+        pairs = [(float(a in "aeiou"), float(b in "aeiou")) for a, b in zip(folded, folded[1:], strict=False) if a in _CELL and b in _CELL]
+        if len(pairs) >= ENOUGH:
+            v = _correlation(*map(list, zip(*pairs, strict=True)))
+            v = 0.0 if v == 0.999 else v
+            ps.append(_normal(-(math.atanh(v) - math.atanh(RHO)) * math.sqrt(len(pairs) - 3)))
+    classes = ["d" if c in _DIGITS else "l" if c in _LOW else "u" for c in s if c not in _MARKS]
+    if len(kinds := set(classes)) > 1:
+        turns = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
+        ps.append(_at_least(turns, len(classes) - 1, TURNS if {"l", "u"} <= kinds else TURNS_ONE_CASE))
+    return ps, pattern
+
+
+def fisher(ps: list[float]) -> float:
     """-log10 of the joint p-value: the tail of chi-squared with 2 * len(ps) degrees."""
     half = -sum(map(math.log, ps))
     tail = sum(half**i / math.factorial(i) for i in range(len(ps)))
     return max(0.0, half / math.log(10) - math.log10(tail))
 
 
-def joint(ps: tuple[float, float, float]) -> float:
+def joint(tested: tuple[list[float], float]) -> float:
     """-log10 of a candidate's p-value."""
-    return 0.0 if ps[2] <= LEVEL else fisher(ps[:2])
+    return 0.0 if tested[1] <= LEVEL else fisher(tested[0])
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, length band, grid cell) of each run that was tested."""
     out = []
     for m in CANDIDATE.finditer(text):
-        if (ps := battery(m[0])) is not None:
-            out.append((m.start(), m.end(), next(i for i, top in enumerate(BANDS) if m.end() - m.start() <= top), min(CELLS, int(joint(ps) / CELL))))
+        if (tested := battery(m[0])) is not None:
+            out.append((m.start(), m.end(), next(i for i, top in enumerate(BANDS) if m.end() - m.start() <= top), min(CELLS, int(joint(tested) / CELL))))
     return out
 
 
