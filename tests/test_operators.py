@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,7 @@ from webloom.functions.urls import normalize_url
 from webloom.operators import frontier as fr
 from webloom.operators import robots as R
 from webloom.operators import sitemaps as S
-from webloom.operators.links import link_counts, links_table, with_links
+from webloom.operators.links import extract_images, link_counts, links_table, with_links
 
 MD = "[Home](https://e.com) [js](javascript:void(0)) [mail](mailto:a@b.c) [**Bold** `code`](https://e.com/a/#x) [again](https://e.com/a) ![pic](https://e.com/i.png) ![](https://e.com/j.png) ![dup](https://e.com/i.png) [ ](https://e.com/blank) [Sub](https://blog.e.com/) [Out](https://other.org/x) [rel](/r)"
 
@@ -165,3 +167,42 @@ def test_frontier_and_config():
         fr.CrawlConfig("")
     p = fr.page_preset("https://e.com")
     assert (p.max_pages, p.source, p.extract_metadata, p.obey_robots, p.page_timeout) == (1, "links", True, False, 25_000)
+
+
+def test_links_in_the_row_equal_the_links_table(spark):
+    """The Arrow function and the native expressions give the same links and images, offsets in UTF-16 units included."""
+    r = random.Random(5)
+    bits = ["[a](https://x.org/", "[**b** _c_](http://e.com/p)", "![i](/pic.png)", "![](q)", "[](u)", "[m](mailto:a@b)", "1)", "2/)", "\U0001f600" * 9, " word ", "\n", "[x](ftp://f)", "[z](https://sub.e.com/#f)", "](", "[q](  )"]
+    rows = [(i, "https://e.com/a", None if i == 0 else "".join(r.choice(bits) for _ in range(r.randrange(25)))) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, markdown string").selectExpr("*", "1 AS read", "2 AS _page", "3 AS total")
+    out = with_links(df)
+    assert out.columns == [*df.columns, "links", "images"]
+    got = {x.page_id: x for x in out.collect()}
+    table = {}
+    for x in links_table(df, keys=["page_id"]).orderBy("page_id", "pos").collect():
+        table.setdefault(x.page_id, []).append((x.url, x.anchor_text, x.type, x.location))
+    assert {i: [tuple(k) for k in x.links] for i, x in got.items() if x.links} == table
+    images = {x.page_id: x.im for x in df.select("page_id", extract_images(F.col("markdown")).alias("im")).collect()}
+    assert {i: x.images for i, x in got.items()} == images
+    assert sum(k[3] == "content" for v in table.values() for k in v) > 50
+
+
+def test_frontier_capacity_is_an_option():
+    from webloom.operators.frontier import CrawlConfig, Cursor, decode_cursor, encode_cursor
+
+    new = [(f"https://e.com/{i}", 0) for i in range(500)]
+    for capacity, want in ((200, 200), (300, 300), (None, 500)):
+        state = Cursor(CrawlConfig("https://e.com", frontier_capacity=capacity), "e.com")
+        state.add(new)
+        back = decode_cursor(encode_cursor(state))
+        back.add(new)
+        assert len(state.frontier) == want and len(back.frontier) == (want if capacity else 1000)
+
+
+def test_sitemap_pages_parses_urls(spark):
+    from webloom.plans.report import sitemap_pages
+
+    urls = [("HTTPS://E.com/p/?q#f", "https://e.com/a.xml"), ("https://e.com/x/", "https://e.com/a.xml"), ("https://e.com", "u"), ("https://other.com/y", "u"), ("not a url", "u")]
+    df = spark.createDataFrame([(u, None, None, s) for u, s in urls], "url string, lastmod string, priority double, source string")
+    got = {r.url for r in sitemap_pages(df, "e.com").collect()}
+    assert got == {"/p/?q", "/x/", "/", "https://other.com/y", "not a url"}

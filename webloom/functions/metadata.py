@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.functions.text import decode_entities, match_or_null, trim_ws
+from webloom.functions.text import decode_entities, fresh, match_or_null, trim_ws
 
+#: The patterns of quoted values, of JSON-LD scripts and of meta tags with a content.
 QUOTED = r"""["']([^"']*)["']"""
 FILLED = r"""["']([^"']+)["']"""
 OG_FIELDS = ("title", "description", "image", "url", "type", "site_name")
 TWITTER_FIELDS = ("card", "title", "description", "image", "site")
+META = r"""(?i)<meta[^>]*content\s*=\s*["'][^"']*["'][^>]*>"""
 JSON_LD = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
@@ -24,14 +26,30 @@ def head_of(html: Column) -> Column:
 
 
 def _attribute(tag: str, key: str, value: str, want: str, content: str) -> tuple[str, str]:
-    """Patterns for a tag with key="value" before and after the wanted attribute."""
+    """Patterns for a closed tag with key="value" before and after the wanted attribute."""
     test, take = rf"""{key}\s*=\s*["']{value}["']""", rf"{want}\s*=\s*{content}"
-    return rf"(?i)<{tag}[^>]*{test}[^>]*{take}", rf"(?i)<{tag}[^>]*{take}[^>]*{test}"
+    return rf"(?i)<{tag}[^>]*{test}[^>]*{take}[^>]*>", rf"(?i)<{tag}[^>]*{take}[^>]*{test}[^>]*>"
+
+
+def meta_tags(head: Column) -> Column:
+    """The head's meta tags that have a content, in order, each with its lower-case form: the short list that meta_in() looks through."""
+    return F.transform(F.regexp_extract_all(head, F.lit(META), F.lit(0)), lambda t: F.struct(t.alias("tag"), F.lower(t).alias("low")))
+
+
+def meta_in(tags: Column, key: str, value: str) -> Column:
+    """content of the first tag of meta_tags() with key (name or property) = value: the order key, content anywhere wins over the other. "" is a hit."""
+    near = F.filter(tags, lambda t: F.contains(t["low"], F.lit(value)))
+
+    def first(pattern: str) -> Column:
+        hits = F.filter(near, lambda t: F.rlike(t["tag"], F.lit(pattern)))
+        return F.regexp_extract(F.get(hits, F.lit(0))["tag"], pattern, 1)
+
+    return decode_entities(F.when(F.size(near) > 0, F.coalesce(*(first(p) for p in _attribute("meta", key, value.replace(".", r"\."), "content", QUOTED)))))
 
 
 def meta_content(head: Column, key: str, value: str) -> Column:
-    """content of the meta tag with key (name or property) = value: the order key, content anywhere wins over the other. "" is a hit."""
-    return decode_entities(F.coalesce(*(match_or_null(head, p) for p in _attribute("meta", key, value.replace(".", r"\."), "content", QUOTED))))
+    """meta_in() straight from a head."""
+    return meta_in(meta_tags(head), key, value)
 
 
 def title_of(head: Column) -> Column:
@@ -39,28 +57,36 @@ def title_of(head: Column) -> Column:
 
 
 def canonical_of(head: Column) -> Column:
-    return F.coalesce(*(match_or_null(head, p + "[^>]*>") for p in _attribute("link", "rel", "canonical", "href", FILLED)))
+    return F.coalesce(*(F.nullif(F.regexp_extract(head, p, 1), F.lit("")) for p in _attribute("link", "rel", "canonical", "href", FILLED)))
 
 
 def language_of(html: Column) -> Column:
     """The last lang-suffixed attribute of the html tag."""
-    return match_or_null(html, rf"(?i)<html[^>]*lang\s*=\s*{FILLED}")
+    return F.nullif(F.regexp_extract(html, rf"(?i)<html[^>]*lang\s*=\s*{FILLED}", 1), F.lit(""))
 
 
 def _any_filled(fields: dict[str, Column], names: tuple[str, ...]) -> Column:
     return F.coalesce(F.greatest(*(F.coalesce(F.length(fields[n]), F.lit(0)) for n in names)), F.lit(0)) > 0
 
 
+def _open_graph(tags: Column) -> Column:
+    f = {n: meta_in(tags, "property", f"og:{n}") for n in OG_FIELDS}
+    return F.when(_any_filled(f, ("title", "description", "image", "url")), F.struct(*(c.alias(n) for n, c in f.items())))
+
+
 def open_graph_of(head: Column) -> Column:
     """Struct of the og: properties; null unless title, description, image or url is filled."""
-    f = {n: meta_content(head, "property", f"og:{n}") for n in OG_FIELDS}
-    return F.when(_any_filled(f, ("title", "description", "image", "url")), F.struct(*(c.alias(n) for n, c in f.items())))
+    return _open_graph(meta_tags(head))
+
+
+def _twitter(tags: Column) -> Column:
+    f = {n: F.coalesce(meta_in(tags, "name", f"twitter:{n}"), meta_in(tags, "property", f"twitter:{n}")) for n in TWITTER_FIELDS}
+    return F.when(_any_filled(f, ("card", "title", "description", "image")), F.struct(*(c.alias(n) for n, c in f.items())))
 
 
 def twitter_of(head: Column) -> Column:
     """Struct of the twitter: fields, by name, else by property; null unless card, title, description or image is filled."""
-    f = {n: F.coalesce(meta_content(head, "name", f"twitter:{n}"), meta_content(head, "property", f"twitter:{n}")) for n in TWITTER_FIELDS}
-    return F.when(_any_filled(f, ("card", "title", "description", "image")), F.struct(*(c.alias(n) for n, c in f.items())))
+    return _twitter(meta_tags(head))
 
 
 def canonical_json(text: str) -> str | None:
@@ -86,37 +112,29 @@ def json_ld_of(head: Column) -> Column:
     return _valid_json(F.when(F.size(found) > 0, found))
 
 
+def _fields(html: Column, head: Column, tags: Column, json_ld: bool = True) -> dict[str, Column]:
+    return {
+        "title": title_of(head),
+        "meta_description": meta_in(tags, "name", "description"),
+        "canonical_url": canonical_of(head),
+        "language": language_of(html),
+        "author": meta_in(tags, "name", "author"),
+        "robots": meta_in(tags, "name", "robots"),
+        "og": _open_graph(tags),
+        "twitter": _twitter(tags),
+        "json_ld": json_ld_of(head) if json_ld else F.lit(None).cast("array<string>"),
+    }
+
+
 def extract_metadata(html: Column, json_ld: bool = True) -> Column:
     """Struct of all metadata of a page, as one expression. with_metadata() plans the same in steps, each pattern once."""
     head = head_of(html)
-    return F.struct(
-        title_of(head).alias("title"),
-        meta_content(head, "name", "description").alias("meta_description"),
-        canonical_of(head).alias("canonical_url"),
-        language_of(html).alias("language"),
-        meta_content(head, "name", "author").alias("author"),
-        meta_content(head, "name", "robots").alias("robots"),
-        open_graph_of(head).alias("og"),
-        twitter_of(head).alias("twitter"),
-        (json_ld_of(head) if json_ld else F.lit(None).cast("array<string>")).alias("json_ld"),
-    )
+    return F.struct(*(c.alias(n) for n, c in _fields(html, head, meta_tags(head), json_ld).items()))
 
 
 def with_metadata(pages: DataFrame, html: str = "html", name: str = "metadata") -> DataFrame:
-    """pages with the metadata struct (null where html is): the head is cut once, raw fields are taken once, then structs are put together."""
-    cut = pages.withColumn("_head", head_of(F.col(html)))
-    h = F.col("_head")
-    raw = {"title": title_of(h), "meta_description": meta_content(h, "name", "description"), "canonical_url": canonical_of(h), "language": language_of(F.col(html)), "author": meta_content(h, "name", "author"), "robots": meta_content(h, "name", "robots")}
-    raw |= {f"og_{n}": meta_content(h, "property", f"og:{n}") for n in OG_FIELDS}
-    raw |= {f"tn_{n}": meta_content(h, "name", f"twitter:{n}") for n in TWITTER_FIELDS} | {f"tp_{n}": meta_content(h, "property", f"twitter:{n}") for n in TWITTER_FIELDS}
-    rows = cut.withColumns({f"_m_{k}": c for k, c in raw.items()} | {"_m_json_ld": json_ld_of(h)})
-    m = lambda k: F.col(f"_m_{k}")
-    tw = {n: F.coalesce(m(f"tn_{n}"), m(f"tp_{n}")) for n in TWITTER_FIELDS}
-    og = {n: m(f"og_{n}") for n in OG_FIELDS}
-    built = F.struct(
-        *(m(k).alias(k) for k in ("title", "meta_description", "canonical_url", "language", "author", "robots")),
-        F.when(_any_filled(og, ("title", "description", "image", "url")), F.struct(*(c.alias(n) for n, c in og.items()))).alias("og"),
-        F.when(_any_filled(tw, ("card", "title", "description", "image")), F.struct(*(c.alias(n) for n, c in tw.items()))).alias("twitter"),
-        m("json_ld").alias("json_ld"),
-    )
-    return rows.withColumn(name, F.when(F.col(html).isNotNull(), built)).drop("_head", "_m_json_ld", *(f"_m_{k}" for k in raw))
+    """pages with the metadata struct (null where html is), in steps: the head is cut once, its meta tags listed once, all fields looked up in that short list."""
+    head, tags, made, text = fresh(pages, "head"), fresh(pages, "tags"), fresh(pages, "fields"), F.col(f"`{html}`")
+    rows = pages.withColumn(head, head_of(text)).withColumn(tags, meta_tags(F.col(head)))
+    rows = rows.withColumn(made, F.struct(*(c.alias(n) for n, c in _fields(text, F.col(head), F.col(tags)).items())))
+    return rows.withColumn(name, F.when(text.isNotNull(), F.col(made))).drop(head, tags, made)

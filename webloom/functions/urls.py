@@ -100,6 +100,13 @@ def parse_url(url: str) -> tuple[str, str, str, str, str] | None:
     return scheme, user, host + (f":{int(port)}" if port else ""), "/" + "/".join(out), _escape(query, _QUERY_ESCAPES)
 
 
+def href_one(url: str | None) -> str | None:
+    """A parsed URL as it is written out, without fragment; "" for what is no absolute http(s) URL."""
+    if url is None:
+        return None
+    return "" if (p := parse_url(url)) is None else f"{p[0]}://{p[1]}{p[2]}{p[3]}{p[4]}"
+
+
 def normalize_one(url: str | None) -> str | None:
     """A URL without fragment and without one trailing slash of a path that isn't the root; "" for what is no absolute http(s) URL."""
     if url is None:
@@ -124,6 +131,18 @@ def normalize_url(url: Column) -> Column:
     return F.when(plain, native).otherwise(_normalize(F.when(~plain, url)))
 
 
+@F.pandas_udf(T.StringType())
+def _href(urls: pd.Series) -> pd.Series:
+    return urls.map(href_one, na_action="ignore")
+
+
+def parsed_url(url: Column) -> Column:
+    """URL as a parser writes it out, its trailing slash kept; plain URLs stay in the JVM."""
+    plain = url.rlike(PLAIN)
+    rooted = F.regexp_replace(F.regexp_replace(url, r"(?s)#.*$", ""), r"^(https?://[^/?]+)(?=\?|$)", "$1/")
+    return F.when(plain, rooted).otherwise(_href(F.when(~plain, url)))
+
+
 def safe_host(normalized: Column) -> Column:
     """Host of a normalised URL without user and port; "" where there is none."""
     return F.coalesce(F.regexp_extract(normalized, r"^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1), F.lit(""))

@@ -38,6 +38,7 @@ class CrawlConfig:
     exclude_patterns: tuple[str, ...] = ()
     page_timeout: int = 15_000  # ms
     strip: tuple[str, ...] = ("css",)
+    frontier_capacity: int | None = MAX_FRONTIER  # None: no bound, so nothing found is dropped
 
     def __post_init__(self) -> None:
         if not self.url:
@@ -46,6 +47,8 @@ class CrawlConfig:
             raise ValueError(f"unknown source or strategy: {self.source}, {self.strategy}")
         if self.concurrency < 1:
             raise ValueError("concurrency must be 1 or more")
+        if self.frontier_capacity is not None and self.frontier_capacity < 1:
+            raise ValueError("frontier_capacity must be 1 or more, or None")
 
     @classmethod
     def of(cls, url: str, **options: Any) -> CrawlConfig:
@@ -58,7 +61,9 @@ class CrawlConfig:
     @classmethod
     def from_json(cls, data: dict[str, Any]) -> CrawlConfig:
         known = {_camel(f.name): f.name for f in fields(cls)}
-        return cls.of(**{known[k]: v for k, v in data.items() if k in known})
+        given = {known[k]: v for k, v in data.items() if k in known}
+        out = cls.of(**given)
+        return replace(out, frontier_capacity=None) if given.get("frontier_capacity", 0) is None else out
 
 
 def page_preset(url: str, obey_robots: bool = False, **options: Any) -> CrawlConfig:
@@ -80,7 +85,10 @@ class Cursor:
     robots: dict[str, Robots] = field(default_factory=dict)
     total: int = 0
     last_fetch: int | None = None
-    capacity: int | None = MAX_FRONTIER
+
+    @property
+    def capacity(self) -> int | None:
+        return self.config.frontier_capacity
 
     def is_visited(self, url: str) -> bool:
         return url_hash_one(url) in self.visited

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from webloom.functions.text import trim_ws
-from webloom.functions.urls import normalize_url, safe_host
+from webloom.functions.text import fresh, trim_ws, utf16_length
+from webloom.functions.urls import normalize_one, normalize_url, safe_host
 
 #: The inline link syntax [text](target), and targets that are no pages.
 LINK = r"\[([^\]]*)\]\(([^)]+)\)"
 NO_PAGE = r"^(?:javascript|mailto|tel|data):"
+#: Paired marks in the order in which they are taken off.
+MARKS = (r"\*\*", "__", r"\*", "_", "`")
 #: Links before and after these shares of the text are navigational.
 EDGE = 0.15
 
 
 def clean_anchor(text: Column) -> Column:
     """Anchor text without paired bold, italic and code marks."""
-    for mark in (r"\*\*", "__", r"\*", "_", "`"):
+    for mark in MARKS:
         text = F.regexp_replace(text, f"{mark}(.*?){mark}", "$1")
     return trim_ws(text)
 
@@ -32,20 +38,25 @@ def link_type(base_host: Column, host: Column) -> Column:
     return F.when((host != "") & ((host == base_host) | host.endswith(F.concat(F.lit("."), base_host))), "internal").otherwise("external")
 
 
+def _found(markdown: Column) -> tuple[Column, Column]:
+    """(texts between link syntax, array of structs whole, anchor, target) of a text."""
+    groups = (F.regexp_extract_all(markdown, F.lit(LINK), F.lit(g)).alias(n) for g, n in enumerate(("whole", "anchor", "target")))
+    return F.split(markdown, LINK, -1), F.arrays_zip(*groups)
+
+
 def link_matches(pages: DataFrame, markdown: str, url: str, keys: list[str]) -> DataFrame:
-    """All link syntax in order: keys, url, pos, raw anchor and target, offset and total length, and whether a "!" stands before it.
+    """All link syntax in order: keys, url, pos, raw anchor and target, offset and total length in UTF-16 units, and whether a "!" stands before it.
 
-    Offsets come from the lengths of matches and of the text between them, so no Python is needed.
+    Lengths of the texts before and of the matches are summed over the exploded rows of a page by a window, so a page
+    with very many links costs no more per link. keys must tell pages apart.
     """
     md = F.coalesce(F.col(markdown), F.lit(""))
-    whole = F.regexp_extract_all(md, F.lit(LINK), F.lit(0))
-    between = F.split(md, LINK, -1)
-    found = F.arrays_zip(whole.alias("whole"), F.regexp_extract_all(md, F.lit(LINK), F.lit(1)).alias("anchor"), F.regexp_extract_all(md, F.lit(LINK), F.lit(2)).alias("target"))
-    rows = pages.select(*keys, F.col(url).alias("page_url"), F.length(md).alias("total"), between.alias("gaps"), found.alias("found"))
-    before = F.aggregate(F.slice("gaps", 1, F.col("pos") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("found", 1, F.col("pos")), F.lit(0), lambda a, x: a + F.length(x["whole"]))
-    return rows.select(*keys, "page_url", "total", "gaps", "found", F.posexplode("found").alias("pos", "m")).select(
-        *keys, "page_url", "pos", F.col("m.anchor").alias("anchor"), F.col("m.target").alias("target"), before.alias("offset"), "total", F.get("gaps", F.col("pos")).endswith("!").alias("image")
-    )
+    gaps, found = _found(md)
+    rows = pages.select(*keys, F.col(url).alias("page_url"), utf16_length(md).alias("total"), gaps.alias("gaps"), found.alias("found"))
+    pieces = F.zip_with("found", F.slice("gaps", 1, F.size("found")), lambda m, g: F.struct(m["anchor"].alias("anchor"), m["target"].alias("target"), utf16_length(m["whole"]).alias("own"), utf16_length(g).alias("gap"), g.endswith("!").alias("image")))
+    rows = rows.select(*keys, "page_url", "total", F.posexplode(pieces).alias("pos", "m"))
+    before = F.sum(F.col("m.gap") + F.col("m.own")).over(Window.partitionBy(*keys).orderBy("pos")) - F.col("m.own")
+    return rows.select(*keys, "page_url", "pos", "m.anchor", "m.target", before.alias("offset"), "total", "m.image")
 
 
 def links_table(pages: DataFrame, markdown: str = "markdown", url: str = "url", keys: list[str] | None = None) -> DataFrame:
@@ -82,15 +93,64 @@ def extract_images(markdown: Column) -> Column:
     return F.filter(pairs, lambda p, i: (p["url"] != "") & (F.array_position(urls, p["url"]) == i + 1))
 
 
+_SPACE = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_LINK, _IMAGE, _NO_PAGE = re.compile(LINK), re.compile("!" + LINK), re.compile(NO_PAGE)
+_MARKS = [re.compile(f"{mark}([^\n\r\x85\u2028\u2029]*?){mark}") for mark in MARKS]
+_HOST = re.compile(r"https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)")
+
+
+def _units(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + sum(c > "\uffff" for c in text)
+
+
+def read_links(markdown: str, base: str | None) -> tuple[list[dict], list[dict]]:
+    """(links, images) of one text, in order, by the same rules as the expressions above; time grows with the text."""
+    links: dict[str, dict] = {}
+    images: dict[str, dict] = {}
+    host = lambda u: m[1] if u and (m := _HOST.match(u)) else ""
+    own, total, at, seen = host(normalize_one(base)), _units(markdown), 0, 0
+    for m in _LINK.finditer(markdown):
+        at += _units(markdown[seen : m.start()])
+        offset, seen = at, m.start()
+        target = m[2].strip(_SPACE)
+        if m.start() and markdown[m.start() - 1] == "!":
+            continue
+        anchor = m[1].strip(_SPACE)
+        for mark in _MARKS:
+            anchor = mark.sub(r"\1", anchor)
+        anchor = anchor.strip(_SPACE)
+        if not target or not anchor or _NO_PAGE.match(target) or not (url := normalize_one(target)) or url in links:
+            continue
+        name = host(url)
+        internal = name != "" and (name == own or name.endswith("." + own))
+        edge = total and (offset / total < EDGE or offset / total > 1 - EDGE)
+        links[url] = {"url": url, "anchor_text": anchor, "type": "internal" if internal else "external", "location": "navigational" if edge else "content"}
+    for m in _IMAGE.finditer(markdown):  # a scan of its own: a link may begin before an image and reach into it
+        if target := m[2].strip(_SPACE):
+            images.setdefault(target, {"url": target, "alt": m[1].strip(_SPACE)})
+    return list(links.values()), list(images.values())
+
+
+_ROWS = lambda *names: T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+_READ = T.StructType([T.StructField("links", _ROWS("url", "anchor_text", "type", "location")), T.StructField("images", _ROWS("url", "alt"))])
+
+
+@F.pandas_udf(_READ)
+def _read(texts: pd.Series, bases: pd.Series) -> pd.DataFrame:
+    rows = [(None, None) if t is None else read_links(t, b) for t, b in zip(texts, bases, strict=True)]
+    return pd.DataFrame(rows, columns=["links", "images"], dtype=object)
+
+
 def with_links(pages: DataFrame, markdown: str = "markdown", url: str = "url", key: str | None = None) -> DataFrame:
-    """pages with links (array of structs in page order) and images. key (default: the url column) must be unique."""
-    key = key or url
-    rows = pages.select(F.col(key).alias("_page"), F.col(markdown).alias("_md"), F.col(url).alias("_base"))
-    lists = links_table(rows, "_md", "_base", ["_page"]).groupBy("_page").agg(F.array_sort(F.collect_list(F.struct("pos", "url", "anchor_text", "type", "location"))).alias("_l"))
-    arrays = lists.select("_page", F.transform("_l", lambda x: F.struct(x["url"].alias("url"), x["anchor_text"].alias("anchor_text"), x["type"].alias("type"), x["location"].alias("location"))).alias("links"))
-    none = F.array().cast("array<struct<url:string,anchor_text:string,type:string,location:string>>")
-    joined = pages.join(arrays, F.col(key) == F.col("_page"), "left").drop("_page")
-    return joined.withColumn("links", F.coalesce("links", none)).withColumn("images", extract_images(F.col(markdown)))
+    """pages with links (array of structs in page order) and images, which replace columns of those names.
+
+    In the row, without join or shuffle: texts with link syntax pass once through one Arrow UDF, whose time grows with the text
+    (array expressions would need a pass of all links for each link); other texts stay in the JVM. key is taken for older callers; rows need none.
+    """
+    md, made = F.col(f"`{markdown}`"), fresh(pages, "read")
+    rows = pages.withColumn(made, _read(F.when(F.contains(md, F.lit("](")), md), F.col(f"`{url}`")))
+    none = lambda kind: F.array().cast(_READ[kind].dataType)
+    return rows.withColumns({c: F.coalesce(F.col(f"{made}.{c}"), none(c)) for c in ("links", "images")}).drop(made)
 
 
 def link_counts(links: Column) -> Column:

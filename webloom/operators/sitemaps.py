@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.text import match_or_null, trim_ws
 from webloom.operators.robots import parse_robots_one
+from webloom.scratch import cut
 
 #: Where sitemaps are looked for, in this order, when robots.txt names none.
 COMMON_LOCATIONS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap-0.xml", "/sitemap1.xml", "/sitemap.php", "/sitemap.txt")
@@ -130,12 +131,12 @@ def discover_sitemaps(spark: SparkSession, domain: str, store: DataFrame, robots
 
 
 def sitemap_levels(seeds: DataFrame, store: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(host, url, depth, type, url_count) for any number of hosts: one join a level, lineage short by depth; each sitemap once per host at its least depth."""
-    parsed = parse_sitemap_table(store.filter("content <> ''")).drop("entries")
+    """(host, url, depth, type, url_count) for any number of hosts: sitemaps are parsed once, each level is one join, cut by a checkpoint; each sitemap once per host at its least depth."""
+    parsed = cut(parse_sitemap_table(store.filter("content <> ''")).drop("entries"))  # parsed once, not once a level
     level = seeds.select("host", "url").distinct().withColumn("depth", F.lit(0).cast("long"))
     found = None
     for depth in range(max_depth + 1):
-        here = level.join(parsed, "url")
+        here = cut(level.join(parsed, "url"))
         found = here if found is None else found.unionByName(here)
         level = here.select("host", F.explode("child_sitemaps").alias("url")).distinct().withColumn("depth", F.lit(depth + 1).cast("long"))
     return found.groupBy("host", "url").agg(F.min("depth").alias("depth"), F.first("type").alias("type"), F.first("url_count").alias("url_count"))

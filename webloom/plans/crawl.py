@@ -113,6 +113,7 @@ def crawl_batch(spark: SparkSession, config: CrawlConfig, store: PageStore, curs
     began = clock()
     state = decode_cursor(cursor) if cursor else start(spark, config, store)
     config = state.config if cursor and use_cursor_config else config
+    state.config = config
     rules = state.robots.get(state.seed_domain)
     done: dict[str, Row] = {}
     pages: list[tuple] = []
@@ -191,7 +192,7 @@ def bfs_levels(seeds: DataFrame, edges: DataFrame, max_depth: int | None = 10, m
     visited, n = level, level.count()
     if max_pages is not None and n > max_pages:
         return level.orderBy("url").limit(max_pages)
-    step = edges.select("src", "dst").distinct()
+    step = cut(edges.select("src", "dst").distinct().repartition("src"))  # the edge plan runs once, not once a level
     for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         new = level.join(step, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct().join(visited, "url", "left_anti")
         level = cut(new.withColumn("depth", F.lit(depth).cast("long")))

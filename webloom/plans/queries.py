@@ -6,6 +6,8 @@ queries derive such inputs from page_id, url and html in the same way on both si
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,10 +20,10 @@ from webloom.functions.urls import matches_pattern, normalize_url, origin_of, pa
 from webloom.operators import frontier as fr
 from webloom.operators.links import inlink_counts, link_counts, links_table, with_links
 from webloom.operators.robots import allowed_by_join, is_url_allowed, parse_robots, parse_robots_table
-from webloom.operators.sitemaps import common_sitemaps, filter_priority, parse_sitemap_table, sitemap_levels, urls_of
-from webloom.plans.crawl import bfs_levels, crawl_batch
+from webloom.operators.sitemaps import common_sitemaps, discover_sitemaps, parse_sitemap_table, sitemap_levels, urls_of
+from webloom.plans.crawl import bfs_levels, crawl_batch, followable, start
 from webloom.plans.report import page_report as report_of
-from webloom.plans.report import page_rows
+from webloom.plans.report import page_rows, sitemap_pages
 from webloom.session import ship
 from webloom.sources.page_store import PageStore
 
@@ -49,6 +51,7 @@ def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Pieces of SQL shared by oracles. NORM: a page's normalised URL; HOST: its host.
 NORM = r"regexp_replace(regexp_replace(url, '#.*$', ''), '^(https?://[^/?]+/[^?]*[^/?])/(\?|$)', '\1\2')"
+ORIGIN = "regexp_extract(url, '^https?://[^/?#]*', 0)"
 HOST = r"regexp_extract(url, '^https?://([^/?#:]*)', 1)"
 STRIP = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>[\s\S]*?</script>', '', 'gi'), '<style[^>]*>[\s\S]*?</style>', '', 'gi'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 HEAD = r"CASE WHEN regexp_matches(html, '<head[^>]*>[\s\S]*?</head>', 'i') THEN regexp_extract(html, '<head[^>]*>([\s\S]*?)</head>', 1, 'i') ELSE html END"
@@ -73,16 +76,6 @@ def page_language(spark, sf_dir):
     return pages_of(spark, sf_dir).select("page_id", language_of(F.col("html")).alias("language"))
 
 
-@query(f"""WITH p AS (SELECT *, {HEAD} AS h FROM pages)
-SELECT page_id, {NORM} AS url, coalesce({TITLE}, '') AS title, {LANGUAGE} AS language, 200 AS status_code, CAST(length({STRIP}) AS BIGINT) AS text_length,
-       CAST(0 AS BIGINT) AS links_total, CAST(NULL AS VARCHAR) AS meta_description FROM p""")
-def page_report(spark, sf_dir):
-    """Flagship: the flat report of each page read plainly (no renderer, so no markdown links)."""
-    pages = pages_of(spark, sf_dir).withColumns({"url": normalize_url(F.col("url")), "status_code": F.lit(200)})
-    out = report_of(page_rows(pages, render=False, key="page_id"), keep=["page_id"])
-    return out.select("page_id", "url", "title", "language", "status_code", "text_length", F.col("links_count.total").alias("links_total"), "meta_description")
-
-
 @query()
 def page_report_rendered(spark, sf_dir):
     pages = pages_of(spark, sf_dir).withColumns({"url": normalize_url(F.col("url")), "status_code": F.lit(200)})
@@ -116,9 +109,10 @@ def tagged(spark, sf_dir) -> DataFrame:
     )
     og = F.when(i % 3 == 0, F.concat(F.lit('<meta property="og:title" content="T'), s, F.lit('"><meta content="&quot;d&#39;" property="og:description"><meta property="og:site_name" content="S">'))).when(i % 3 == 1, F.lit('<meta property="og:type" content="website"><meta property="og:title" content="">')).otherwise(F.lit(""))
     tw = F.when(i % 4 == 0, F.concat(F.lit('<meta name="twitter:card" content="summary"><meta property="twitter:title" content="P'), s, F.lit('">'))).when(i % 4 == 1, F.lit('<meta name="twitter:site" content="@x">')).otherwise(F.lit(""))
+    odd = F.when(i % 9 == 4, F.lit('<meta name="author" content="Nobody"')).when(i % 9 == 5, F.lit('<meta name="robots" content="a > b"><meta name="author" content="A > Z">')).otherwise(F.lit(""))
     canon = F.when(i % 2 == 0, F.concat(F.lit('<link rel="canonical" href="'), F.col("url"), F.lit('">'))).when(i % 7 == 0, F.concat(F.lit("<link href='"), F.col("url"), F.lit("' rel='canonical' data-x>"))).otherwise(F.lit(""))
     ld = F.when(i % 6 == 0, F.concat(F.lit('<script type="application/ld+json"> {"@id": '), s, F.lit(', "a": [1, null]} </script><script type="application/ld+json">{broken</script>'))).when(i % 6 == 1, F.lit('<script type="application/ld+json">{oops}</script>')).otherwise(F.lit(""))
-    return pages_of(spark, sf_dir).withColumn("html", F.concat(F.lit("<head>"), meta, og, tw, canon, ld, F.lit("</head>"), F.col("html")))
+    return pages_of(spark, sf_dir).withColumn("html", F.concat(F.lit("<head>"), meta, og, tw, canon, ld, odd, F.lit("</head>"), F.col("html")))
 
 
 TAGGED = """WITH t AS (SELECT page_id, url, '<head>' ||
@@ -127,6 +121,7 @@ TAGGED = """WITH t AS (SELECT page_id, url, '<head>' ||
  CASE page_id % 4 WHEN 0 THEN '<meta name="twitter:card" content="summary"><meta property="twitter:title" content="P' || page_id || '">' WHEN 1 THEN '<meta name="twitter:site" content="@x">' ELSE '' END ||
  CASE WHEN page_id % 2 = 0 THEN '<link rel="canonical" href="' || url || '">' WHEN page_id % 7 = 0 THEN '<link href=''' || url || ''' rel=''canonical'' data-x>' ELSE '' END ||
  CASE page_id % 6 WHEN 0 THEN '<script type="application/ld+json"> {"@id": ' || page_id || ', "a": [1, null]} </script><script type="application/ld+json">{broken</script>' WHEN 1 THEN '<script type="application/ld+json">{oops}</script>' ELSE '' END ||
+ CASE page_id % 9 WHEN 4 THEN '<meta name="author" content="Nobody"' WHEN 5 THEN '<meta name="robots" content="a > b"><meta name="author" content="A > Z">' ELSE '' END ||
  '</head>' || html AS html FROM pages),
 p AS (SELECT *, """ + HEAD + " AS h FROM t)\n"
 
@@ -134,7 +129,7 @@ p AS (SELECT *, """ + HEAD + " AS h FROM t)\n"
 def attr(key: str, value: str, tag: str = "meta", want: str = "content", some: str = "*") -> str:
     """SQL for the first match of either attribute order in h."""
     q, c = "[\"'']", f"[\"'']([^\"'']{some})[\"'']"
-    one, two = rf"<{tag}[^>]*{key}\s*=\s*{q}{value}{q}[^>]*{want}\s*=\s*{c}", rf"<{tag}[^>]*{want}\s*=\s*{c}[^>]*{key}\s*=\s*{q}{value}{q}"
+    one, two = rf"<{tag}[^>]*{key}\s*=\s*{q}{value}{q}[^>]*{want}\s*=\s*{c}[^>]*>", rf"<{tag}[^>]*{want}\s*=\s*{c}[^>]*{key}\s*=\s*{q}{value}{q}[^>]*>"
     sql = f"CASE WHEN regexp_matches(h, '{one}', 'i') THEN regexp_extract(h, '{one}', 1, 'i') WHEN regexp_matches(h, '{two}', 'i') THEN regexp_extract(h, '{two}', 1, 'i') END"
     return sql if tag == "link" else DECODED.format(sql)
 
@@ -265,6 +260,41 @@ def domain_filter(spark, sf_dir):
     return pages_of(spark, sf_dir).select("page_id", passes_domain_filter(n, "example.com").alias("same"), passes_domain_filter(n, "example.com", subdomains=True).alias("with_subdomains"), passes_domain_filter(n, "example.com", external=True).alias("with_external"))
 
 
+# The flagship: every column of the flat report but its time. Meta tags are the derived ones; the text is that of the page with link syntax behind it.
+def reported(spark, sf_dir) -> DataFrame:
+    pages = tagged(spark, sf_dir).join(marked(spark, sf_dir).select("page_id", F.col("markdown").alias("links_md")), "page_id")
+    return pages.select("page_id", normalize_url(F.col("url")).alias("url"), F.concat("html", F.lit("<p>"), "links_md", F.lit("</p>")).alias("html"), F.when(F.col("page_id") % 8 != 0, 200 + F.col("page_id") % 5).cast("int").alias("status_code"))
+
+
+# Link syntax stands after the text, so that offsets shift by the text's length and one space.
+REPORTED = MARKED.replace("WITH m AS", TAGGED.strip() + """,
+b AS (SELECT page_id, t.url AS raw, h, html, """ + STRIP + """ AS body FROM p t),
+m AS""").replace("md FROM m),", "md FROM m),\n", 1).replace("k AS (SELECT page_id, host, ", "k0 AS (SELECT page_id, host, ").replace("md FROM m),\n", "md FROM m),\nk AS (SELECT page_id, host, trim(regexp_replace(body || ' ' || md, '\\s+', ' ', 'g')) AS md FROM k0 JOIN b USING (page_id)),\n", 1)
+
+
+def meta(key: str, value: str) -> str:
+    return attr(key, value)
+
+
+@query(REPORTED + f""", og AS (SELECT page_id, {meta('property', 'og:title')} AS t, {meta('property', 'og:description')} AS d, {meta('property', 'og:image')} AS i, {meta('property', 'og:url')} AS u FROM b),
+tw AS (SELECT page_id, coalesce({meta('name', 'twitter:card')}, {meta('property', 'twitter:card')}) AS c, coalesce({meta('name', 'twitter:title')}, {meta('property', 'twitter:title')}) AS t,
+  coalesce({meta('name', 'twitter:description')}, {meta('property', 'twitter:description')}) AS d, coalesce({meta('name', 'twitter:image')}, {meta('property', 'twitter:image')}) AS i FROM b),
+ll AS (SELECT page_id, string_agg(url || '|' || anchor_text || '|' || type || '|' || location, ' ' ORDER BY pos) AS links, count(*) AS total, count(*) FILTER (type = 'internal') AS internal, count(*) FILTER (location = 'content') AS content FROM links GROUP BY page_id),
+im AS (SELECT page_id, string_agg(url || '|' || alt || '|content', ' ' ORDER BY pos) AS images FROM (SELECT page_id, pos, trim(target) AS url, trim(anchor) AS alt, row_number() OVER (PARTITION BY page_id, trim(target) ORDER BY pos) AS r FROM x WHERE ends_with(s[pos + 1], '!')) WHERE r = 1 GROUP BY page_id)
+SELECT b.page_id, (SELECT {NORM} FROM (SELECT raw AS url)) AS url, coalesce({TITLE}, '') AS title, {meta('name', 'description')} AS meta_description, {attr('rel', 'canonical', 'link', 'href', '+')} AS canonical_url, {meta('name', 'robots')} AS robots, {meta('name', 'author')} AS author, {LANGUAGE} AS language,
+  CASE WHEN coalesce(og.t, '') || coalesce(og.d, '') || coalesce(og.i, '') || coalesce(og.u, '') <> '' THEN og.t END AS og_title, CASE WHEN coalesce(og.t, '') || coalesce(og.d, '') || coalesce(og.i, '') || coalesce(og.u, '') <> '' THEN og.d END AS og_description, og.i AS og_image, og.u AS og_url,
+  CASE WHEN coalesce(tw.c, '') || coalesce(tw.t, '') || coalesce(tw.d, '') || coalesce(tw.i, '') <> '' THEN tw.t END AS twitter_title, tw.d AS twitter_description, tw.i AS twitter_image,
+  CASE WHEN b.page_id % 6 = 0 THEN '{{"@id":' || b.page_id || ',"a":[1,null]}}' END AS page_schema, CASE WHEN b.page_id % 8 = 0 THEN 200 ELSE 200 + b.page_id % 5 END AS status_code, k.md AS content_snippet, length(k.md) AS text_length, coalesce(ll.links, '') AS links, coalesce(im.images, '') AS images,
+  coalesce(ll.total, 0) AS links_total, coalesce(ll.internal, 0) AS links_internal, coalesce(ll.total - ll.internal, 0) AS links_external, coalesce(ll.content, 0) AS links_content, coalesce(ll.total - ll.content, 0) AS links_navigational
+FROM b JOIN k USING (page_id) JOIN og USING (page_id) JOIN tw USING (page_id) LEFT JOIN ll USING (page_id) LEFT JOIN im USING (page_id)""")
+def page_report(spark, sf_dir):
+    """Flagship: the flat report of each page, read plainly (no renderer)."""
+    out = report_of(page_rows(reported(spark, sf_dir), render=False), keep=["page_id"]).drop("processed_at")
+    line = lambda c, *f: F.array_join(F.transform(c, lambda x: F.concat_ws("|", *(x[n] for n in f))), " ")
+    rows = out.withColumns({"links": line("links", "url", "anchor_text", "type", "location"), "images": line("images", "url", "alt_text", "location"), "page_schema": F.array_join("page_schema", " ")})
+    return rows.select(*(c for c in rows.columns if c != "links_count"), *(F.col(f"links_count.{n}").alias(f"links_{n}") for n in ("total", "internal", "external", "content", "navigational")))
+
+
 # Robots: one file a host, of three kinds by the host's length.
 ROBOTS = (
     "User-agent: *\nDisallow: /de/\nAllow: /de/1*\nCrawl-delay: 2\nSitemap: https://x.example.org/sitemap.xml",
@@ -349,10 +379,34 @@ def sitemap_parse(spark, sf_dir):
     return urls_of(parse_sitemap_table(sitemap_files(spark, sf_dir)))
 
 
-@query(ENTRIES + f"SELECT regexp_extract({NORM}, '^https?://[^/?#]*([^#]*)', 1) AS url, 'sitemap-0.xml' AS sitemap_slug, source AS sitemap_url, priority, lastmod FROM e WHERE coalesce(priority, 0) >= 0.5")
+@query(ENTRIES + f"""SELECT CASE WHEN regexp_extract(url, '^(https?://[^/?#]*)', 1) = 'https://example.com' THEN regexp_extract(url, '^https?://[^/?#]*([^#]*)', 1) ELSE url END AS url, 'sitemap-0.xml' AS sitemap_slug, source AS sitemap_url, priority, lastmod FROM e WHERE coalesce(priority, 0) >= 0.5""")
 def sitemap_priority(spark, sf_dir):
-    urls = filter_priority(urls_of(parse_sitemap_table(sitemap_files(spark, sf_dir))), 0.5).withColumn("n", normalize_url(F.col("url")))
-    return urls.select(to_relative_path(F.col("n"), F.col("n")).alias("url"), sitemap_slug(F.col("source")).alias("sitemap_slug"), F.col("source").alias("sitemap_url"), "priority", "lastmod")
+    return sitemap_pages(urls_of(parse_sitemap_table(sitemap_files(spark, sf_dir))), "example.com", 0.5)
+
+
+# Discovery of one domain, the first top-level label: its index and 49 of its children, by the cap of 50 sitemaps.
+def first_top(spark, sf_dir) -> tuple[str, DataFrame]:
+    store = sitemap_files(spark, sf_dir)
+    return store.agg(F.min(F.element_at(F.split("host", r"\."), -1))).first()[0], store
+
+
+DISCOVERED = ENTRIES + """, d AS (SELECT e.url, lastmod, priority, source, pos, dense_rank() OVER (ORDER BY source) AS ord, top FROM e, (SELECT min(top) AS top FROM t) WHERE list_last(string_split(regexp_extract(source, '^https://([^/]*)', 1), '.')) = top)
+"""
+
+
+@query(DISCOVERED + "SELECT ord, url, lastmod, priority, source, pos FROM d WHERE ord < 50")
+def sitemap_discover_one(spark, sf_dir):
+    top, store = first_top(spark, sf_dir)
+    return discover_sitemaps(spark, top, store).urls.select("ord", "url", "lastmod", "priority", "source", "pos")
+
+
+@query(DISCOVERED + f"""SELECT 0 :: BIGINT AS seq, 'https://' || min(top) || '/' AS url, 0 :: BIGINT AS depth FROM t UNION ALL
+SELECT * FROM (SELECT row_number() OVER (ORDER BY ord, pos) AS seq, {NORM} AS url, 0 :: BIGINT FROM d WHERE ord < 50 ORDER BY seq LIMIT 199)""")
+def crawl_start(spark, sf_dir):
+    """The frontier that a crawl over sitemaps and links starts with: the seed, then sitemap URLs, 200 in all."""
+    top, store = first_top(spark, sf_dir)
+    state = start(spark, fr.CrawlConfig(f"https://{top}", obey_robots=False), PageStore(pages_of(spark, sf_dir).limit(0), sitemaps=store))
+    return spark.createDataFrame([(i, u, d) for i, (u, d) in enumerate(state.frontier)], "seq long, url string, depth long")
 
 
 @query(SITEMAPS + "SELECT host, url FROM s UNION ALL SELECT top, 'https://' || top || '/sitemap.xml' FROM t")
@@ -440,13 +494,69 @@ def crawl_status(spark, sf_dir):
     return ok.select(F.when(~F.col("allowed"), "disallowed").when(skip, "skipped").otherwise("completed").alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def crawl_one_seed(spark, sf_dir):
-    """A bounded crawl from the first page over rendered pages whose links lead to their host's next pages."""
-    pages = pages_of(spark, sf_dir).withColumn("n", normalize_url(F.col("url"))).withColumn("host", safe_host(F.col("n")))
+# A crawl of the host with most pages from its first page outside /de/ and /es/; its pages link to the next two: BFS takes them in order. /de/ is disallowed, /es/ not queued, so a
+# page is reached from the page two before it, or else from the one before, if that one is completed.
+def linked_store(spark, sf_dir) -> tuple[str, PageStore]:
+    pages = pages_of(spark, sf_dir).groupBy(normalize_url(F.col("url")).alias("n")).agg(F.min("page_id").alias("page_id")).withColumn("host", safe_host(F.col("n")))
     w = Window.partitionBy("host").orderBy("page_id")
     body = F.concat(F.lit("<html><head><title>"), F.col("n"), F.lit("</title></head><body>"), *(F.coalesce(F.concat(F.lit('<a href="'), F.lead("n", k).over(w), F.lit('">next</a> ')), F.lit("")) for k in (1, 2)), F.lit("</body></html>"))
-    store = PageStore(pages.select(F.col("n").alias("url"), body.alias("html")))
-    seed = pages.orderBy("page_id").select("n").first()[0]
-    out = crawl_batch(spark, fr.CrawlConfig(seed, source="links", extract_metadata=True, obey_robots=False), store, clock=lambda: 0)
-    return out.pages.select("ord", "url", "status", "depth", F.col("metadata.title").alias("title"), F.size("links").alias("n_links"))
+    most = pages.groupBy("host").count().orderBy(F.desc("count"), "host").first().host
+    first = pages.filter((F.col("host") == most) & ~F.col("n").rlike("/(de|es)/")).orderBy("page_id").select("n", "host").first()
+    robots = spark.createDataFrame([(first.host, "User-agent: *\nDisallow: /de/")], "host string, content string")
+    return first.n, PageStore(pages.select(F.col("n").alias("url"), body.alias("html")), robots)
+
+
+ONE_SEED = f"""WITH RECURSIVE n AS (SELECT min(page_id) AS page_id, {NORM} AS u, any_value({HOST}) AS h FROM pages GROUP BY 2),
+o AS (SELECT page_id, u FROM n WHERE h = (SELECT h FROM n GROUP BY h ORDER BY count(*) DESC, h LIMIT 1)),
+p AS (SELECT u, row_number() OVER (ORDER BY page_id) - 1 AS k, count(*) OVER () AS total FROM o WHERE page_id >= (SELECT min(page_id) FROM o WHERE NOT regexp_matches(u, '/(de|es)/'))),
+s AS (SELECT u, k, total, u LIKE '%/es/%' AS skipped, regexp_matches(u, '^https?://[^/]*/de/') AS blocked FROM p),
+r(k, depth, ok, depth0, ok0) AS (
+  SELECT k, 0, NOT blocked, 0, FALSE FROM s WHERE k = 0 UNION ALL
+  SELECT s.k, CASE WHEN skipped THEN NULL WHEN ok0 AND depth0 < 10 THEN depth0 + 1 WHEN ok AND depth < 10 THEN depth + 1 END,
+    NOT skipped AND NOT blocked AND (ok0 AND depth0 < 10 OR ok AND depth < 10), depth, ok FROM r JOIN s ON s.k = r.k + 1 WHERE s.k < 2000)
+SELECT row_number() OVER (ORDER BY k) - 1 AS ord, u AS url, CASE WHEN blocked THEN 'disallowed' ELSE 'completed' END AS status, depth, CASE WHEN NOT blocked THEN u END AS title, CASE WHEN blocked THEN 0 ELSE least(2, total - 1 - k) END AS n_links
+FROM r JOIN s USING (k) WHERE depth IS NOT NULL ORDER BY k LIMIT 100"""
+
+
+def crawled(pages: DataFrame) -> DataFrame:
+    return pages.select("ord", "url", "status", "depth", F.col("metadata.title").alias("title"), F.size("links").alias("n_links"))
+
+
+@query(ONE_SEED)
+def crawl_one_seed(spark, sf_dir):
+    """A bounded crawl from the first page, each URL once."""
+    seed, store = linked_store(spark, sf_dir)
+    config = fr.CrawlConfig(seed, source="links", extract_metadata=True, exclude_patterns=("**/es/**",))
+    return crawled(crawl_batch(spark, config, store, compat=False, clock=lambda: 0).pages)
+
+
+@query(ONE_SEED)
+def crawl_resumed(spark, sf_dir):
+    """The same crawl, stopped by its time budget again and again and resumed from the cursor."""
+    seed, store = linked_store(spark, sf_dir)
+    config = fr.CrawlConfig(seed, source="links", extract_metadata=True, exclude_patterns=("**/es/**",))
+    out, cursor, before = [], None, 0
+    while cursor or not out:
+        ticks = itertools.count(step=3_000)
+        batch = crawl_batch(spark, config, store, cursor, compat=False, clock=lambda: next(ticks))  # noqa: B023
+        out.append(batch.pages.withColumn("ord", F.col("ord") + before))
+        cursor, before = batch.cursor, batch.stats.total_pages_crawled
+    return crawled(functools.reduce(DataFrame.unionByName, out))
+
+
+@query(MARKED + "SELECT page_id, url FROM links WHERE type = 'internal' AND (regexp_extract(url, '^https?://([^/?#:]*)', 1) = 'example.com' OR ends_with(regexp_extract(url, '^https?://([^/?#:]*)', 1), '.example.com')) AND url NOT LIKE '%/es/%'")
+def crawl_followable(spark, sf_dir):
+    links = links_table(marked(spark, sf_dir).withColumnRenamed("url", "page_url"), "markdown", "page_url", ["page_id"])
+    return followable(links, fr.CrawlConfig("https://example.com", include_subdomains=True, exclude_patterns=("**/es/**",)), "example.com").select("page_id", "url")
+
+
+# A page that SQL can write as markdown and as an outline.
+@query(f"""SELECT page_id, '# Page ' || page_id || chr(10) || chr(10) || 'Some **bold** text & [go on](' || {ORIGIN} || '/x/' || page_id || ') ![pic](' || {ORIGIN} || '/p.png)' || chr(10) || chr(10) || '- a' || chr(10) || '- b' AS markdown,
+'Page ' || page_id AS heading, CAST(11 AS BIGINT) AS nodes FROM pages""")
+def render_simple(spark, sf_dir):
+    s = F.col("page_id").cast("string")
+    html = F.concat(F.lit("<html><head><title>t</title></head><body><script>x()</script><h1>Page "), s, F.lit('</h1><p>Some  <b>bold</b>\ntext &amp; <a href="/x/'), s, F.lit('">go <span>on</span></a> <img src="/p.png" alt="pic"></p><ul><li>a</li><li>b</li></ul></body></html>'))
+    rows = pages_of(spark, sf_dir).select("page_id", "url", html.alias("html"))
+    tree = F.split(render_html(F.col("html"), F.col("url"), "semantic_tree"), "\n")
+    text = F.transform(F.split(render_html(F.col("html"), F.col("url"), "semantic_tree_text"), "\n"), lambda x: F.trim(x))
+    return rows.select("page_id", render_html(F.col("html"), F.col("url"), "markdown").alias("markdown"), F.get(text, F.lit(0)).alias("heading"), F.size(F.filter(tree, lambda x: ~F.trim(x).startswith('"'))).cast("long").alias("nodes"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webloom.functions.metadata import with_metadata
 from webloom.functions.render import render_html
 from webloom.functions.text import strip_html_to_text, utf16_length
-from webloom.functions.urls import normalize_url, sitemap_slug, to_relative_path
+from webloom.functions.urls import parsed_url, sitemap_slug, to_relative_path
 from webloom.operators.links import link_counts, with_links
 from webloom.operators.sitemaps import filter_priority
 
@@ -17,10 +17,11 @@ FLAT = ("meta_description", "canonical_url", "robots", "author", "language")
 
 
 def page_rows(pages: DataFrame, render: bool = True, metadata: bool = True, strip: tuple[str, ...] = ("css",), key: str = "url") -> DataFrame:
-    """pages (url, html, status_code) with markdown, metadata, links and images. url: normalised; key: a unique column."""
+    """pages (url, html, status_code) with markdown, metadata, links and images, each in its row. url: normalised; key is taken for older callers."""
     text = render_html(F.col("html"), F.col("url"), "markdown", strip) if render else strip_html_to_text(F.col("html"))
     rows = pages.withColumn("markdown", F.coalesce(text, F.lit("")))
-    return with_links((with_metadata(rows) if metadata else rows).drop("html"), key=key)
+    rows = with_links(rows)
+    return (with_metadata(rows) if metadata else rows).drop("html")
 
 
 def page_report(rows: DataFrame, processed_at: Column | None = None, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
@@ -46,5 +47,7 @@ def page_report(rows: DataFrame, processed_at: Column | None = None, keep: list[
 
 def sitemap_pages(urls: DataFrame, base_url: str, priority_threshold: float | None = None) -> DataFrame:
     """Rows (url relative to the base's origin, sitemap_slug, sitemap_url, priority, lastmod) of discovered URLs."""
-    base = normalize_url(F.lit(base_url if "://" in base_url else f"https://{base_url}"))
-    return filter_priority(urls, priority_threshold).select(to_relative_path(F.col("url"), base).alias("url"), sitemap_slug(F.col("source")).alias("sitemap_slug"), F.col("source").alias("sitemap_url"), "priority", "lastmod")
+    base = parsed_url(F.lit(base_url if "://" in base_url else f"https://{base_url}"))
+    parsed = parsed_url(F.col("url"))
+    relative = to_relative_path(parsed, base)
+    return filter_priority(urls, priority_threshold).select(F.when((parsed != "") & (relative != parsed), relative).otherwise(F.col("url")).alias("url"), sitemap_slug(F.col("source")).alias("sitemap_slug"), F.col("source").alias("sitemap_url"), "priority", "lastmod")
