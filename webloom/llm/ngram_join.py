@@ -16,7 +16,7 @@ hash. Two documents link when 100 * |A & B| >= percent * |A | B|.
    sets two stay together if their sketches (counts of shingles by low hash bits) allow
    the overlap that a link needs: the sum of the smaller counts is never below it.
    That parts documents that only share a passage. A larger group is never held by a task: each of
-   its sets is compared with one of them, the pivot. Where half or more may link with it, the
+   its sets is compared with one of them, the pivot. Where half or more are similar to it, the
    group is a star; otherwise its sets are signed again after another hash, once more together with
    the group, which parts those that have no more than a passage in common (LEVELS times, then a star).
    Signatures that are frequent within a slice of texts are dealt over SALTS tasks.
@@ -56,9 +56,11 @@ from webloom.llm._common import attach, components, fresh, keyed_filter, map_arr
 from webloom.llm._text import U64, column, mix, shingle_sets, slices
 
 #: What one piece of a block may hold: shingles, and about so many sets.
-PIECE_SHINGLES, PIECE_SETS = 400_000, 160
+PIECE_SHINGLES, PIECE_SETS = 400_000, 64
 #: Largest group whose sets are compared with each other; levels of signing; sets of a slice that make a signature frequent; tasks it is dealt over.
 GROUP, LEVELS, FREQUENT, SALTS = 512, 3, 32, 64
+#: Percent of the needed similarity that makes a set belong to a big group's pivot: copies of one text differ from each other more than from it.
+LIKE = 67
 
 
 class Bands:
@@ -293,15 +295,17 @@ def _pivot_task(percent: int):
 
 
 def _stars(big: DataFrame, chosen: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
-    """(edges, rest): big groups half of whose sets may link with their pivot as stars; (grp, set_key) of the others."""
-    by = big.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("pivot"))
+    """(edges, rest): big groups half of whose sets may be LIKE as similar to their pivot as linked sets are, as stars; (grp, set_key) of the others."""
+    # The set that stands in most of the big groups is nearest to what their sets have in common.
+    often = big.groupBy("set_key").agg(F.count(F.lit(1)).alias("times"))
+    by = big.join(often, "set_key").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max_by("set_key", F.struct("times", "set_key")).alias("pivot"))
     told = chosen.select(F.col("set_key").alias("pivot"), F.col("sketch").alias("pivot_sketch"), F.col("n_shingles").alias("pivot_size"))
     pivots = save(by.join(told, "pivot"), "pivots")
     if last:
         seen = attach(big, pivots.select("grp", "pivot", "n"), "grp", "n", big.count())
         return seen.select(F.col("set_key").alias("a"), F.col("pivot").alias("b")), big.limit(0)
     both = attach(big.join(chosen.select("set_key", "n_shingles", "sketch"), "set_key"), pivots, "grp", "n", big.count())
-    seen = save(map_arrow(both.select("grp", "set_key", "pivot", "sketch", "pivot_sketch", "n_shingles", "pivot_size"), _pivot_task(percent), "grp long, set_key long, pivot long, may boolean"), "pivoted")
+    seen = save(map_arrow(both.select("grp", "set_key", "pivot", "sketch", "pivot_sketch", "n_shingles", "pivot_size"), _pivot_task(LIKE * percent // 100), "grp long, set_key long, pivot long, may boolean"), "pivoted")
     dense = save(seen.groupBy("grp").agg(F.avg(F.col("may").cast("int")).alias("share")).filter("share >= 0.5").select("grp"), "dense")
     return keyed_filter(seen, dense, "grp", "left_semi").select(F.col("set_key").alias("a"), F.col("pivot").alias("b")), keyed_filter(seen, dense, "grp", "left_anti").select("grp", "set_key")
 
