@@ -1,4 +1,6 @@
 import random
+import struct
+import zlib
 
 import pytest
 
@@ -62,3 +64,31 @@ def test_tables(spark):
     assert sorted(r.text for r in back) == sorted(["hello world", "", "", "x" * 50_000 + " \n"])
     assert all(r.round_trip for r in piece_codec.table_of(df).collect())
     assert piece_codec.table_of(df.limit(0)).collect() == []
+
+
+def best_ids(codec, text):
+    """Ids by plain dynamic programming over the whole normalised text: best total, then the longest last piece."""
+    scores = {p: (codec.lib.get_score(i), i) for i, p in enumerate(codec.pieces) if i not in codec.control and i not in codec.bytes}
+    text = codec.lib.normalize(text) if text else ""
+    best, back = [0.0], [None]
+    for e in range(1, len(text) + 1):
+        options = [(best[s] + scores[text[s:e]][0], e - s, [scores[text[s:e]][1]]) for s in range(max(0, e - 24), e) if text[s:e] in scores]
+        if text[e - 1] not in codec.single:
+            options.append((best[e - 1] + codec.unknown_score, 0, [codec.byte_ids[b] for b in text[e - 1].encode()]))
+        total, size, ids = max(options, key=lambda x: (x[0], x[1]))
+        best.append(total)
+        back.append((e - max(size, 1), ids))
+    out, at = [], len(text)
+    while at:
+        at, ids = back[at]
+        out = ids + out
+    return out
+
+
+def test_digests_against_plain_programming(spark, codec):
+    """n_tokens and ids_crc32 of table_of."""
+    rows = [(i, t) for i, t in enumerate([*texts(60), None, "", "plain words of a text, and 12 more."])]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in piece_codec.table_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        ids = best_ids(codec, t)
+        assert got[i] == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))), t
