@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined cases: an empty table passes through as an empty table; rows with a null identifier are
+ordinary rows, told apart by their text; documents without a word go in the first stage where labels
+are given (they can't be weighed); of rows equal in identifier and text one stays after exact_dedup; extra columns are
+carried, whatever their names, up to the last stage, which returns doc_id, segment, length, bucket, batch and slot.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from webloom.llm import exact_dedup, importance, ngram_join, packing, secret_scan
-from webloom.llm._common import save
+from webloom.llm._common import save, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,7 +55,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = save(docs, f"stage-{name}")
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with scratch(spark) as keep:  # what a stage has written for itself goes when its result is written
+            docs = keep(save(stage(spark, docs, sf_dir), f"stage-{name}"))
     return docs
