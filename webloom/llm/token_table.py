@@ -36,6 +36,7 @@ a manifest without shards; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import mmap
 import os
 import struct
@@ -64,6 +65,10 @@ CODEC = pa.Codec("zstd", compression_level=1)
 # Classes of code points for cutting: letter, number, white space, other, and those that go through the library.
 _L, _N, _S, _O, _RARE = range(5)
 _CLASS: list[np.ndarray] = []
+#: The byte alphabet of byte-level models: visible characters of Latin-1 stand for themselves, other bytes for U+0100 on.
+_BYTE_ALPHABET = np.arange(256, dtype="<u2")
+_HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_BYTE_ALPHABET[_HIDDEN] = 0x100 + np.arange(len(_HIDDEN))
 #: Pieces kept per worker while writing shards, and while only counting.
 CACHE, COUNT_CACHE = 300_000, 200_000
 #: Pieces encoded at a time.
@@ -97,6 +102,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib, self.limit = Tokenizer.from_file(path), cache
+        parts = json.loads(self.lib.to_str())
+        before = parts["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not parts["normalizer"]
+        self.model = self.lib.model if plain else None
         self.specials = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self._clear()
 
@@ -145,12 +154,12 @@ class Encoder:
         if len(self.known) + len(texts) > self.limit:
             self._clear()
         known = self.known
-        missing = list(dict.fromkeys(t for t in texts if t not in known))
+        missing = [t for t in texts if t not in known]
         if missing:
-            known.update((t, len(self.begin) - 1 + j) for j, t in enumerate(missing))
+            known.update(zip(missing, range(len(self.begin) - 1, len(self.begin) - 1 + len(missing)), strict=True))
             flat, sizes = [self.flat], []
             for i in range(0, len(missing), GROUP):  # the library's results take much room
-                new = [e.ids for e in self.lib.encode_batch_fast(missing[i : i + GROUP], add_special_tokens=False)]
+                new = self._encode_pieces(missing[i : i + GROUP])
                 flat.append(np.fromiter(chain.from_iterable(new), np.uint32))
                 sizes += map(len, new)
             self.flat = np.concatenate(flat)
@@ -158,6 +167,15 @@ class Encoder:
         return np.fromiter(map(known.__getitem__, texts), np.int64, len(texts))[back]
 
 
+    def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces, which the library wouldn't cut further: straight from its model, in the byte alphabet. No piece holds U+FFFF."""
+        if self.model is None:
+            return [e.ids for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
+        spell = lambda t: _BYTE_ALPHABET[np.frombuffer(t.encode(), np.uint8)].tobytes().decode("utf-16-le")
+        tokenize = self.model.tokenize
+        return [[x.id for x in tokenize(p)] for p in spell("\uffff".join(pieces)).split(spell("\uffff"))]
+
+
 def _distinct(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of a first piece of each content, which of these each piece is): sorted by hash, then compared with its first."""
     raw = units.view(np.uint8)
