@@ -9,16 +9,15 @@ hash. Two documents link when 100 * |A & B| >= percent * |A | B|.
    (a + b) * (100 - percent) / (100 + percent) shingles. Sizes fall into bands;
    within a band the hash range is cut into more segments than a linked pair can
    have differences, so some segments are equal in both. The content hash of a segment
-   that isn't empty is a signature. A set with so many empty segments that these could be all
-   it shares also signs its first n - ceil(n * percent / 100) + 1 shingles in the global order, of which linked
-   sets share one. A task signs equal sets once, so copies cost each task one set of rows.
+   is a signature; empty segments are signed only by a set that has so many that these could be all it shares. A task signs equal sets once, so copies cost each task one set of rows.
 2. Sets that share a signature form groups; equal groups are merged. In a group of up to GROUP
    sets two stay together if their sketches (counts of shingles by low hash bits) allow
    the overlap that a link needs: the sum of the smaller counts is never below it.
    That parts documents that only share a passage. A larger group is never held by a task: each of
-   its sets is compared with one of them, the pivot. Where half or more are similar to it, the
-   group is a star; otherwise its sets are signed again after another hash, once more together with
-   the group, which parts those that have no more than a passage in common (LEVELS times, then a star).
+   its sets is compared with one of them, the pivot. Where nearly all may link with it, the
+   group is a star; otherwise it is compared by chunks, or, if it has many, its sets are signed again after another hash, once more together with
+   the group, which parts those that have no more than a passage in common. What stays large after LEVELS levels
+   is compared by chunks of GROUP sets, each pair of chunks in a task of its own.
    Signatures that are frequent within a slice of texts are dealt over SALTS tasks.
    Components of all these edges are the blocks. No link crosses two blocks.
 3. A block is cut into pieces of bounded size. In each piece sets are ordered by frequency, then hash, and
@@ -56,11 +55,11 @@ from webloom.llm._common import attach, components, fresh, keyed_filter, map_arr
 from webloom.llm._text import U64, column, mix, shingle_sets, slices
 
 #: What one piece of a block may hold: shingles, and about so many sets.
-PIECE_SHINGLES, PIECE_SETS = 400_000, 64
+PIECE_SHINGLES, PIECE_SETS = 400_000, 128
 #: Largest group whose sets are compared with each other; levels of signing; sets of a slice that make a signature frequent; tasks it is dealt over.
-GROUP, LEVELS, FREQUENT, SALTS = 512, 3, 32, 64
-#: Percent of the needed similarity that makes a set belong to a big group's pivot: copies of one text differ from each other more than from it.
-LIKE = 67
+GROUP, LEVELS, FREQUENT, SALTS = 512, 2, 32, 64
+#: Percent of a big group's sets that may link with its pivot where it is a star.
+DENSE = 95
 
 
 class Bands:
@@ -132,7 +131,7 @@ def _sets_task(k: int):
     return run
 
 
-def _signatures(first: np.ndarray, sizes: np.ndarray, sh: np.ndarray, bands: Bands, percent: int, chosen: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _signatures(first: np.ndarray, sizes: np.ndarray, sh: np.ndarray, bands: Bands, chosen: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(set index, signature) of the chosen sets in the given bands. sh: ordered within each set."""
     segments = bands.segments[band]
     length = sizes[chosen]
@@ -147,12 +146,11 @@ def _signatures(first: np.ndarray, sizes: np.ndarray, sh: np.ndarray, bands: Ban
     owner = np.searchsorted(base, used, "right") - 1
     place = (used - base[owner]).astype(U64)
     filled = np.bincount(owner, minlength=len(chosen))
-    who, sig = chosen[owner], mix(sums + mix(place + (band[owner].astype(U64) << U64(32)) + U64(1)))
+    # A set with more empty segments than the slack covers signs its empty segments as well.
     for i in np.flatnonzero(segments - filled > bands.slack[band]):
-        n = int(length[i])
-        head = sh[first[chosen[i]] : first[chosen[i]] + n + (-percent * n // 100) + 1]
-        who, sig = np.concatenate([who, np.full(len(head), chosen[i])]), np.concatenate([sig, mix(head ^ U64(0x5BF0_3635_DCF4_98B1))])
-    return who, sig
+        empty = np.setdiff1d(np.arange(segments[i]), place[owner == i].astype(np.int64))
+        owner, place, sums = np.concatenate([owner, np.full(len(empty), i)]), np.concatenate([place, empty.astype(U64)]), np.concatenate([sums, np.zeros(len(empty), U64)])
+    return chosen[owner], mix(sums + mix(place + (band[owner].astype(U64) << U64(32)) + U64(1)))
 
 
 def _sign_task(k: int, percent: int, level: int = 0):
@@ -179,7 +177,7 @@ def _sign_task(k: int, percent: int, level: int = 0):
                 own = bands.of(sizes[new])
                 # A set also stands in the band below while a set of that band can link with it.
                 lower = (own > 0) & (sizes[new] <= bands.reach[np.maximum(own - 1, 0)])
-                parts = [_signatures(first, sizes, sh, bands, percent, new, own), _signatures(first, sizes, sh, bands, percent, new[lower], own[lower] - 1)]
+                parts = [_signatures(first, sizes, sh, bands, new, own), _signatures(first, sizes, sh, bands, new[lower], own[lower] - 1)]
                 who, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
                 if level:
                     lists = column(batch, "grps").slice(lo, hi - lo)
@@ -258,7 +256,7 @@ def _groups_task(limit: int):
 
 
 def _edges_task(percent: int):
-    """Rows come sorted by group, up to GROUP sets each: edges (a, b) between sets of a group that may link."""
+    """Rows come sorted by group, two chunks of about GROUP sets at most: edges (a, b) between sets of a group that may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, keys, sizes, sketches = None, [], [], []
@@ -294,20 +292,28 @@ def _pivot_task(percent: int):
     return run
 
 
-def _stars(big: DataFrame, chosen: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
-    """(edges, rest): big groups half of whose sets may be LIKE as similar to their pivot as linked sets are, as stars; (grp, set_key) of the others."""
+def _stars(big: DataFrame, chosen: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, middling, rest): big groups of whose sets DENSE percent may link with their pivot, as stars; (grp, set_key) of others, of some chunks, and larger."""
     # The set that stands in most of the big groups is nearest to what their sets have in common.
     often = big.groupBy("set_key").agg(F.count(F.lit(1)).alias("times"))
     by = big.join(often, "set_key").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max_by("set_key", F.struct("times", "set_key")).alias("pivot"))
     told = chosen.select(F.col("set_key").alias("pivot"), F.col("sketch").alias("pivot_sketch"), F.col("n_shingles").alias("pivot_size"))
     pivots = save(by.join(told, "pivot"), "pivots")
-    if last:
-        seen = attach(big, pivots.select("grp", "pivot", "n"), "grp", "n", big.count())
-        return seen.select(F.col("set_key").alias("a"), F.col("pivot").alias("b")), big.limit(0)
     both = attach(big.join(chosen.select("set_key", "n_shingles", "sketch"), "set_key"), pivots, "grp", "n", big.count())
-    seen = save(map_arrow(both.select("grp", "set_key", "pivot", "sketch", "pivot_sketch", "n_shingles", "pivot_size"), _pivot_task(LIKE * percent // 100), "grp long, set_key long, pivot long, may boolean"), "pivoted")
-    dense = save(seen.groupBy("grp").agg(F.avg(F.col("may").cast("int")).alias("share")).filter("share >= 0.5").select("grp"), "dense")
-    return keyed_filter(seen, dense, "grp", "left_semi").select(F.col("set_key").alias("a"), F.col("pivot").alias("b")), keyed_filter(seen, dense, "grp", "left_anti").select("grp", "set_key")
+    seen = save(map_arrow(both.select("grp", "set_key", "pivot", "sketch", "pivot_sketch", "n_shingles", "pivot_size"), _pivot_task(percent), "grp long, set_key long, pivot long, may boolean"), "pivoted")
+    dense = save(seen.groupBy("grp").agg(F.avg(F.col("may").cast("int") * 100).alias("share"), F.count(F.lit(1)).alias("n")), "dense")
+    of = lambda which: keyed_filter(seen, dense.filter(which).select("grp"), "grp", "left_semi")
+    loose = F.col("share") < DENSE
+    return of(~loose).select(F.col("set_key").alias("a"), F.col("pivot").alias("b")), of(loose & (F.col("n") <= 4 * GROUP)).select("grp", "set_key"), of(loose & (F.col("n") > 4 * GROUP)).select("grp", "set_key")
+
+
+def _by_chunks(rest: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """Edges within groups that signing again doesn't part: about GROUP sets at a time meet as many others of their group, for each pair of such chunks in a task of its own."""
+    sizes = save(rest.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.ceil(F.col("n") / GROUP).cast("int")), "chunks")
+    rows = attach(rest.join(chosen.select("set_key", "n_shingles", "sketch"), "set_key"), sizes, "grp", "n", rest.count())
+    rows = rows.withColumn("x", F.pmod(F.xxhash64("set_key"), F.col("chunks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = rows.select(F.xxhash64("grp", F.least("x", "y"), F.greatest("x", "y")).alias("grp"), "set_key", "n_shingles", "sketch")
+    return map_arrow(met.repartition("grp").sortWithinPartitions("grp"), _edges_task(percent), "a long, b long")
 
 
 def _blocks(docs: DataFrame, rows: DataFrame, chosen: DataFrame, k: int, percent: int) -> DataFrame:
@@ -322,10 +328,13 @@ def _blocks(docs: DataFrame, rows: DataFrame, chosen: DataFrame, k: int, percent
         big = groups.filter("big").select("grp", "set_key")
         if big.isEmpty():
             break
-        star, rest = _stars(big, chosen, percent, level == LEVELS)
-        edges.append(star)
+        star, middling, rest = _stars(big, chosen, percent)
+        edges += [star, _by_chunks(middling, chosen, percent)]
         if rest.isEmpty():
             break
+        if level == LEVELS:
+            edges.append(_by_chunks(rest, chosen, percent))
+            break
         # A set has no more groups than signatures.
         again = save(rest.groupBy("set_key").agg(F.collect_list("grp").alias("grps")).join(chosen.select("set_key", "rep"), "set_key").select("rep", "grps"), "again")
         signed = map_arrow(keyed_filter(rows.select("text", "rep"), again, "rep", "inner").select("text", "grps"), _sign_task(k, percent, level), "sig long, salt int, set_key long")
@@ -524,7 +533,7 @@ def _joined(rows: DataFrame, percent: int, what: str) -> DataFrame:
 
 
 def _across(contents: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links between the pieces of the blocks that have several: contents (block, pieces, piece, set_key, tokens, saved), links within pieces."""
+    """Links between the pieces of the blocks that have several: contents (block, pieces, piece, set_key, tokens), links within pieces."""
     number = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     def rooted(found: DataFrame, what: str) -> DataFrame:
@@ -565,7 +574,7 @@ def links_of(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     none = F.lit(None).cast("long").alias("root")
     links = _joined(contents.select("block", F.col("piece").alias("x"), F.lit(-1).alias("y"), F.lit(0).alias("side"), "set_key", none, "tokens"), percent, "links")
     cut = contents.filter("pieces > 1")
-    return sets, links if cut.isEmpty() else _across(save(cut, "cut"), links, percent)
+    return sets, links if cut.isEmpty() else _across(cut, links, percent)
 
 
 def components_of(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
