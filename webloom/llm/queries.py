@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import exact_dedup, importance, line_dedup, line_labels, ngram_join, packing, piece_codec, secret_scan, token_table, url_filter
+from webloom.llm import exact_dedup, importance, line_dedup, line_labels, ngram_join, packing, periodic_runs, piece_codec, secret_scan, token_counts, token_table, url_filter
 from webloom.llm._common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +99,27 @@ def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"))
+
+
+def with_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents get a period from one of their words on, by the checksum of doc_id (null: none)."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents"), with_period)
+
+
 # Documents are told apart by doc_id here, which is unique in the tables.
 ORACLES["op1_line_templates"] = r"""
 WITH l AS (

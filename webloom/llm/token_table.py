@@ -66,9 +66,9 @@ CODEC = pa.Codec("zstd", compression_level=1)
 _L, _N, _S, _O, _RARE = range(5)
 _CLASS: list[np.ndarray] = []
 #: The byte alphabet of byte-level models: visible characters of Latin-1 stand for themselves, other bytes for U+0100 on.
-_BYTE_ALPHABET = np.arange(256, dtype="<u2")
+BYTE_ALPHABET = np.arange(256, dtype="<u2")
 _HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
-_BYTE_ALPHABET[_HIDDEN] = 0x100 + np.arange(len(_HIDDEN))
+BYTE_ALPHABET[_HIDDEN] = 0x100 + np.arange(len(_HIDDEN))
 #: Pieces kept per worker while writing shards, and while only counting.
 CACHE, COUNT_CACHE = 300_000, 200_000
 #: Pieces encoded at a time.
@@ -116,25 +116,12 @@ class Encoder:
     def encode_slice(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids of the slice's texts in order, where each text's ids begin, with the end)."""
         texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offs[:-1], offs[1:], strict=True)]
-        joined = "".join(texts)
-        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        kind = np.full(len(code), _RARE, np.uint8)
-        low = code < 1 << 16
-        kind[low] = _classes()[code[low]]
-        rare = np.flatnonzero(kind == _RARE)
-        whole = np.unique(np.searchsorted(first, rare, "right") - 1)
-        if self.specials:
-            whole = np.union1d(whole, [i for i, t in enumerate(texts) if any(s in t for s in self.specials)]).astype(np.int64)
+        joined, code, starts, ends, text, whole = cut_pieces(texts, self.specials)
         parts: list[np.ndarray | None] = [None] * len(texts)
         for i, e in zip(whole, self.lib.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
             parts[i] = np.array(e.ids, np.uint32)
         plain = np.setdiff1d(np.arange(len(texts)), whole)
         if len(plain):
-            starts, ends, text = _cut(code, kind, first)
-            if len(whole):
-                keep = ~np.isin(text, whole)
-                starts, ends, text = starts[keep], ends[keep], text[keep]
             which = self._lookup(joined, code, starts, ends)
             n = self.begin[which + 1] - self.begin[which]
             at = np.concatenate([[0], np.cumsum(n)])
@@ -149,7 +136,7 @@ class Encoder:
     def _lookup(self, joined: str, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Index into ids of each piece; new pieces are encoded by the library. Pieces are known by their text; hashes only sort them."""
         units = code.astype("<u2")  # plain texts have no other code points
-        where, back = _distinct(units, starts, ends)
+        where, back = distinct_pieces(units, starts, ends)
         texts = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
         if len(self.known) + len(texts) > self.limit:
             self._clear()
@@ -166,17 +153,34 @@ class Encoder:
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
         return np.fromiter(map(known.__getitem__, texts), np.int64, len(texts))[back]
 
-
     def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         """Ids of pieces, which the library wouldn't cut further: straight from its model, in the byte alphabet. No piece holds U+FFFF."""
         if self.model is None:
             return [e.ids for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
-        spell = lambda t: _BYTE_ALPHABET[np.frombuffer(t.encode(), np.uint8)].tobytes().decode("utf-16-le")
+        spell = lambda t: BYTE_ALPHABET[np.frombuffer(t.encode(), np.uint8)].tobytes().decode("utf-16-le")
         tokenize = self.model.tokenize
         return [[x.id for x in tokenize(p)] for p in spell("\uffff".join(pieces)).split(spell("\uffff"))]
 
 
-def _distinct(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cut_pieces(texts: list[str], specials: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all texts joined, their code points, pieces' starts and ends, each piece's text, texts that must go through the library and have no pieces here)."""
+    joined = "".join(texts)
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    kind = np.full(len(code), _RARE, np.uint8)
+    low = code < 1 << 16
+    kind[low] = _classes()[code[low]]
+    whole = np.unique(np.searchsorted(first, np.flatnonzero(kind == _RARE), "right") - 1)
+    if specials:
+        whole = np.union1d(whole, [i for i, t in enumerate(texts) if any(s in t for s in specials)]).astype(np.int64)
+    starts, ends, owner = _cut(code, kind, first)
+    if len(whole):
+        keep = ~np.isin(owner, whole)
+        starts, ends, owner = starts[keep], ends[keep], owner[keep]
+    return joined, code, starts, ends, owner, whole
+
+
+def distinct_pieces(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of a first piece of each content, which of these each piece is): sorted by hash, then compared with its first."""
     raw = units.view(np.uint8)
     _, where, back = np.unique(span_hashes(raw, starts * 2, ends * 2), return_index=True, return_inverse=True)
