@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import exact_dedup, importance, line_dedup, line_labels, ngram_join, packing, periodic_runs, piece_codec, secret_scan, token_counts, token_table, url_filter
+from webloom.llm import exact_dedup, filter_audit, importance, line_dedup, line_labels, ngram_join, packing, periodic_runs, piece_codec, secret_scan, token_counts, token_table, url_filter
 from webloom.llm._common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,42 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+m AS (
+  SELECT doc_id, part, concat(
+    CASE WHEN len(ws) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END,
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END) AS f FROM w),
+told AS (SELECT doc_id, coalesce(max(quality) = 1, FALSE) AS good, coalesce(max(toxic) = 1, FALSE) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, f, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic, count(*) AS n FROM m LEFT JOIN told USING (doc_id) GROUP BY ALL),
+x(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM x a JOIN x b ON a.l <> b.l JOIN x c ON c.l NOT IN (a.l, b.l)
+  JOIN x d ON d.l NOT IN (a.l, b.l, c.l) JOIN x e ON e.l NOT IN (a.l, b.l, c.l, d.l)),
+s AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS letter, f, good, toxic, n,
+         contains(f, filter_order[step]) AS hit, translate(filter_order[1:step - 1], f, '') <> filter_order[1:step - 1] AS gone
+  FROM c, o, range(1, 6) r(step)),
+g AS (
+  SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS removed,
+         coalesce(sum(n) FILTER (gone AND hit), 0) AS redundant, coalesce(sum(n) FILTER (f = letter), 0) AS unique_fails,
+         coalesce(sum(n) FILTER (NOT gone AND hit AND good), 0) AS good_lost, coalesce(sum(n) FILTER (NOT gone AND hit AND toxic), 0) AS toxic_lost
+  FROM s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM g
+"""
+
+
 def with_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """A tenth of the documents get a period from one of their words on, by the checksum of doc_id (null: none)."""
     h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
