@@ -8,7 +8,8 @@ import pytest
 
 from webloom.llm import importance, line_dedup, line_labels, ngram_join, packing, token_table
 from webloom.llm._common import new_path
-from webloom.llm._text import same_spans, slices, span_hashes, value_hashes
+from webloom.llm import _text
+from webloom.llm._text import keyed_chain, keyed_hashes, keyed_values, mix, same_spans, slices, span_hashes, use_secret, word_spans
 
 
 def thue_morse(n, zero, one):
@@ -24,9 +25,10 @@ def test_spans(n):
     data = np.concatenate([a, b, a])
     starts = np.array([0, n, 2 * n, 0])
     ends = np.array([n, 2 * n, 3 * n, 0])
-    h = span_hashes(data, starts, ends)
-    assert h[0] == h[2] and len({*h.tolist()}) == 3
-    v = value_hashes(data.astype(np.uint64), starts, ends)
+    for hashes in (span_hashes, keyed_hashes):
+        h = hashes(data, starts, ends)
+        assert h[0] == h[2] and len({*h.tolist()}) == 3
+    v = keyed_values(data.astype(np.uint64), starts, ends)
     assert v[0] == v[2] and len({*v.tolist()}) == 3
     assert same_spans(data, starts[[0, 0, 0]], ends[[0, 0, 0]], starts[[1, 2, 3]], ends[[1, 2, 3]]).tolist() == [False, True, False]
 
@@ -37,7 +39,69 @@ def test_hashes_tell_all_spans_apart():
     starts = rng.integers(0, 29_000, 200_000)
     ends = starts + rng.integers(0, 20, 200_000)
     contents = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-    assert len({*zip(contents, span_hashes(data, starts, ends).tolist(), strict=True)}) == len({*contents}) == len({*span_hashes(data, starts, ends).tolist()})
+    for hashes in (span_hashes, keyed_hashes):
+        assert len({*zip(contents, hashes(data, starts, ends).tolist(), strict=True)}) == len({*contents}) == len({*hashes(data, starts, ends).tolist()})
+
+
+def cancelling(n):
+    """Pairs of 16-letter words whose second halves cancel the difference of their first ones, as a known round allows."""
+    rng, letters, out, base = np.random.default_rng(1), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8), [], np.uint64(16 * 0x9E3779B97F4A7C15 % 2**64)
+    start, word = mix(np.array([base])), lambda m: np.ascontiguousarray(m).view("<u8")[:, 0]
+    while len(out) < n:
+        a = rng.choice(letters, (400_000, 8))
+        state = mix(start ^ word(a))
+        # Two states whose difference is one of letter halves: states that agree but for the low five bits of each byte.
+        order = np.argsort(state & np.uint64(0xE0E0E0E0E0E0E0E0), kind="stable")
+        for i, j in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+            gap = int(state[i] ^ state[j])
+            if gap & 0xE0E0E0E0E0E0E0E0:
+                continue
+            halves = [next(((x, x ^ d) for x in b"abcdefghijklmnopqrstuvwxyz" if x ^ d in b"abcdefghijklmnopqrstuvwxyz"), None) for d in gap.to_bytes(8, "little")]
+            if all(halves):
+                out.append(tuple((a[k].tobytes() + bytes(h[side] for h in halves)).decode() for side, k in enumerate((i, j))))
+    return out[:n]
+
+
+BUILT = [("syvzkskbaaaaaaab", "tzlijthzhknxkskc"), *cancelling(3)]
+
+
+def spans_of(words):
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    return data, *word_spans(data, np.array([0, len(data)]))[:2]
+
+
+def test_built_pairs_collide_in_the_open_hash_only():
+    for pair in BUILT:
+        assert len(set(span_hashes(*spans_of(pair)).tolist())) == 1
+        assert len(set(keyed_hashes(*spans_of(pair)).tolist())) == 2
+
+
+def test_operators_tell_built_pairs_apart(spark):
+    rows = [(2 * i + j, w) for i, pair in enumerate(BUILT) for j, w in enumerate(pair)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.component_id == r.doc_id for r in ngram_join.components_of(df, 4, 85).collect()] == [True] * len(rows)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    lines = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(BUILT)], "doc_id long, text string")
+    assert [r.n_dup_lines for r in line_labels.judge(lines, labels).collect()] == [0] * len(BUILT)
+    many = [(10 * i + j, w) for i, p in enumerate(BUILT) for j, w in enumerate([p[0]] * 9 + [p[1]])]
+    got = line_dedup.report(spark.createDataFrame(many, "doc_id long, text string")).collect()
+    assert [r.n_dropped for r in got] == [n for _, n, _ in line_dedup.brute_force(many, line_dedup.MIN_DOCS)] == [0] * len(many)
+
+
+def test_secrets():
+    """Other secrets give other hashes; windows and values depend on content, place and length only."""
+    data, starts, ends = spans_of(["a", "bb", "a", "bb", "a" * 3_000])
+    before = _text._SECRET
+    seen = set()
+    for secret in (b"1", b"2"):
+        use_secret(secret)
+        h = keyed_hashes(data, starts, ends)
+        w = keyed_chain(h, 2)
+        v = keyed_values(h, np.array([0, 2, 0]), np.array([2, 4, 1]))
+        assert h[0] == h[2] and h[1] == h[3] and w[0] == w[2] and w[0] != w[1] and v[0] == v[1] and len({*h.tolist(), *w.tolist(), *v.tolist()}) == 7  # a window is hashed like the same values
+        seen |= {*h.tolist(), *w.tolist()}
+    assert len(seen) == 12
+    _text._SECRET = before
 
 
 def test_equal_hashes_do_not_mix_pieces(monkeypatch):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import secrets
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.llm._text import use_secret
 from webloom.scratch import checkpoint_base
 from webloom.session import ship
 
@@ -89,14 +91,30 @@ def fresh(df: DataFrame, name: str) -> str:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "8388608")}
 
 
+_SECRETS: dict[str, bytes] = {}
+
+
+def own_secret(spark: SparkSession) -> bytes:
+    """This application's secret for keyed hashes, drawn once and used on the driver from now on."""
+    secret = _SECRETS.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+    use_secret(secret)
+    return secret
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with this package on the workers and batches of bounded size (a single longer text is its own batch)."""
+    """mapInArrow with this package and this application's secret on the workers, and batches of bounded size (a single longer text is its own batch)."""
     spark = df.sparkSession
     ship(spark)
     for name, (default, ours) in BATCH.items():
         if spark.conf.get(name, default).removesuffix("b") in (default, "64m"):
             spark.conf.set(name, ours)
-    return df.mapInArrow(fn, schema)
+    secret = own_secret(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_secret(secret)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
+_LOW = U64(0xFFFFFFFF)
 #: Masks that leave the first 0 to 8 bytes of a little-endian word.
 _FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 #: Spans of more than so many steps of 8 bytes are taken one by one.
@@ -67,20 +68,19 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def _long_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, out: np.ndarray) -> np.ndarray:
+def _long_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, out: np.ndarray, key: bytes = b"") -> np.ndarray:
     """Which spans are short; the others get BLAKE2b hashes of their content."""
     size = ends - starts
     most = LONG_SPAN * 8 // values.itemsize
     for i in np.flatnonzero(size > most):
-        out[i] = int.from_bytes(hashlib.blake2b(values[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(values[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "little")
     return np.flatnonzero((size > 0) & (size <= most))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit content hashes of byte spans.
+    """64-bit content hashes of byte spans, the same in every run; spans of equal length up to 8 never collide.
 
-    Each step takes the next 8 bytes of all spans that have some left through the mixer, which is not
-    linear, so no family of texts collides by structure; spans of equal length up to 8 never collide.
+    Collisions can be built on purpose. Use them where contents are compared after, or where buckets collide anyhow; else keyed_hashes.
     """
     out = mix((ends - starts).astype(U64) * U64(_BASE))
     padded = np.zeros(len(data) + 8, np.uint8)
@@ -114,20 +114,85 @@ def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np
     return out
 
 
-def value_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """span_hashes for spans of 64-bit values."""
-    out = mix((ends - starts).astype(U64) * U64(_BASE) + U64(1))
-    live = _long_hashes(values, starts, ends, out)
-    at, end = starts[live], ends[live]
+class _Secret:
+    """Multipliers of two lanes, drawn from a secret: one for the length, then one for each 32-bit word of a span."""
+
+    def __init__(self, secret: bytes):
+        words = 1 + 2 * LONG_SPAN
+        self.key = hashlib.blake2b(secret, digest_size=32).digest()
+        self.lanes = np.frombuffer(hashlib.shake_256(secret).digest(2 * 8 * words), np.uint64).reshape(2, words)
+
+
+_SECRET = _Secret(b"outside an application")
+
+
+def use_secret(secret: bytes) -> None:
+    """From now on keyed_hashes, keyed_values and keyed_chain of this process are those of the secret."""
+    global _SECRET
+    _SECRET = _Secret(secret)
+
+
+def _finish(lanes: list[np.ndarray]) -> np.ndarray:
+    return mix((lanes[0] & ~_LOW) | (lanes[1] >> U64(32)))
+
+
+def _add(lanes: list[np.ndarray], live: np.ndarray, words: np.ndarray, at: int) -> None:
+    """Multilinear hashing of 64-bit words as two 32-bit words each."""
+    low, high = words & _LOW, words >> U64(32)
+    for lane, k in zip(lanes, _SECRET.lanes, strict=True):
+        lane[live] += low * k[at] + high * k[at + 1]
+
+
+def keyed_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans under this application's secret.
+
+    Two lanes of multilinear hashing over length and 32-bit words, upper halves taken: two different spans collide with probability 2^-64 over the
+    secret, whatever the texts, so none can be built to collide. Spans above LONG_SPAN * 8 bytes: keyed BLAKE2b.
+    """
+    size = (ends - starts).astype(U64)
+    lanes = [size * k[0] for k in _SECRET.lanes]
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    words = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    long = np.zeros(len(starts), U64)
+    live = _long_hashes(data, starts, ends, long, _SECRET.key)
+    at, left, k = starts[live], ends[live] - starts[live], 1
+    while len(live):
+        _add(lanes, live, words[at] & _FIRST[np.minimum(left, 8)], k)
+        more = left > 8
+        live, at, left, k = live[more], at[more] + 8, left[more] - 8, k + 2
+    return np.where(size > U64(LONG_SPAN * 8), long, _finish(lanes))
+
+
+def keyed_values(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """keyed_hashes for spans of 64-bit values."""
+    size = (ends - starts).astype(U64)
+    lanes = [size * k[0] for k in _SECRET.lanes]
+    long = np.zeros(len(starts), U64)
+    live = _long_hashes(values, starts, ends, long, _SECRET.key)
+    at, end, k = starts[live], ends[live], 1
     while len(live):
-        out[live] = mix(out[live] ^ values[at]) + U64(_BASE)
+        _add(lanes, live, values[at], k)
         more = end - at > 1
-        live, at, end = live[more], at[more] + 1, end[more]
-    return out
+        live, at, end, k = live[more], at[more] + 1, end[more], k + 2
+    return np.where(size > U64(LONG_SPAN), long, _finish(lanes))
+
+
+def keyed_chain(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Keyed hash of each window of k consecutive entries (len - k + 1 of them), k up to LONG_SPAN."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    lanes = [np.full(n, k, U64) * key[0] for key in _SECRET.lanes]
+    low, high = hashes & _LOW, hashes >> U64(32)
+    for lane, key in zip(lanes, _SECRET.lanes, strict=True):
+        for j in range(k):
+            lane += low[j : n + j] * key[1 + 2 * j] + high[j : n + j] * key[2 + 2 * j]
+    return _finish(lanes)
 
 
 def chain(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each window of k consecutive entries (len - k + 1 of them)."""
+    """Hash of each window of k consecutive entries (len - k + 1 of them), the same in every run."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
@@ -137,27 +202,27 @@ def chain(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def window_hashes(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(hashes: np.ndarray, first: np.ndarray, k: int, hashed: Callable[[np.ndarray, int], np.ndarray] = keyed_chain) -> tuple[np.ndarray, np.ndarray]:
     """(window hash, text index) of the k-word windows that lie in one text."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     inside = text[:n] == text[k - 1 :]
-    return chain(hashes, k)[inside], text[:n][inside]
+    return hashed(hashes, k)[inside], text[:n][inside]
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct k-word shingles of each text as hashes: (text index, hash), sorted by both. Fewer than k words: one shingle of them all."""
+    """Distinct k-word shingles of each text as keyed hashes: (text index, hash), sorted by both. Fewer than k words: one shingle of them all."""
     if lower:
         data = LOWER[data]
     starts, ends, first = word_spans(data, offs)
-    h = span_hashes(data, starts, ends)
+    h = keyed_hashes(data, starts, ends)
     sh, text = window_hashes(h, first, k)
     counts = np.diff(first)
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
-        extra = np.concatenate([chain(h[first[i] : first[i + 1]], int(counts[i])) for i in short])
+        extra = np.concatenate([keyed_chain(h[first[i] : first[i + 1]], int(counts[i])) for i in short])
         sh, text = np.concatenate([sh, extra]), np.concatenate([text, short])
     order = np.lexsort((sh, text))
     sh, text = sh[order], text[order]

@@ -36,12 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm._common import attach, fresh, keyed_filter, map_arrow, save
-from webloom.llm._text import U64, column, mix, slices, span_hashes, value_hashes, word_spans
+from webloom.llm._text import U64, column, mix, slices, keyed_hashes, keyed_values, word_spans
 
 DEPTH, MIN_DOCS, SOLID = 2, 10, 70
 FIELD = "<*>"
-#: The token hash of a variable field.
-FIELD_HASH = span_hashes(np.frombuffer(FIELD.encode(), np.uint8), np.array([0]), np.array([len(FIELD)]))[0]
 _DIGIT = np.isin(np.arange(256), np.arange(48, 58))
 
 
@@ -55,12 +53,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("doc"), text.alias("text"))
 
 
+def field_hash() -> np.uint64:
+    """The token hash of a variable field in this application."""
+    return keyed_hashes(np.frombuffer(FIELD.encode(), np.uint8), np.array([0]), np.array([len(FIELD)]))[0]
+
+
 def lines_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of each line with a word: text index, place among the text's lines, first and end word, mask, leaf; and all masked token hashes."""
     starts, ends, _ = word_spans(data, offs)
-    tokens = span_hashes(data, starts, ends)
+    tokens = keyed_hashes(data, starts, ends)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    tokens[digits[ends] > digits[starts]] = FIELD_HASH
+    tokens[digits[ends] > digits[starts]] = field_hash()
     breaks = np.flatnonzero(data == 0x0A)
     begin = np.unique(np.concatenate([offs[:-1], breaks + 1]))
     begin = begin[begin < len(data)]
@@ -70,7 +73,7 @@ def lines_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     begin, first, size = begin[used], first[used], size[used]
     text = np.searchsorted(offs, begin, "right") - 1
     place = np.searchsorted(breaks, begin) - np.searchsorted(breaks, offs[text])
-    mask = value_hashes(mix(tokens), first, first + size) if len(used) else np.zeros(0, U64)
+    mask = keyed_values(mix(tokens), first, first + size) if len(used) else np.zeros(0, U64)
     leaf = mix(size.astype(U64))
     for d in range(DEPTH):
         there = np.where(size > d, tokens[np.minimum(first + d, max(len(tokens) - 1, 0))], U64(0)) if len(used) else np.zeros(0, U64)
@@ -120,7 +123,7 @@ def recurring_masks(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "do
         return first
     lines = map_arrow(rows, _lines_task(True), "doc long, mask long, leaf long, tokens array<long>")
     held = save(keyed_filter(keyed_filter(lines, busy.select("leaf"), "leaf", "left_semi"), first, "mask", "left_anti").dropDuplicates(["doc", "mask"]), "busy-lines")
-    field = F.lit(int(FIELD_HASH.view(np.int64)))
+    field = F.lit(int(field_hash().view(np.int64)))
     place = F.xxhash64("leaf", "pos", "token").alias("place")
     at = lambda rows: rows.select("mask", "leaf", F.posexplode("tokens").alias("pos", "token")).filter(F.col("token") != field)
     counts = save(at(held).groupBy(place).agg(F.count(F.lit(1)).alias("k")), "places")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm._common import fresh, keyed_filter, map_arrow, save
-from webloom.llm._text import column, slices, span_hashes, window_hashes, word_spans
+from webloom.llm._text import column, slices, keyed_hashes, window_hashes, word_spans
 
 SAMPLE, PIECE, STEPS, SHARE = 4_000, 64, 120, 0.5
 CONTENT, BOILERPLATE = 0, 1
@@ -74,7 +74,7 @@ def lines_of(data: np.ndarray, offs: np.ndarray) -> tuple[Lines, np.ndarray, np.
     """(lines, base counts per text as columns, index of the first line of each text)."""
     n = len(offs) - 1
     starts, ends, first = word_spans(data, offs)
-    h = span_hashes(data, starts, ends)
+    h = keyed_hashes(data, starts, ends)
     text = np.repeat(np.arange(n), np.diff(first))
     # Lines: pieces between \n and text bounds.
     breaks = np.flatnonzero(data == 0x0A)
@@ -87,7 +87,7 @@ def lines_of(data: np.ndarray, offs: np.ndarray) -> tuple[Lines, np.ndarray, np.
     words = np.bincount(word_line, minlength=len(line_start))
     used = np.flatnonzero(words)
     s, e, line_text, words = line_start[used], line_end[used], line_text[used], words[used]
-    line_hash = span_hashes(data, s, e)
+    line_hash = keyed_hashes(data, s, e)
     order = np.lexsort((np.arange(len(used)), line_hash, line_text))
     again = np.zeros(len(used), bool)
     again[order[1:]] = (line_hash[order[1:]] == line_hash[order[:-1]]) & (line_text[order[1:]] == line_text[order[:-1]])
