@@ -19,6 +19,7 @@ from webloom.functions.text import strip_html_to_text, utf16_length
 from webloom.functions.urls import matches_pattern, normalize_url, origin_of, passes_domain_filter, safe_host, sitemap_slug, to_relative_path, url_hash
 from webloom.operators import frontier as fr
 from webloom.operators.links import inlink_counts, link_counts, links_table, with_links
+from webloom.operators.politeness import fetch_schedule
 from webloom.operators.robots import allowed_by_join, is_url_allowed, parse_robots, parse_robots_table
 from webloom.operators.sitemaps import common_sitemaps, discover_sitemaps, parse_sitemap_table, sitemap_levels, urls_of
 from webloom.plans.crawl import bfs_levels, crawl_batch, followable, start
@@ -344,6 +345,17 @@ def robots_allowed_array(spark, sf_dir):
     return pages.join(rules, "host", "left").select("page_id", is_url_allowed(F.col("url"), F.col("r.rules")).alias("allowed"))
 
 
+# Fetch times: one queue for each top-level label, so queues are long; delays by the label's length, the default for two letters.
+@query(f"""WITH p AS (SELECT list_last(string_split({HOST}, '.')) AS host, {NORM} AS url, page_id * 7919 % 100003 AS requested_at FROM pages),
+d AS (SELECT *, CASE length(host) % 3 WHEN 0 THEN 90 WHEN 1 THEN 1500 ELSE 250 END AS delay, row_number() OVER (PARTITION BY host ORDER BY requested_at, url) - 1 AS seq FROM p)
+SELECT host, url, requested_at, seq, delay * seq + max(requested_at - delay * seq) OVER (PARTITION BY host ORDER BY seq) AS fetch_at FROM d""")
+def polite_schedule(spark, sf_dir):
+    top = F.element_at(F.split(safe_host(F.col("url")), r"\."), -1)
+    requests = pages_of(spark, sf_dir).select(normalize_url(F.col("url")).alias("url"), (F.col("page_id") * 7919 % 100003).alias("requested_at")).withColumn("host", top)
+    known = F.when(F.length("host") % 3 == 0, 90).when(F.length("host") % 3 == 1, 1500)
+    return fetch_schedule(requests, requests.select("host").distinct().withColumn("delay_ms", known), 250)
+
+
 # Sitemaps: each host's pages as a urlset; an index of the hosts of each top-level label; a urlset that lists sitemap files.
 def sitemap_files(spark, sf_dir) -> DataFrame:
     pages = pages_of(spark, sf_dir).select("page_id", "url", safe_host(normalize_url(F.col("url"))).alias("host"))

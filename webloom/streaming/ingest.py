@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from webloom.functions.metadata import head_of, title_of
 from webloom.functions.text import strip_html_to_text, utf16_length
 from webloom.functions.urls import normalize_url, safe_host
+from webloom.streaming.keyed import first_seen, state_store
 
 PAGES = "page_id long, url string, html string"
 
@@ -22,22 +23,20 @@ def report_columns(pages: DataFrame) -> DataFrame:
     return pages.select(normalize_url(F.col("url")).alias("url"), title_of(head_of(F.col("html"))).alias("title"), utf16_length(text).alias("text_length")).filter("url <> ''")
 
 
-def crawl_stream(pages: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Append each URL's report to out once: a batch is deduplicated and anti-joined with what out holds.
+def crawl_stream(pages: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, seen: DataFrame | None = None, revisit_ms: int | None = None) -> StreamingQuery:
+    """Append each URL's report to out once: in the batch that brings it, its row of least text_length, then title.
 
-    A batch that is repeated after a failure writes to the folder of its batch id again, so results stay exactly once.
+    URLs seen are keyed state, so a batch costs what its own URLs cost, however many came before. seen: a table (url) of URLs reported elsewhere;
+    it counts when the query first starts. revisit_ms: a URL may be reported again after so long. A batch that is repeated after
+    a failure writes to the folder of its batch id again, so results stay exactly once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = report_columns(batch).groupBy("url").agg(F.min_by(F.struct("title", "text_length"), F.struct("text_length", "title")).alias("r")).select("url", "r.*")
-        path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            seen = spark.read.schema("url string, title string, text_length long, batch long").parquet(out).filter(F.col("batch") != batch_id)
-            rows = rows.join(seen.select("url").distinct(), "url", "left_anti")
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    rows = first_seen(report_columns(pages), "url", ["text_length", "title"], seen, revisit_ms)
+    with state_store(pages.sparkSession):
+        return rows.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def host_rates(fetches: DataFrame, window: str = "1 minute", late: str = "5 minutes") -> DataFrame:
