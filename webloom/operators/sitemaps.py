@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.text import match_or_null, trim_ws
-from webloom.operators.robots import parse_robots_one
+from webloom.operators.robots import parse_robots, parse_robots_one
 from webloom.scratch import cut
+from webloom.session import ship
 
 #: Where sitemaps are looked for, in this order, when robots.txt names none.
 COMMON_LOCATIONS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap-0.xml", "/sitemap1.xml", "/sitemap.php", "/sitemap.txt")
@@ -130,6 +131,75 @@ def discover_sitemaps(spark: SparkSession, domain: str, store: DataFrame, robots
     return Discovery(host, sitemaps, urls.join(order, "source"), sum(n for *_, t, n in out if t == "urlset"), has_more)
 
 
+@dataclass
+class ManyDiscovery:
+    sitemaps: DataFrame  # domain, ord, url, type, url_count
+    urls: DataFrame  # domain, ord, pos, url, lastmod, priority, source
+    summary: DataFrame  # domain, host, n_sitemaps, total_urls, has_more: one row a domain
+
+
+def with_origin(domains: DataFrame) -> DataFrame:
+    """domains (domain) with host and origin, as origin_and_host gives them."""
+    url = F.when(F.col("domain").contains("://"), F.col("domain")).otherwise(F.concat(F.lit("https://"), "domain"))
+    authority = F.lower(F.regexp_extract(url, r"(?s)://([^/?#]*)", 1))
+    host = F.substring_index(F.substring_index(authority, "@", -1), ":", 1)
+    return domains.select("domain", host.alias("host"), F.concat(F.substring_index(url, "://", 1), F.lit("://"), authority).alias("origin"))
+
+
+def discover_many(domains: DataFrame, store: DataFrame, robots: DataFrame | None = None, max_sitemaps: int = 50, max_depth: int = 3) -> ManyDiscovery:
+    """discover_sitemaps for a table of domains (domain), from sitemaps (url, content) and robots.txt files (host, content), without a driver loop over any.
+
+    A sitemap's place in depth-first order is its path: its number among the seeds, then among the children of each parent. A level
+    joins all domains' candidates with the parsed sitemaps, and of all that is known of a domain only the first max_sitemaps by path stay: what
+    comes after so many that exist can't be among them, however deep. So a level holds at most max_sitemaps rows a domain, and
+    paths end cycles at max_depth. has_more tells, as there, that the cap left some listed sitemap out (whether it exists or not) or max_depth some child.
+
+    Repeated domains count once, null ones not at all; a sitemap that the store has twice counts once.
+    """
+    ship(store.sparkSession)
+    asked = cut(with_origin(domains.filter("domain IS NOT NULL").distinct()))
+    filled = store.filter("content <> ''")
+    parsed = cut(parse_sitemap_table(filled).drop("entries").dropDuplicates(["url"]))
+    seeds = None
+    if robots is not None:
+        named = robots.join(asked.select("host").distinct(), "host", "left_semi").dropDuplicates(["host"]).select("host", parse_robots(F.col("content"))["sitemaps"].alias("maps"))
+        seeds = asked.join(named, "host").select("domain", F.posexplode("maps").alias("pos", "url"))
+    rest = asked if seeds is None else asked.join(seeds, "domain", "left_anti")
+    common = common_sitemaps(rest.select(F.col("origin").alias("host"), "origin").distinct(), store).select(F.col("host").alias("origin"), "url")
+    first = rest.join(common, "origin").select("domain", F.lit(0).alias("pos"), "url")
+    first = cut(first if seeds is None else seeds.unionByName(first))
+    known, refs = None, first.select("domain", F.array("pos").alias("path"), "url")
+    in_order = Window.partitionBy("domain").orderBy("path")
+    for depth in range(max_depth + 1):
+        here = refs.join(parsed, "url").select("domain", "path", "url", "type", "url_count", "child_sitemaps")
+        every = here if known is None else known.unionByName(here)
+        known = cut(every.withColumn("ord", (F.row_number().over(in_order) - 1).cast("long")).filter(F.col("ord") < max_sitemaps).drop("ord"))
+        last = known.filter(F.size("path") == depth + 1)
+        refs = last.select("domain", "path", F.posexplode("child_sitemaps").alias("pos", "url")).select("domain", F.concat("path", F.array("pos")).alias("path"), "url")
+    known = cut(known.withColumn("ord", (F.row_number().over(in_order) - 1).cast("long")))
+    kids = F.size("child_sitemaps")
+    # The last place listed below each sitemap, and among the seeds.
+    ends = known.filter((kids > 0) & (F.size("path") <= max_depth)).select("domain", F.concat("path", F.array(kids - 1)).alias("end"))
+    ends = ends.unionByName(first.groupBy("domain").agg(F.array(F.max("pos")).alias("end"))).groupBy("domain").agg(F.max("end").alias("end"))
+    total = known.groupBy("domain").agg(
+        F.count(F.lit(1)).alias("n_sitemaps"),
+        F.sum(F.when(F.col("type") == "urlset", F.col("url_count")).otherwise(0)).alias("total_urls"),
+        F.max("path").alias("last"),
+        F.max((kids > 0) & (F.size("path") > max_depth)).alias("deeper"),
+    )
+    summary = asked.join(total, "domain", "left").join(ends, "domain", "left").select(
+        "domain",
+        "host",
+        F.coalesce("n_sitemaps", F.lit(0)).alias("n_sitemaps"),
+        F.coalesce("total_urls", F.lit(0)).alias("total_urls"),
+        F.coalesce(F.col("deeper") | (F.col("n_sitemaps") >= max_sitemaps) & (F.col("end") > F.col("last")), F.lit(max_sitemaps < 1) & F.col("end").isNotNull()).alias("has_more"),
+    )
+    places = known.filter("type = 'urlset'").select("domain", "ord", F.col("url").alias("source"))
+    entries = urls_of(parse_sitemap_table(filled.join(places.select(F.col("source").alias("url")).distinct(), "url", "left_semi").dropDuplicates(["url"])))
+    urls = places.join(entries, "source").select("domain", "ord", "pos", "url", "lastmod", "priority", "source")
+    return ManyDiscovery(known.select("domain", "ord", "url", "type", "url_count"), urls, summary)
+
+
 def sitemap_levels(seeds: DataFrame, store: DataFrame, max_depth: int = 3) -> DataFrame:
     """(host, url, depth, type, url_count) for any number of hosts: sitemaps are parsed once, each level is one join, cut by a checkpoint; each sitemap once per host at its least depth."""
     parsed = cut(parse_sitemap_table(store.filter("content <> ''")).drop("entries"))  # parsed once, not once a level

@@ -21,8 +21,9 @@ from webloom.operators import frontier as fr
 from webloom.operators.links import inlink_counts, link_counts, links_table, with_links
 from webloom.operators.politeness import fetch_schedule
 from webloom.operators.robots import allowed_by_join, is_url_allowed, parse_robots, parse_robots_table
-from webloom.operators.sitemaps import common_sitemaps, discover_sitemaps, parse_sitemap_table, sitemap_levels, urls_of
+from webloom.operators.sitemaps import common_sitemaps, discover_many, discover_sitemaps, parse_sitemap_table, sitemap_levels, urls_of
 from webloom.plans.crawl import bfs_levels, crawl_batch, followable, start
+from webloom.plans.many import crawl_many
 from webloom.plans.report import page_report as report_of
 from webloom.plans.report import page_rows, sitemap_pages
 from webloom.session import ship
@@ -412,6 +413,28 @@ def sitemap_discover_one(spark, sf_dir):
     return discover_sitemaps(spark, top, store).urls.select("ord", "url", "lastmod", "priority", "source", "pos")
 
 
+# Discovery of all top-level labels at once: each one's index and the first children in order, 12 sitemaps in all.
+EACH_TOP = ENTRIES + """, a AS (SELECT top, 0 AS ord, 'https://' || top || '/sitemap.xml' AS source, 'index' AS type, n FROM t UNION ALL
+  SELECT list_last(string_split(host, '.')), row_number() OVER (PARTITION BY list_last(string_split(host, '.')) ORDER BY url), url, 'urlset', n FROM s),
+k AS (SELECT * FROM a WHERE ord < 12)
+"""
+
+
+def every_top(spark, sf_dir):
+    store = sitemap_files(spark, sf_dir)
+    return discover_many(store.select(F.element_at(F.split("host", r"\."), -1).alias("domain")).distinct(), store, max_sitemaps=12)
+
+
+@query(EACH_TOP + "SELECT k.top AS domain, k.ord, e.pos, e.url, e.lastmod, e.priority, e.source FROM k JOIN e USING (source)")
+def sitemap_discover_many(spark, sf_dir):
+    return every_top(spark, sf_dir).urls
+
+
+@query(EACH_TOP + "SELECT top AS domain, top AS host, count(*) AS n_sitemaps, CAST(coalesce(sum(n) FILTER (type = 'urlset'), 0) AS BIGINT) AS total_urls, (SELECT count(*) FROM a WHERE a.top = k.top) > 12 AS has_more FROM k GROUP BY top")
+def sitemap_discover_totals(spark, sf_dir):
+    return every_top(spark, sf_dir).summary
+
+
 @query(DISCOVERED + f"""SELECT 0 :: BIGINT AS seq, 'https://' || min(top) || '/' AS url, 0 :: BIGINT AS depth FROM t UNION ALL
 SELECT * FROM (SELECT row_number() OVER (ORDER BY ord, pos) AS seq, {NORM} AS url, 0 :: BIGINT FROM d WHERE ord < 50 ORDER BY seq LIMIT 199)""")
 def crawl_start(spark, sf_dir):
@@ -556,6 +579,50 @@ def crawl_resumed(spark, sf_dir):
     return crawled(functools.reduce(DataFrame.unionByName, out))
 
 
+# Crawls of many sites at once: 40 pages a site, page k links to 3k+1 to 3k+3, to k+1 and back; /de/ is disallowed, /es/ not followed, some pages are missing. The SQL
+# takes one page after the other from each site's queue of at most 6.
+def forty_page_sites(spark, sf_dir) -> tuple[DataFrame, PageStore]:
+    pages = pages_of(spark, sf_dir).select("page_id", normalize_url(F.col("url")).alias("title"), F.floor(F.col("page_id") / 40).alias("site"), (F.col("page_id") % 40).alias("k"))
+    url = lambda k: F.concat(F.lit("https://s"), F.col("site"), F.lit(".example/"), F.when(k % 7 == 3, "de/").when(k % 9 == 5, "es/").otherwise("en/"), k)
+    pages = pages.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("site")))
+    k = F.col("k")
+    to = [k * 3 + 1, k * 3 + 2, k * 3 + 3, k + 1, F.when(k > 0, F.floor((k - 1) / 3))]
+    links = F.concat(*(F.coalesce(F.when(t < F.col("n"), F.concat(F.lit('<a href="'), url(t), F.lit('">go</a> '))), F.lit("")) for t in to))
+    html = F.concat(F.lit("<html><head><title>"), "title", F.lit("</title></head><body>"), links, F.lit("</body></html>"))
+    robots = pages.filter("k = 0").select(F.concat(F.lit("s"), "site", F.lit(".example")).alias("host"), F.lit("User-agent: *\nDisallow: /de/\nCrawl-delay: 1").alias("content"))
+    return pages.filter("k = 0").select(url(k).alias("url")), PageStore(pages.filter("k % 10 <> 8").select(url(k).alias("url"), html.alias("html")), robots)
+
+
+MANY = f"""WITH RECURSIVE s AS (SELECT page_id // 40 AS site, count(*) AS n FROM pages GROUP BY 1),
+q(site, n, ord, k, depth, queue, seen) AS (
+  SELECT site, n, 0 :: BIGINT, 0 :: BIGINT, 0 :: BIGINT, [] :: STRUCT(k BIGINT, d BIGINT)[], [0 :: BIGINT] FROM s UNION ALL
+  SELECT site, n, ord + 1, rest[1].k, rest[1].d, rest[2:], seen || kids FROM (
+    SELECT *, queue || list_transform(kids[:greatest(0, 6 - len(queue))], lambda x: {{'k': x, 'd': depth + 1}}) AS rest FROM (
+      SELECT *, CASE WHEN k % 7 = 3 OR k % 10 = 8 THEN [] ELSE list_filter([3 * k + 1, 3 * k + 2, 3 * k + 3] || CASE WHEN k = 0 THEN [] ELSE [k + 1] END, lambda x: x < n AND x % 9 <> 5 AND NOT list_contains(seen, x)) END AS kids FROM q))
+  WHERE len(rest) > 0 AND ord + 1 < 12),
+u AS (SELECT *, 'https://s' || site || '.example/' AS root, CASE WHEN k % 7 = 3 THEN 'de/' WHEN k % 9 = 5 THEN 'es/' ELSE 'en/' END || k AS path,
+  CASE WHEN k % 7 = 3 THEN 'disallowed' WHEN k % 10 = 8 THEN 'error' ELSE 'completed' END AS status FROM q)
+"""
+
+
+@query(MANY + f"""SELECT root || 'en/0' AS seed, ord, root || path AS url, status, depth, CASE WHEN status = 'completed' THEN t.title END AS title, ord * 1000.0 :: DOUBLE AS not_before,
+CASE WHEN status = 'completed' THEN len(list_distinct(list_filter([3 * k + 1, 3 * k + 2, 3 * k + 3, k + 1] || CASE WHEN k = 0 THEN [] ELSE [(k - 1) // 3] END, lambda x: x < n))) ELSE 0 END AS n_links,
+CASE WHEN status = 'error' THEN 'page not in store' END AS error FROM u JOIN (SELECT page_id, {NORM} AS title FROM pages) t ON t.page_id = site * 40 + k""")
+def crawl_many_sites(spark, sf_dir):
+    seeds, store = forty_page_sites(spark, sf_dir)
+    pages = crawl_many(store, seeds, source="links", max_pages=12, frontier_capacity=6, concurrency=1, extract_metadata=True, exclude_patterns=("**/es/**",)).pages
+    return pages.select("seed", "ord", "url", "status", "depth", F.col("metadata.title").alias("title"), "not_before", F.size("links").alias("n_links"), "error")
+
+
+@query(MANY + """, last AS (SELECT root || 'en/0' AS seed, ord + 1 AS pages_crawled, len(queue) + CASE WHEN status <> 'completed' THEN 0 ELSE least(greatest(0, 6 - len(queue)),
+  len(list_filter([3 * k + 1, 3 * k + 2, 3 * k + 3] || CASE WHEN k = 0 THEN [] ELSE [k + 1] END, lambda x: x < n AND x % 9 <> 5 AND NOT list_contains(seen, x)))) END AS pages_remaining
+  FROM u QUALIFY ord = max(ord) OVER (PARTITION BY site))
+SELECT *, CASE WHEN pages_remaining > 0 THEN 'limit' ELSE 'complete' END AS stop_reason FROM last""")
+def crawl_many_stats(spark, sf_dir):
+    seeds, store = forty_page_sites(spark, sf_dir)
+    return crawl_many(store, seeds, source="links", max_pages=12, frontier_capacity=6, concurrency=1, exclude_patterns=("**/es/**",)).stats
+
+
 @query(MARKED + "SELECT page_id, url FROM links WHERE type = 'internal' AND (regexp_extract(url, '^https?://([^/?#:]*)', 1) = 'example.com' OR ends_with(regexp_extract(url, '^https?://([^/?#:]*)', 1), '.example.com')) AND url NOT LIKE '%/es/%'")
 def crawl_followable(spark, sf_dir):
     links = links_table(marked(spark, sf_dir).withColumnRenamed("url", "page_url"), "markdown", "page_url", ["page_id"])
