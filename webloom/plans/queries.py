@@ -24,6 +24,7 @@ from webloom.operators.robots import allowed_by_join, is_url_allowed, parse_robo
 from webloom.operators.sitemaps import common_sitemaps, discover_many, discover_sitemaps, parse_sitemap_table, sitemap_levels, urls_of
 from webloom.plans.crawl import bfs_levels, crawl_batch, followable, start
 from webloom.plans.many import crawl_many
+from webloom.plans.recursive import sitemap_tree, walk
 from webloom.plans.report import page_report as report_of
 from webloom.plans.report import page_rows, sitemap_pages
 from webloom.session import ship
@@ -451,11 +452,24 @@ def sitemap_common(spark, sf_dir):
     return common_sitemaps(hosts, store)
 
 
-@query(SITEMAPS + "SELECT top AS host, 'https://' || top || '/sitemap.xml' AS url, 0 :: BIGINT AS depth, 'index' AS type, n AS url_count FROM t UNION ALL SELECT list_last(string_split(host, '.')), url, 1, 'urlset', n FROM s")
+TREE = SITEMAPS + "SELECT top AS host, 'https://' || top || '/sitemap.xml' AS url, 0 :: BIGINT AS depth, 'index' AS type, n AS url_count FROM t UNION ALL SELECT list_last(string_split(host, '.')), url, 1, 'urlset', n FROM s"
+
+
+def tops(store: DataFrame) -> DataFrame:
+    top = F.element_at(F.split("host", r"\."), -1)
+    return common_sitemaps(store.select(top.alias("host"), F.concat(F.lit("https://"), top).alias("origin")).distinct(), store)
+
+
+@query(TREE)
 def sitemap_discover(spark, sf_dir):
     store = sitemap_files(spark, sf_dir)
-    seeds = common_sitemaps(store.select(F.element_at(F.split("host", r"\."), -1).alias("host"), F.concat(F.lit("https://"), F.element_at(F.split("host", r"\."), -1)).alias("origin")).distinct(), store)
-    return sitemap_levels(seeds, store)
+    return sitemap_levels(tops(store), store)
+
+
+@query(TREE)
+def sitemap_discover_recursive(spark, sf_dir):
+    store = sitemap_files(spark, sf_dir)
+    return sitemap_tree(tops(store), store)
 
 
 # Frontier: pages in order of page_id.
@@ -503,15 +517,24 @@ def graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return seeds, edges
 
 
-@query(f"""WITH RECURSIVE p AS (SELECT page_id, {NORM} AS url, {HOST} AS host FROM pages),
+BFS = f"""WITH RECURSIVE p AS (SELECT page_id, {NORM} AS url, {HOST} AS host FROM pages),
 e AS (SELECT url AS src, unnest([lead(url, 1) OVER w, CASE WHEN page_id % 3 >= 1 THEN lead(url, 2) OVER w END, CASE WHEN page_id % 3 >= 2 THEN lead(url, 3) OVER w END]) AS dst FROM p WINDOW w AS (PARTITION BY host ORDER BY page_id)),
 b(url, depth) AS (SELECT arg_min(url, page_id), 0 :: BIGINT FROM p GROUP BY host UNION SELECT dst, depth + 1 FROM b JOIN e ON src = b.url WHERE dst IS NOT NULL AND depth < 6)
-SELECT url, min(depth) AS depth FROM b GROUP BY url""")
+SELECT url, min(depth) AS depth FROM b GROUP BY url"""
+
+
+@query(BFS)
 def crawl_bfs_levels(spark, sf_dir):
     seeds, edges = graph(spark, sf_dir)
     return bfs_levels(seeds, edges, max_depth=6)
 
 
+@query(BFS)
+def crawl_bfs_recursive(spark, sf_dir):
+    """The same traversal as one recursive query."""
+    return walk(*graph(spark, sf_dir), max_depth=6)
+
+
 @query()
 def crawl_bfs_whole(spark, sf_dir):
     """Every reachable page: as many levels as the longest chain of a host has, so no recursive SQL."""
