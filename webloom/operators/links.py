@@ -1,100 +1,28 @@
-"""Links and images of markdown, as native array expressions and as tables."""
+"""Links and images of markdown: one scan of a text, as columns and as tables."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.functions.text import fresh, trim_ws, utf16_length
-from webloom.functions.urls import normalize_one, normalize_url, safe_host
+from webloom.functions.text import fresh
+from webloom.functions.urls import normalize_one
+from webloom.session import ship
 
-#: The inline link syntax [text](target), and targets that are no pages.
-LINK = r"\[([^\]]*)\]\(([^)]+)\)"
+#: Targets that are no pages, and paired marks in the order in which they are taken off.
 NO_PAGE = r"^(?:javascript|mailto|tel|data):"
-#: Paired marks in the order in which they are taken off.
 MARKS = (r"\*\*", "__", r"\*", "_", "`")
 #: Links before and after these shares of the text are navigational.
 EDGE = 0.15
 
 
-def clean_anchor(text: Column) -> Column:
-    """Anchor text without paired bold, italic and code marks."""
-    for mark in MARKS:
-        text = F.regexp_replace(text, f"{mark}(.*?){mark}", "$1")
-    return trim_ws(text)
-
-
-def link_location(offset: Column, total: Column) -> Column:
-    ratio = offset / total
-    return F.when((total != 0) & ((ratio < EDGE) | (ratio > 1 - EDGE)), "navigational").otherwise("content")
-
-
-def link_type(base_host: Column, host: Column) -> Column:
-    """internal: the page's host or a subdomain of it."""
-    return F.when((host != "") & ((host == base_host) | host.endswith(F.concat(F.lit("."), base_host))), "internal").otherwise("external")
-
-
-def _found(markdown: Column) -> tuple[Column, Column]:
-    """(texts between link syntax, array of structs whole, anchor, target) of a text."""
-    groups = (F.regexp_extract_all(markdown, F.lit(LINK), F.lit(g)).alias(n) for g, n in enumerate(("whole", "anchor", "target")))
-    return F.split(markdown, LINK, -1), F.arrays_zip(*groups)
-
-
-def link_matches(pages: DataFrame, markdown: str, url: str, keys: list[str]) -> DataFrame:
-    """All link syntax in order: keys, url, pos, raw anchor and target, offset and total length in UTF-16 units, and whether a "!" stands before it.
-
-    Lengths of the texts before and of the matches are summed over the exploded rows of a page by a window, so a page
-    with very many links costs no more per link. keys must tell pages apart.
-    """
-    md = F.coalesce(F.col(markdown), F.lit(""))
-    gaps, found = _found(md)
-    rows = pages.select(*keys, F.col(url).alias("page_url"), utf16_length(md).alias("total"), gaps.alias("gaps"), found.alias("found"))
-    pieces = F.zip_with("found", F.slice("gaps", 1, F.size("found")), lambda m, g: F.struct(m["anchor"].alias("anchor"), m["target"].alias("target"), utf16_length(m["whole"]).alias("own"), utf16_length(g).alias("gap"), g.endswith("!").alias("image")))
-    rows = rows.select(*keys, "page_url", "total", F.posexplode(pieces).alias("pos", "m"))
-    before = F.sum(F.col("m.gap") + F.col("m.own")).over(Window.partitionBy(*keys).orderBy("pos")) - F.col("m.own")
-    return rows.select(*keys, "page_url", "pos", "m.anchor", "m.target", before.alias("offset"), "total", "m.image")
-
-
-def links_table(pages: DataFrame, markdown: str = "markdown", url: str = "url", keys: list[str] | None = None) -> DataFrame:
-    """One row per kept link: keys, pos (0.. in page order), url, anchor_text, type, location. First occurrence of each normalised URL.
-
-    keys must tell pages apart (default: the url column). The keep-first step groups
-    by (keys, url), so a page with many links spreads over tasks.
-    """
-    keys = keys or [url]
-    named = [f"_k{i}" for i in range(len(keys))]
-    rows = link_matches(pages.select(F.col(markdown).alias("_md"), F.col(url).alias("_url"), *(F.col(k).alias(n) for k, n in zip(keys, named, strict=True))), "_md", "_url", named)
-    target = trim_ws(F.col("target"))
-    rows = rows.filter(~F.col("image")).withColumns({"target": target, "anchor": clean_anchor(trim_ws(F.col("anchor")))})
-    rows = rows.filter((F.col("target") != "") & ~F.col("target").rlike(NO_PAGE) & (F.col("anchor") != ""))
-    rows = rows.withColumn("url", normalize_url(F.col("target"))).filter("url <> ''")
-    first = rows.groupBy(*named, "url").agg(F.min_by(F.struct("pos", "anchor", "offset", "total", "page_url"), "pos").alias("f"))
-    host, base = safe_host(F.col("url")), safe_host(normalize_url(F.col("f.page_url")))
-    return first.select(
-        *(F.col(n).alias(k) for n, k in zip(named, keys, strict=True)) if "url" not in keys else (F.col(n).alias("page_url" if k == "url" else k) for n, k in zip(named, keys, strict=True)),
-        F.col("f.pos").cast("long").alias("pos"),
-        "url",
-        F.col("f.anchor").alias("anchor_text"),
-        link_type(base, host).alias("type"),
-        link_location(F.col("f.offset"), F.col("f.total")).alias("location"),
-    )
-
-
-def extract_images(markdown: Column) -> Column:
-    """array<struct<url, alt>> of ![alt](url): blank urls dropped, first of each raw url kept."""
-    pattern = F.lit("!" + LINK)
-    md = F.coalesce(markdown, F.lit(""))
-    pairs = F.arrays_zip(F.transform(F.regexp_extract_all(md, pattern, F.lit(2)), trim_ws).alias("url"), F.transform(F.regexp_extract_all(md, pattern, F.lit(1)), trim_ws).alias("alt"))
-    urls = F.transform(pairs, lambda p: p["url"])
-    return F.filter(pairs, lambda p, i: (p["url"] != "") & (F.array_position(urls, p["url"]) == i + 1))
-
-
 _SPACE = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-_LINK, _IMAGE, _NO_PAGE = re.compile(LINK), re.compile("!" + LINK), re.compile(NO_PAGE)
+_NO_PAGE = re.compile(NO_PAGE)
 _MARKS = [re.compile(f"{mark}([^\n\r\x85\u2028\u2029]*?){mark}") for mark in MARKS]
 _HOST = re.compile(r"https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)")
 
@@ -103,19 +31,38 @@ def _units(text: str) -> int:
     return len(text) if text.isascii() else len(text) + sum(c > "\uffff" for c in text)
 
 
+def inline(text: str, opening: str = "[") -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, anchor, target) of each [anchor](target), leftmost first; opening "![" for images.
+
+    Goes from one "](" to the next and looks back to the first opening after the last "]", so
+    every character is passed a few times at most, whatever brackets stand alone.
+    """
+    at, j = 0, text.find("](")
+    while j >= 0:
+        start = text.find(opening, max(at, text.rfind("]", at, j) + 1), j)
+        if start >= 0:
+            end = text.find(")", j + 2)
+            if end < 0:
+                return
+            if end > j + 2:
+                yield start, end + 1, text[start + len(opening) : j], text[j + 2 : end]
+                at = end + 1
+        j = text.find("](", max(at, j + 1))
+
+
 def read_links(markdown: str, base: str | None) -> tuple[list[dict], list[dict]]:
-    """(links, images) of one text, in order, by the same rules as the expressions above; time grows with the text."""
+    """(links, images) of one text in page order, the first of each normalised URL, or of each raw image URL. pos: number of the link among all link syntax."""
     links: dict[str, dict] = {}
     images: dict[str, dict] = {}
     host = lambda u: m[1] if u and (m := _HOST.match(u)) else ""
     own, total, at, seen = host(normalize_one(base)), _units(markdown), 0, 0
-    for m in _LINK.finditer(markdown):
-        at += _units(markdown[seen : m.start()])
-        offset, seen = at, m.start()
-        target = m[2].strip(_SPACE)
-        if m.start() and markdown[m.start() - 1] == "!":
+    for pos, (start, _, text, raw) in enumerate(inline(markdown)):
+        at += _units(markdown[seen:start])
+        offset, seen = at, start
+        target = raw.strip(_SPACE)
+        if start and markdown[start - 1] == "!":
             continue
-        anchor = m[1].strip(_SPACE)
+        anchor = text.strip(_SPACE)
         for mark in _MARKS:
             anchor = mark.sub(r"\1", anchor)
         anchor = anchor.strip(_SPACE)
@@ -124,33 +71,52 @@ def read_links(markdown: str, base: str | None) -> tuple[list[dict], list[dict]]
         name = host(url)
         internal = name != "" and (name == own or name.endswith("." + own))
         edge = total and (offset / total < EDGE or offset / total > 1 - EDGE)
-        links[url] = {"url": url, "anchor_text": anchor, "type": "internal" if internal else "external", "location": "navigational" if edge else "content"}
-    for m in _IMAGE.finditer(markdown):  # a scan of its own: a link may begin before an image and reach into it
-        if target := m[2].strip(_SPACE):
-            images.setdefault(target, {"url": target, "alt": m[1].strip(_SPACE)})
+        links[url] = {"pos": pos, "url": url, "anchor_text": anchor, "type": "internal" if internal else "external", "location": "navigational" if edge else "content"}
+    for _, _, alt, raw in inline(markdown, "!["):  # a scan of its own: a link may begin before an image and reach into it
+        if target := raw.strip(_SPACE):
+            images.setdefault(target, {"url": target, "alt": alt.strip(_SPACE)})
     return list(links.values()), list(images.values())
 
 
-_ROWS = lambda *names: T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-_READ = T.StructType([T.StructField("links", _ROWS("url", "anchor_text", "type", "location")), T.StructField("images", _ROWS("url", "alt"))])
+_STRINGS = lambda *names: [T.StructField(n, T.StringType()) for n in names]
+LINKS = T.ArrayType(T.StructType([T.StructField("pos", T.LongType()), *_STRINGS("url", "anchor_text", "type", "location")]))
+IMAGES = T.ArrayType(T.StructType(_STRINGS("url", "alt")))
 
 
-@F.pandas_udf(_READ)
+@F.pandas_udf(T.StructType([T.StructField("links", LINKS), T.StructField("images", IMAGES)]))
 def _read(texts: pd.Series, bases: pd.Series) -> pd.DataFrame:
     rows = [(None, None) if t is None else read_links(t, b) for t, b in zip(texts, bases, strict=True)]
     return pd.DataFrame(rows, columns=["links", "images"], dtype=object)
 
 
+def _found(markdown: Column, url: Column) -> Column:
+    """Struct of links and images, null for texts without link syntax, which stay in the JVM."""
+    return _read(F.when(F.contains(markdown, F.lit("](")), markdown), url)
+
+
+def extract_images(markdown: Column) -> Column:
+    """array<struct<url, alt>> of ![alt](url): blank urls dropped, first of each raw url kept."""
+    return F.coalesce(_found(markdown, F.lit(None).cast("string"))["images"], F.array().cast(IMAGES))
+
+
 def with_links(pages: DataFrame, markdown: str = "markdown", url: str = "url", key: str | None = None) -> DataFrame:
     """pages with links (array of structs in page order) and images, which replace columns of those names.
 
-    In the row, without join or shuffle: texts with link syntax pass once through one Arrow UDF, whose time grows with the text
-    (array expressions would need a pass of all links for each link); other texts stay in the JVM. key is taken for older callers; rows need none.
+    In the row, without join or shuffle, by one Arrow UDF whose time grows with the text. key is taken for older callers; rows need none.
     """
-    md, made = F.col(f"`{markdown}`"), fresh(pages, "read")
-    rows = pages.withColumn(made, _read(F.when(F.contains(md, F.lit("](")), md), F.col(f"`{url}`")))
-    none = lambda kind: F.array().cast(_READ[kind].dataType)
-    return rows.withColumns({c: F.coalesce(F.col(f"{made}.{c}"), none(c)) for c in ("links", "images")}).drop(made)
+    ship(pages.sparkSession)
+    made = fresh(pages, "read")
+    rows = pages.withColumn(made, _found(F.col(f"`{markdown}`"), F.col(f"`{url}`")))
+    links = F.transform(F.coalesce(f"`{made}`.links", F.array().cast(LINKS)), lambda x: F.struct(*(x[c].alias(c) for c in ("url", "anchor_text", "type", "location"))))
+    return rows.withColumns({"links": links, "images": F.coalesce(f"`{made}`.images", F.array().cast(IMAGES))}).drop(made)
+
+
+def links_table(pages: DataFrame, markdown: str = "markdown", url: str = "url", keys: list[str] | None = None) -> DataFrame:
+    """One row per kept link: keys (default: the url column; url is named page_url), pos (number among the page's link syntax), url, anchor_text, type, location. First occurrence of each normalised URL, without a shuffle."""
+    ship(pages.sparkSession)
+    keys = keys or [url]
+    rows = pages.select(*(F.col(f"`{k}`").alias("page_url" if k == "url" else k) for k in keys), F.explode(_found(F.col(f"`{markdown}`"), F.col(f"`{url}`"))["links"]).alias(made := fresh(pages, "link")))
+    return rows.select("*", f"{made}.*").drop(made)
 
 
 def link_counts(links: Column) -> Column:

@@ -17,6 +17,7 @@ from webloom.functions.metadata import canonical_of, head_of, json_ld_of, langua
 from webloom.functions.render import render_html
 from webloom.functions.text import strip_html_to_text, utf16_length
 from webloom.functions.urls import matches_pattern, normalize_url, origin_of, passes_domain_filter, safe_host, sitemap_slug, to_relative_path, url_hash
+from webloom.functions.tables import register_tables
 from webloom.operators import frontier as fr
 from webloom.operators.links import inlink_counts, link_counts, links_table, with_links
 from webloom.operators.politeness import fetch_schedule
@@ -203,6 +204,13 @@ def md_links(spark, sf_dir):
     return links_table(marked(spark, sf_dir).withColumnRenamed("url", "page_url"), "markdown", "page_url", ["page_id"]).select("page_id", "pos", "url", "anchor_text", "type", "location")
 
 
+@query(MARKED + "SELECT page_id, pos, url, anchor_text, type, location FROM links")
+def md_links_lateral(spark, sf_dir):
+    """The same rows by the table function."""
+    register_tables(spark)
+    return spark.sql("SELECT page_id, l.* FROM {pages}, LATERAL links(markdown, url) l", pages=marked(spark, sf_dir))
+
+
 @query(MARKED + """SELECT page_id, count(url) AS total, count(*) FILTER (type = 'internal') AS internal, count(*) FILTER (type = 'external') AS "external", count(*) FILTER (location = 'content') AS content, count(*) FILTER (location = 'navigational') AS navigational FROM links GROUP BY page_id""")
 def md_link_counts(spark, sf_dir):
     rows = with_links(marked(spark, sf_dir), key="page_id")

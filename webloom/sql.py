@@ -9,14 +9,16 @@ from pyspark.sql import types as T
 
 from webloom.functions.metadata import canonical_json
 from webloom.functions.render import render_one
+from webloom.functions.tables import register_tables
 from webloom.functions.urls import normalize_one, url_hash_one
 from webloom.operators.robots import RULES, parse_robots_one
 from webloom.session import ship
 
 
 def register_functions(spark: SparkSession) -> None:
-    """normalize_url, render_markdown, parse_robots, url_hash and canonical_json for spark.sql()."""
+    """normalize_url, render_markdown, parse_robots, url_hash and canonical_json for spark.sql(), and the table functions links, images, robots_rules and fetch_times."""
     ship(spark)
+    register_tables(spark)
 
     @F.pandas_udf(T.StringType())
     def normalize_url(u: pd.Series) -> pd.Series:
