@@ -102,3 +102,26 @@ def test_many_crawls_of_nothing(spark):
     with pytest.raises(ValueError):
         crawl_many(store, spark.createDataFrame([], "url string"), strategy="dfs")
     assert none.pages.select(F.col("links")).columns == ["links"]
+
+
+def test_repeated_pages_and_clashing_columns(spark):
+    """Two pages with one normalised URL give one row, the least html; a caller's columns keep their names."""
+    pages = spark.createDataFrame([("http://a.com/x", "<p>b</p>"), ("http://a.com/x#t", "<p>a</p>"), ("http://a.com/y", "<p>y</p>")], "url string, html string")
+    store = PageStore(pages)
+    for _ in range(2):
+        many = crawl_many(store, spark.createDataFrame([("http://a.com/x",), ("http://a.com/y/",)], "url string"), render=False)
+        assert sorted((r.url, r.markdown) for r in many.pages.collect()) == [("http://a.com/x", "a"), ("http://a.com/y", "y")]
+        assert [r.markdown for r in crawl_batch(spark, CrawlConfig("http://a.com/x", render=False), store).pages.collect()] == ["a"]
+    urls = spark.createDataFrame([("http://a.com/y", 7, "mine", 1)], "url string, _url int, html string, at int")
+    row = store.head(urls).first()
+    assert (row["_url"], row["html"], row["at"], row["status_code"]) == (7, "<p>y</p>", 1, 200)
+
+
+def test_a_frontier_without_capacity_has_a_bound(spark, monkeypatch):
+    from webloom.operators import frontier
+
+    monkeypatch.setattr(frontier, "DRIVER_FRONTIER", 3)
+    state = frontier.Cursor(frontier.CrawlConfig("https://e.com", frontier_capacity=None), "e.com")
+    state.add([("u", 0)] * 3)
+    with pytest.raises(ValueError, match="crawl_many"):
+        state.add([("v", 0)])

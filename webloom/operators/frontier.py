@@ -16,6 +16,8 @@ from webloom.operators.robots import Robots
 
 #: Frontier capacity, JSON size from which a cursor is compressed, and the mark of compressed ones.
 MAX_FRONTIER, COMPRESS_FROM, COMPRESSED = 200, 100_000, "z:"
+#: Entries that a frontier without a capacity may hold on the driver; more are an error, never dropped.
+DRIVER_FRONTIER = 100_000
 
 
 @dataclass(frozen=True)
@@ -38,7 +40,7 @@ class CrawlConfig:
     exclude_patterns: tuple[str, ...] = ()
     page_timeout: int = 15_000  # ms
     strip: tuple[str, ...] = ("css",)
-    frontier_capacity: int | None = MAX_FRONTIER  # None: no bound, so nothing found is dropped
+    frontier_capacity: int | None = MAX_FRONTIER  # None: nothing found is dropped; crawl_batch holds up to DRIVER_FRONTIER
 
     def __post_init__(self) -> None:
         if not self.url:
@@ -97,7 +99,9 @@ class Cursor:
         self.visited.setdefault(url_hash_one(url))
 
     def add(self, entries: list[tuple[str, int]]) -> None:
-        """Append what fits; the rest is dropped silently."""
+        """Append what fits; the rest is dropped silently. Without a capacity all is kept, up to DRIVER_FRONTIER."""
+        if self.capacity is None and len(self.frontier) + len(entries) > DRIVER_FRONTIER:
+            raise ValueError(f"a frontier of more than {DRIVER_FRONTIER} URLs doesn't belong on the driver: crawl_many keeps it on the executors")
         room = len(entries) if self.capacity is None else max(0, self.capacity - len(self.frontier))
         self.frontier += entries[:room]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import time
 from collections.abc import Callable
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions.urls import matches_pattern, normalize_one, normalize_url, parse_url, passes_domain_filter
-from webloom.operators.frontier import CrawlConfig, Cursor, decode_cursor, encode_cursor
+from webloom.operators.frontier import DRIVER_FRONTIER, CrawlConfig, Cursor, decode_cursor, encode_cursor
 from webloom.operators.robots import is_url_allowed, parse_robots_one
 from webloom.operators.sitemaps import discover_sitemaps
 from webloom.plans.report import page_rows
@@ -64,7 +65,7 @@ def gate(pages: DataFrame, config: CrawlConfig, rules: list[tuple[str, bool]]) -
 def crawl_pages(store: PageStore, urls: DataFrame, config: CrawlConfig, rules: list[tuple[str, bool]]) -> DataFrame:
     """One row for each distinct url: status, status_code, markdown, metadata, links, images, error. One pipeline for all of them."""
     gated = gate(urls.select("url").distinct(), config, rules)
-    rows = page_rows(store.head(gated), config.render, config.extract_metadata, config.strip)
+    rows = page_rows(store.head_once(gated), config.render, config.extract_metadata, config.strip)
     done = F.col("status") == "completed"
     lost = done & F.col("status_code").isNull() & F.lit(config.render)
     ok = done & ~lost
@@ -95,7 +96,7 @@ def start(spark: SparkSession, config: CrawlConfig, store: PageStore) -> Cursor:
     if config.source in ("all", "sitemaps") and store.sitemaps is not None:
         found = discover_sitemaps(spark, seed, store.sitemaps, robots)
         urls = found.urls.withColumn("u", normalize_url(F.col("url"))).filter("u <> ''").orderBy("ord", "pos").select("u")
-        entries = [(r.u, 0) for r in (urls if cursor.capacity is None else urls.limit(cursor.capacity)).collect()]
+        entries = [(r.u, 0) for r in urls.limit(DRIVER_FRONTIER + 1 if cursor.capacity is None else cursor.capacity).collect()]
     if config.source in ("all", "links") and (u := normalize_one(seed)) and all(u != e for e, _ in entries):
         entries.insert(0, (u, 0))
     cursor.add(entries)
@@ -106,8 +107,8 @@ def crawl_batch(spark: SparkSession, config: CrawlConfig, store: PageStore, curs
     """Crawl until a limit, the time budget or the crawl delay stops it; resumable by the cursor it returns.
 
     The traversal order is sequential by definition and bounded by max_pages and the
-    frontier's capacity, so it runs on the driver; pages are worked on in parallel,
-    the whole frontier at a time. compat: queued duplicates are crawled again, as the
+    frontier's capacity, so it runs on the driver, on URLs, status and links; pages are worked on in parallel, as
+    many of the frontier's next ones as may still be crawled, and stay in saved tables. Many crawls at once: crawl_many. compat: queued duplicates are crawled again, as the
     visited test only knows crawled pages; otherwise each URL is crawled once.
     """
     began = clock()
@@ -116,7 +117,8 @@ def crawl_batch(spark: SparkSession, config: CrawlConfig, store: PageStore, curs
     state.config = config
     rules = state.robots.get(state.seed_domain)
     done: dict[str, Row] = {}
-    pages: list[tuple] = []
+    pages: list[tuple[int, str, int]] = []
+    saved: list[DataFrame] = []
     queued = {u for u, _ in state.frontier}
     stop = "complete"
     while state.frontier:
@@ -129,17 +131,18 @@ def crawl_batch(spark: SparkSession, config: CrawlConfig, store: PageStore, curs
         if rules and rules.crawl_delay is not None and state.last_fetch is not None and clock() - state.last_fetch < rules.crawl_delay:
             stop = "crawl_delay"
             break
-        ahead = list(state.frontier)
-        batch = state.take(min(config.concurrency, config.max_pages - state.total), config.strategy)
+        left = config.max_pages - state.total
+        ahead = state.frontier[:left] if config.strategy == "bfs" else state.frontier[-left:]
+        batch = state.take(min(config.concurrency, left), config.strategy)
         if any(u not in done for u, _ in batch):
-            wanted = [u for u, _ in ahead if u not in done]
-            urls = spark.createDataFrame([(u,) for u in dict.fromkeys(wanted)], "url string")
-            done.update((r.url, r) for r in crawl_pages(store, urls, config, rules.rules if rules else []).collect())
+            urls = spark.createDataFrame([(u,) for u in dict.fromkeys(u for u, _ in ahead if u not in done)], "url string")
+            saved.append(cut(crawl_pages(store, urls, config, rules.rules if rules else [])))
+            done.update((r.url, r) for r in saved[-1].select("url", "status", F.transform("links", lambda x: F.struct(x["url"].alias("url"), x["type"].alias("type"))).alias("links")).collect())
         for url, depth in batch:
             if not compat and state.is_visited(url):
                 continue
             r = done[url]
-            pages.append((len(pages), url, r.status, r.status_code, r.markdown, r.metadata, r.links, r.images, depth, 0, r.error))
+            pages.append((len(pages), url, depth))
             state.add_visited(url)
             state.total += 1
             if r.status == "completed" and config.source in ("all", "links") and depth + 1 <= config.max_depth:
@@ -153,7 +156,16 @@ def crawl_batch(spark: SparkSession, config: CrawlConfig, store: PageStore, curs
         stop = "complete"
     over = stop == "complete" or state.total >= config.max_pages
     stats = CrawlStats(len(pages), state.total, len(state.frontier), clock() - began, stop)
-    return CrawlResult(spark.createDataFrame(pages, PAGE_SCHEMA), None if over else encode_cursor(state), stats)
+    return CrawlResult(_in_order(spark, pages, saved), None if over else encode_cursor(state), stats)
+
+
+def _in_order(spark: SparkSession, pages: list[tuple[int, str, int]], saved: list[DataFrame]) -> DataFrame:
+    """The saved pages by (ord, url, depth), in PAGE_SCHEMA."""
+    if not saved:
+        return spark.createDataFrame([], PAGE_SCHEMA)
+    order = F.broadcast(spark.createDataFrame(pages, "ord long, url string, depth long"))
+    rows = functools.reduce(DataFrame.unionByName, saved).join(order, "url")
+    return rows.select("ord", "url", "status", "status_code", "markdown", "metadata", "links", "images", "depth", F.lit(0).cast("long").alias("fetch_time"), "error")
 
 
 def _follow(links: list[Row], config: CrawlConfig, seed: str) -> list[str]:

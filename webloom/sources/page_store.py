@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from webloom.functions.render import render_html, with_base
+from webloom.functions.text import fresh
 from webloom.functions.urls import normalize_url, origin_of, safe_host
+from webloom.session import ship
 
 
 @F.pandas_udf(T.StringType())
@@ -42,6 +44,8 @@ class PageStore:
     sitemaps: DataFrame | None = None
 
     def __post_init__(self) -> None:
+        ship(self.pages.sparkSession)
+        self._repeats: bool | None = None
         status = F.col("status_code").cast("int") if "status_code" in self.pages.columns else F.lit(200)
         self.corpus = self.pages.select(normalize_url(F.col("url")).alias("url"), "html", status.alias("status_code")).filter("url <> ''")
 
@@ -52,13 +56,26 @@ class PageStore:
 
     def fetch(self, urls: DataFrame, dump: str = "html", strip: list[str] | tuple[str, ...] = (), base: bool = False) -> DataFrame:
         """urls (url, ...) with status_code and content in a dump format; nulls where the corpus has no such page. Filters and the two columns reach the scan."""
-        found = urls.join(self.corpus.withColumnRenamed("url", "_url"), F.col("url") == F.col("_url"), "left")
+        found = self.head(urls)
         html = with_base(F.col("html"), F.col("url")) if base else F.col("html")
-        return found.withColumn("content", render_html(html, F.col("url"), dump, strip)).drop("_url", "html")
+        return found.withColumn("content", render_html(html, F.col("url"), dump, strip)).drop("html")
 
     def head(self, urls: DataFrame) -> DataFrame:
-        """urls with status_code and html, as a plain read gives them."""
-        return urls.join(self.corpus.withColumnRenamed("url", "_url"), F.col("url") == F.col("_url"), "left").drop("_url")
+        """urls with status_code and html, which replace columns of those names, as a plain read gives them; a row for each page of the URL, if the table has several."""
+        rows, key = urls.drop("status_code", "html"), fresh(urls, "at")
+        return rows.join(self.corpus.withColumnRenamed("url", key), F.col("url") == F.col(key), "left").drop(key)
+
+    def head_once(self, urls: DataFrame) -> DataFrame:
+        """head() of distinct urls (url, ...) with one row for each: of pages with one normalised URL the least html, then status_code. Whether the table has such
+        pages is asked once, of its url column alone."""
+        if self._repeats is None:
+            self._repeats = not self.corpus.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+        rows = self.head(urls)
+        if not self._repeats:
+            return rows
+        rest = [c for c in rows.columns if c not in ("url", "status_code", "html")]
+        one = rows.groupBy("url").agg(F.min(F.struct("html", "status_code")).alias("least"), *(F.first(c).alias(c) for c in rest))
+        return one.select("url", *rest, "least.status_code", "least.html")
 
     def robots_txt(self, host: str) -> str | None:
         if self.robots is None:
