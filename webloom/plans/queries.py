@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.metadata import canonical_of, head_of, json_ld_of, language_of, meta_content, open_graph_of, title_of, twitter_of
+from webloom.functions.metadata import canonical_of, head_of, json_ld_of, language_of, meta_content, title_of, with_metadata
 from webloom.functions.render import render_html
 from webloom.functions.text import strip_html_to_text, utf16_length
 from webloom.functions.urls import matches_pattern, normalize_url, origin_of, passes_domain_filter, safe_host, sitemap_slug, to_relative_path, url_hash
@@ -148,8 +148,8 @@ def page_meta(spark, sf_dir):
 SELECT page_id, CASE WHEN coalesce(title, '') || coalesce(description, '') || coalesce(image, '') || coalesce(u, '') <> '' THEN struct_pack(title := title, description := description, type := type, site_name := site_name) END AS o FROM (
 SELECT page_id, {attr('property', 'og:title')} AS title, {attr('property', 'og:description')} AS description, {attr('property', 'og:image')} AS image, {attr('property', 'og:url')} AS u, {attr('property', 'og:type')} AS type, {attr('property', 'og:site_name')} AS site_name FROM p))""")
 def page_og(spark, sf_dir):
-    og = open_graph_of(head_of(F.col("html")))
-    return tagged(spark, sf_dir).select("page_id", og.alias("og")).select("page_id", F.col("og").isNotNull().alias("present"), *(F.col(f"og.{c}").alias(c) for c in ("title", "description", "type", "site_name")))
+    og = with_metadata(tagged(spark, sf_dir)).select("page_id", F.col("metadata.og").alias("og"))
+    return og.select("page_id", F.col("og").isNotNull().alias("present"), *(F.col(f"og.{c}").alias(c) for c in ("title", "description", "type", "site_name")))
 
 
 @query(TAGGED + f"""SELECT page_id, coalesce(card, '') || coalesce(title, '') || coalesce(d, '') || coalesce(i, '') <> '' AS present,
@@ -157,8 +157,8 @@ CASE WHEN coalesce(card, '') || coalesce(title, '') || coalesce(d, '') || coales
 SELECT page_id, coalesce({attr('name', 'twitter:card')}, {attr('property', 'twitter:card')}) AS card, coalesce({attr('name', 'twitter:title')}, {attr('property', 'twitter:title')}) AS title,
  coalesce({attr('name', 'twitter:description')}, {attr('property', 'twitter:description')}) AS d, coalesce({attr('name', 'twitter:image')}, {attr('property', 'twitter:image')}) AS i FROM p)""")
 def page_twitter(spark, sf_dir):
-    t = twitter_of(head_of(F.col("html")))
-    return tagged(spark, sf_dir).select("page_id", t.alias("t")).select("page_id", F.col("t").isNotNull().alias("present"), F.col("t.card").alias("card"), F.col("t.title").alias("title"))
+    t = with_metadata(tagged(spark, sf_dir)).select("page_id", F.col("metadata.twitter").alias("t"))
+    return t.select("page_id", F.col("t").isNotNull().alias("present"), F.col("t.card").alias("card"), F.col("t.title").alias("title"))
 
 
 @query(TAGGED + f"SELECT page_id, {attr('rel', 'canonical', 'link', 'href', '+')} AS canonical_url FROM p")
@@ -176,13 +176,18 @@ def page_jsonld(spark, sf_dir):
 ANCHOR = r'(?s)<a href="(/[A-Za-z0-9_/.-]*)">([^<]*)</a>'
 
 
-def marked(spark, sf_dir) -> DataFrame:
+def with_marks(pages: DataFrame) -> DataFrame:
+    """pages (page_id, host, html) with markdown."""
     paths, names = (F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(g)) for g in (1, 2))
     links = F.transform(F.arrays_zip(paths.alias("p"), names.alias("n")), lambda a: F.concat(F.lit("[**"), a["n"], F.lit("**]("), F.lit("https://"), F.col("host"), a["p"], F.lit("#x)")))
     s = F.col("page_id").cast("string")
     noise = F.concat(F.lit("[me](mailto:a@b.c) ![pic "), s, F.lit("](https://img.example.org/"), (F.col("page_id") % 9).cast("string"), F.lit(".png) ![](https://img.example.org/0.png) [_Out_](https://other.example.org/"), (F.col("page_id") % 13).cast("string"), F.lit("/) [``](https://x.example.org/none) "))
+    return pages.withColumn("marks", links).withColumn("markdown", F.concat(F.array_join("marks", " "), F.lit(" filler text "), noise, F.array_join("marks", " and again "))).drop("marks")
+
+
+def marked(spark, sf_dir) -> DataFrame:
     pages = pages_of(spark, sf_dir).withColumn("host", safe_host(normalize_url(F.col("url"))))
-    return pages.select("page_id", "url", "host", F.concat(F.array_join(links, " "), F.lit(" filler text "), noise, F.array_join(links, " and again ")).alias("markdown"))
+    return with_marks(pages).select("page_id", "url", "host", "markdown")
 
 
 MARKED = r"""WITH m AS (SELECT page_id, url, """ + HOST + r""" AS host,
@@ -273,8 +278,11 @@ def domain_filter(spark, sf_dir):
 
 # The flagship: every column of the flat report but its time. Meta tags are the derived ones; the text is that of the page with link syntax behind it.
 def reported(spark, sf_dir) -> DataFrame:
-    pages = tagged(spark, sf_dir).join(marked(spark, sf_dir).select("page_id", F.col("markdown").alias("links_md")), "page_id")
-    return pages.select("page_id", normalize_url(F.col("url")).alias("url"), F.concat("html", F.lit("<p>"), "links_md", F.lit("</p>")).alias("html"), F.when(F.col("page_id") % 8 != 0, 200 + F.col("page_id") % 5).cast("int").alias("status_code"))
+    pages = tagged(spark, sf_dir).withColumn("whole", F.col("html")).withColumn("html", F.substring("html", F.instr("html", "</head>") + 7, F.length("html")))
+    pages = with_marks(pages.withColumn("host", safe_host(normalize_url(F.col("url")))))
+    rows = pages.select("page_id", normalize_url(F.col("url")).alias("url"), F.concat("whole", F.lit("<p>"), "markdown", F.lit("</p>")).alias("html"), F.when(F.col("page_id") % 8 != 0, 200 + F.col("page_id") % 5).cast("int").alias("status_code"))
+    # Made once and dealt over the cores, as a corpus on disk would be: Spark would else merge the making into each pattern that reads the html.
+    return rows.repartition(spark.sparkContext.defaultParallelism)
 
 
 # Link syntax stands after the text, so that offsets shift by the text's length and one space.
