@@ -111,3 +111,15 @@ def test_long_text(spark):
     df = spark.createDataFrame([(1, "a line of some words\n" * 40_000), (2, "w" * 500_000)], "doc_id long, text string")
     got = {x.doc_id: x for x in L.judge(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()}
     assert (got[1].n_words, got[1].n_dup_lines, got[1].n_repeat_words) == (200_000, 39_999, 200_000) and got[2].n_words == 1
+
+
+def test_what_fitting_gathers_has_a_bound_in_bytes(spark, monkeypatch):
+    good = "\n".join(f"a longer line of plain words number {i} follows here" for i in range(6))
+    rows = [(i, good + f" {i}" if i % 2 else "menu | home | login\n" * 6) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (99, "x " * 5_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(99, 1, 0)], "doc_id long, quality int, toxic int")
+    whole = L.train(docs.filter("doc_id < 40"), labels)
+    monkeypatch.setattr(L, "SAMPLE_TEXT", 4_000)
+    assert (L.train(docs, labels).emission == whole.emission).all()
+    monkeypatch.setattr(L, "SAMPLE_BYTES", 10)
+    assert not L.train(docs, labels).emission.any()

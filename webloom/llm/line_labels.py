@@ -37,6 +37,8 @@ from webloom.llm._common import fresh, keyed_filter, map_arrow, save
 from webloom.llm._text import column, slices, keyed_hashes, window_hashes, word_spans
 
 SAMPLE, PIECE, STEPS, SHARE = 4_000, 64, 120, 0.5
+#: Bytes that a labelled text, and all of them together, may have to be gathered for fitting.
+SAMPLE_TEXT, SAMPLE_BYTES = 1 << 20, 32 << 20
 CONTENT, BOILERPLATE = 0, 1
 
 _UPPER, _LOWER, _DIGIT, _SYMBOL, _BANG, _MARK = (np.isin(np.arange(256), [ord(c) for c in s]) for s in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "#*$%&|<>", "!?", ".,;:"))
@@ -221,10 +223,13 @@ def fit(active: np.ndarray, labels: np.ndarray, head: np.ndarray, steps: int = S
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf:
-    """Fit on at most sample labelled documents (doc_id, quality)."""
+    """Fit on at most sample labelled documents (doc_id, quality), of at most SAMPLE_TEXT bytes each and SAMPLE_BYTES together: what the driver gathers."""
     chosen = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = keyed_filter(docs, save(chosen, "labelled"), "doc_id", "inner").select("text", "quality").orderBy(F.xxhash64("text"), "text").limit(sample)
-    seen = rows.toArrow()
+    rows = keyed_filter(docs, save(chosen, "labelled"), "doc_id", "inner").select("text", "quality").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT)
+    rows = save(rows.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))).orderBy(F.xxhash64("text"), "text", "quality").limit(sample), "sample")
+    order = [F.xxhash64("text"), "text", "quality"]
+    sizes = [r[0] for r in rows.orderBy(*order).select("size").collect()]  # at most sample numbers
+    seen = rows.orderBy(*order).limit(int(np.searchsorted(np.cumsum(sizes), SAMPLE_BYTES, "right"))).select("text", "quality").toArrow()
     if not seen.num_rows:
         return Crf.zero()
     active, truth, heads, at = [], [], [], 0

@@ -166,9 +166,9 @@ m AS (
 u AS (SELECT DISTINCT doc_id, toks FROM m WHERE toks[1] <> ''),
 recurring AS (SELECT toks FROM u GROUP BY toks HAVING count(*) >= 10),
 rest AS (SELECT doc_id, toks, len(toks) AS n, toks[1:2] AS lead FROM u WHERE toks NOT IN (SELECT toks FROM recurring)),
-leaf AS (SELECT n, lead, count(*) AS c FROM rest GROUP BY ALL HAVING count(*) >= 10),
-x AS (SELECT doc_id, toks, n, lead, c, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM rest JOIN leaf USING (n, lead)),
-fixed AS (SELECT n, lead, pos, tok, TRUE AS is_fixed FROM x WHERE tok <> '<*>' GROUP BY n, lead, pos, tok HAVING count(*) >= 10 AND count(*) * 100 >= any_value(c)),
+leaf AS (SELECT n, lead FROM rest GROUP BY ALL HAVING count(*) >= 10),
+x AS (SELECT doc_id, toks, n, lead, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM rest JOIN leaf USING (n, lead)),
+fixed AS (SELECT n, lead, pos, tok, TRUE AS is_fixed FROM x WHERE tok <> '<*>' GROUP BY n, lead, pos, tok HAVING count(*) >= 10),
 shaped AS (
   SELECT doc_id, toks, list(CASE WHEN is_fixed THEN tok ELSE '<*>' END ORDER BY pos) AS shape, count(is_fixed) AS k
   FROM x LEFT JOIN fixed USING (n, lead, pos, tok) GROUP BY doc_id, toks),

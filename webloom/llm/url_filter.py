@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from webloom.llm._common import map_arrow
 from webloom.llm._text import column
 
-#: Rules up to which the trie is broadcast: about 200 bytes each, so 100 MB at most.
-BROADCAST_RULES = 500_000
+#: Rules, and bytes of their hosts and paths, up to which the trie is broadcast. A rule of usual length takes about 1,500 bytes in it (measured
+#: with 100,000 rules): some 15 MB on the driver and in each Python worker.
+BROADCAST_RULES, BROADCAST_TEXT = 10_000, 1 << 20
 
 
 _UPPER_AZ, _LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,11 +116,13 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame, url_col: str = "url",
     """pages with host, path, rule and verdict, which replace columns of those names. rules: a list, or a table (host, path, allow)."""
     rows = pages.withColumns({"host": host_of(F.col(f"`{url_col}`").cast("string")), "path": path_of(F.col(f"`{url_col}`").cast("string"))}).drop("rule", "verdict")
     if isinstance(rules, list):
-        few = rules if len(rules) <= BROADCAST_RULES else None
+        small = len(rules) <= BROADCAST_RULES and sum(len(f"{r.host}{r.path}".encode()) for r in rules) <= BROADCAST_TEXT
+        few = rules if small else None
         if few is None:
             rules = pages.sparkSession.createDataFrame([(r.host, r.path, r.allow) for r in rules], "host string, path string, allow boolean")
     else:
-        few = [Rule(*r) for r in rules.select("host", "path", "allow").collect()] if rules.count() <= BROADCAST_RULES else None
+        n, size = rules.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.concat_ws("", "host", "path")))).first()
+        few = [Rule(*r) for r in rules.select("host", "path", "allow").collect()] if n <= BROADCAST_RULES and (size or 0) <= BROADCAST_TEXT else None
     return _by_trie(rows, few, default) if few is not None else _by_join(rows, rules, default)
 
 
