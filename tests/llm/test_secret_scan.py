@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
+import statistics
 import string
+from collections import Counter
 
 import pytest
 
@@ -72,7 +75,7 @@ def test_base_spans_against_a_walk():
 def test_scan_digests(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").selectExpr("*", "3 AS base", "4 AS spans")
     got = {r.doc_id: r for r in S.digest(S.scan(df)).collect()}
-    tested = {i: S.candidates(t or "") for i, t in enumerate(TEXTS)}
+    tested = {i: S.candidates(t or "", plain_spans(t)) for i, t in enumerate(TEXTS) if len(t or "") < 10_000} | {13: []}
     cells = [(b, c) for found in tested.values() for _, _, b, c in found]
     least = thresholds([(b, c, cells.count((b, c))) for b, c in set(cells)])
     for i, t in enumerate(TEXTS):
@@ -146,26 +149,118 @@ def text_like(r, words):
 WORDS = "the and for with that this have which would there about people after first water where right think through before little place great change small house under number always world school system page news article report daily update service market weather sport music health travel company profile login index contact privacy static content product category search result item list user account setting download version release module package window button config server request response zeitung verlag grosse strasse haus einheit fragen kaufen jahre wochen zwischen quelle que jour vous avec plus monde projet maison pays entre cuando mejor viajes ayuda trabajo nueva".split()
 
 
-@pytest.mark.parametrize(("length", "kinds"), [(32, ("base62", "base64", "letters", "lower")), (40, ("base62", "base64", "letters", "lower", "base32", "HEX")), (64, tuple(ALPHABETS))])
-def test_recall_among_text_with_few_secrets(length, kinds):
-    """60 secrets of a kind among 240 text-like strings of about the same length: nine in ten are found, and few of the others."""
+#: Words of languages that no constant was set on: Polish, Italian, Dutch, Finnish, Turkish, Swedish.
+HELD_OUT = "dzien dobry prosze dziekuje szkola ksiazka wczoraj przyjaciel krzyk wszystko grzyb szczescie wojewodztwo zwierze mezczyzna buongiorno grazie perche quando scuola giorno ragazzo bellezza cucina viaggio lavoro famiglia altro goedemorgen waarom school tijdens mensen vrijheid gezellig onderwijs huizen schrijven lachen nieuwe kansen yksi kaksi kolme hyvaa paivaa kirja koulu ystava talo lapsi kahvi metsa jarvi kaupunki merhaba gunaydin okul kitap arkadas cocuk deniz yagmur guzel sehir yeni hayat tesekkur hej vecka skola dagar mycket vackert sjukhus flicka pojke bokhylla kvinna".split()
+
+
+@pytest.mark.parametrize(("length", "share", "kinds"), [(32, 0.2, ("base62", "base64")), (32, 0.01, ("base62", "base64")), (48, 0.01, ("base62", "base64", "letters", "HEX")), (96, 0.01, tuple(ALPHABETS))])
+def test_recall_among_text(length, share, kinds):
+    """150 secrets of a kind among text-like strings of about the same length, half of them of held-out languages: nine in ten are found (on average: base64 0.87 at 32), and few of the others."""
     r = random.Random(length)
+    text = []
+    while len(text) < 150 / share - 150:
+        s = text_like(r, r.choice((WORDS, HELD_OUT)))
+        s = s + "-" + text_like(r, WORDS) if length > 44 else s
+        if len(s) >= min(length, 44) - 4:
+            text += [(c[0], False) for c in [S.candidates(s[: length + 2])] if c]
     for kind in kinds:
-        cases = [("".join(r.choice(ALPHABETS[kind]) for _ in range(length)), True) for _ in range(60)]
-        while len(cases) < 300:
-            s = text_like(r, WORDS)
-            if len(s) >= length - 4:
-                cases.append((s[: length + 2], False))
-        found = [(c[0], real) for s, real in cases if (c := S.candidates(s))]
-        cells = [(c[2], c[3]) for c, _ in found]
-        least = thresholds([(b, x, cells.count((b, x))) for b, x in set(cells)])
+        found = text + [(c[0], True) for _ in range(150) if (c := S.candidates("".join(r.choice(ALPHABETS[kind]) for _ in range(length))))]
+        counts = Counter((c[2], c[3]) for c, _ in found)
+        least = thresholds([(b, x, n) for (b, x), n in counts.items()])
         told = [real for c, real in found if c[3] >= least.get(c[2], 1 << 30)]
-        assert sum(told) >= 0.9 * 60 and len(told) - sum(told) <= 2, (kind, sum(told), len(told))
+        assert sum(told) >= (0.8 if length == 32 else 0.87) * 150 and len(told) - sum(told) <= 4, (kind, sum(told), len(told))
+
+
+NAMES = "Wojciechowski-Krzysztofowicz Hxq-zvk-Jqx-wkz-yvj-qzx https-//www-youtube-com/watch/v/dQw4w9WgXcQ xkcd-jquery-3-7-1-min-js-bundle-v2 Szczebrzeszyn-Grzegorz-Brzeczyszczykiewicz thequickbrownfoxjumpsoverthelazydog".split()
+
+
+def test_names_and_slugs_are_text():
+    assert all(S.joint(battery(s)) < 1.5 for s in NAMES)
+
+
+def plain_joint(s):
+    """-log10 of a candidate's p-value by sums instead of closed forms; None where it isn't tested."""
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    has = {name: any(c in kind for c in s) for name, kind in (("l", lower), ("u", upper), ("d", digits), ("a", "+/"), ("b", "_-"))}
+    if not (has["l"] or has["u"]):
+        return None
+    alphabet = next((a for a in (digits + "abcdef", digits + "ABCDEF", upper + "234567") if has["d"] and all(c in a for c in s)), None)
+    alphabet = alphabet or upper * has["u"] + lower * has["l"] + digits * has["d"] + "+/" * has["a"] + "_-" * has["b"]
+    n, hexadecimal = len(s), len(alphabet) == 16
+    if hexadecimal:
+        groups = [(c, None) for c in alphabet]
+        lam = 0.6
+    else:
+        cells = (("aeiou", 0.4), ("nrstld", 0.36), ("bcfghmp", 0.18), ("jkqvwxyz", 0.06))
+        others = [(x, t) for x, t in ((digits, 0.04), ("+/_-", 0.08)) if set(x) & set(alphabet)]
+        both, up, left = "a" in alphabet and "A" in alphabet, "A" in alphabet, 1 - sum(t for _, t in others)
+        groups = [(c, t * left * (0.8 if up else 1)) for c, t in cells if "a" in alphabet] + [(c.upper(), t * left * (0.2 if both else 1)) for c, t in cells if up] + others
+        groups = [("".join(c for c in x if c in alphabet), t) for x, t in groups]
+        lam = (1.0 if both else 0.8) * sum((t - len(x) / len(alphabet)) ** 2 / (len(x) / len(alphabet)) for x, t in groups)
+    lam *= n * (0.8 if n >= 56 else 1)
+    chi = sum((sum(c in x for c in s) - n * len(x) / len(alphabet)) ** 2 / (n * len(x) / len(alphabet)) for x, _ in groups)
+    f = len(groups) - 1
+
+    def central(k):
+        """Chance of at most chi with k degrees of freedom, by its series."""
+        term = total = math.exp(k / 2 * math.log(chi / 2) - chi / 2 - math.lgamma(k / 2 + 1)) if chi else 0.0
+        for i in range(1, 2000):
+            term *= chi / (k + 2 * i)
+            total += term
+        return total
+
+    ps = [sum(math.exp(-lam / 2 + j * math.log(lam / 2) - math.lgamma(j + 1)) * central(f + 2 * j) for j in range(int(lam) + 60))]
+    r = statistics.correlation([alphabet.index(c) for c in s[:-1]], [alphabet.index(c) for c in s[1:]]) if len(set(s[:-1])) > 1 and len(set(s[1:])) > 1 else 0.999
+    normal = statistics.NormalDist()
+    z = lambda x: math.atanh(max(-0.999, min(0.999, x)))
+    if 2 * normal.cdf(-abs(z(r)) * math.sqrt(n - 3)) <= 0.005:
+        return 0.0
+    if hexadecimal:
+        ps.append(normal.cdf((z(abs(r)) - z(0.5)) * math.sqrt(n - 3)))
+    else:
+        low = s.lower()
+        if sum(c in lower for c in low) < 8:
+            return None
+        pairs = [(float(a in "aeiou"), float(b in "aeiou")) for a, b in zip(low, low[1:], strict=False) if a in lower and b in lower]
+        if len(pairs) >= 8:
+            a, b = zip(*pairs, strict=True)
+            v = statistics.correlation(a, b) if len(set(a)) > 1 and len(set(b)) > 1 else 0.0
+            ps.append(normal.cdf(-(z(v) - z(-0.2)) * math.sqrt(len(pairs) - 3)))
+    kinds = [next(k for k, x in zip("dlu", (digits, lower, upper), strict=True) if c in x) for c in s if c not in "+/_-"]
+    if len(set(kinds)) > 1:
+        chance, m = 0.35 if {"l", "u"} <= set(kinds) else 0.2, len(kinds) - 1
+        turns = sum(kinds[i] != kinds[i + 1] for i in range(m))
+        ps.append(min(1.0, sum(math.comb(m, i) * chance**i * (1 - chance) ** (m - i) for i in range(turns, m + 1))) if turns > m * chance else 1.0)
+    half = -sum(math.log(p) for p in ps)
+    return -math.log10(math.exp(-half) * sum(half**i / math.factorial(i) for i in range(len(ps))))
+
+
+def test_p_values_against_sums():
+    """Every p-value in [1e-8, 1] is that of exact sums, but for the normal approximation of the noncentral chi-squared."""
+    r = random.Random(21)
+    strings = [*NAMES, KEY, "a1" * 20, "0123456789abcdefghij", "x" * 30, "a" * 10 + "1" * 12]
+    strings += ["".join(r.choice(a) for _ in range(r.randrange(20, 60))) for a in ALPHABETS.values() for _ in range(60)]
+    strings += [s for _ in range(400) if len(s := text_like(r, r.choice((WORDS, HELD_OUT)))) >= 20]
+    compared = 0
+    for s in strings:
+        want, got = plain_joint(s), battery(s)
+        assert (want is None) == (got is None), s
+        if want is not None and want <= 8:
+            compared += 1
+            assert abs(S.joint(got) - want) <= 0.05 + 0.08 * want, (s, S.joint(got), want)
+    assert compared > 500
+
+
+def test_what_a_base_span_holds_is_not_tested():
+    for text in (f"secret={KEY}", "0f3a91bc" * 4 + "7d", f"x token: {KEY} y", "AKIA" + "Q7ZK2M9X" * 3):
+        assert S.candidates(text, S.base_spans(text)) == []
+    text = f"password={KEY[:20]} {KEY} secret=abcdefgh"
+    assert [c[:2] for c in S.candidates(text, S.base_spans(text))] == [(30, 70)]
 
 
 def test_short_random_keys_are_not_screened_out():
     r = random.Random(3)
-    for n, least in ((20, 0.72), (24, 0.8), (28, 0.86), (32, 0.9), (40, 0.95)):
+    for n, least in ((20, 0.72), (24, 0.8), (28, 0.88), (32, 0.94), (40, 0.97)):
         found = [p for _ in range(1000) if (p := battery("".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))))]
         passed = [p for p in found if S.fisher(p[0]) >= 2]
         assert sum(S.joint(p) == 0 for p in passed) <= 0.02 * len(passed)
@@ -174,9 +269,10 @@ def test_short_random_keys_are_not_screened_out():
     assert all(S.joint(battery(letters[i : i + 24])) == 0 for i in range(5, 12))
 
 
-def test_text_like_strings_have_large_p():
+@pytest.mark.parametrize("words", [WORDS, HELD_OUT])
+def test_text_like_strings_have_large_p(words):
     r = random.Random(8)
-    found = [S.joint(p) for _ in range(4000) if len(s := text_like(r, WORDS)) >= 20 and (p := battery(s))]
+    found = [S.joint(p) for _ in range(4000) if len(s := text_like(r, words)) >= 20 and (p := battery(s))]
     assert len(found) > 3000
     for level in (1, 2, 3):
         assert sum(x >= level for x in found) <= 10**-level * len(found)

@@ -8,20 +8,24 @@ characters), hex (runs of 32 or more of 0-9a-f). The method adds kind random:
    encoding can be inferred: hex, HEX, base32, one case of letters with digits and marks,
    base64, or letters alone; runs of digits only are numbers.
 2. Each candidate is tested against the hypothesis that it is text-like, at its own length:
-   (a) chi-squared uniformity of the alphabet: letters are pooled into CELLS, so that each
-   expects enough of them, and compared with the use that text makes of these cells, to which the
-   uniform use of random strings is far; in hexadecimal, distance from uniform use,
-   under the hypothesis a noncentral chi-squared variable (its normal approximation). (b) Runs of
-   character classes (digit, lower, upper case), of which text has fewer: a binomial tail.
-   (c) Lag-1 serial correlation: of vowels among neighbouring letters, which alternate in text
-   (RHO); in hexadecimal, of alphabet positions, high where digits follow a pattern (PATTERN).
-   Small p: not text. The p-values of the tests that apply are joined by Fisher's method. Sequences and repeats
-   are neither text nor random: a candidate whose positions correlate at LEVEL has p = 1.
+   (a) chi-squared uniformity of the inferred alphabet, digits, marks and both cases included:
+   hexadecimal digits one by one, of other alphabets the characters pooled into cells that each
+   expect enough of them. Text is far from uniform use, so under the hypothesis the statistic is
+   a noncentral chi-squared variable (its normal approximation), whose noncentrality is what the
+   cells' use in text gives for this alphabet, times SAFE; p is the chance to be so near to
+   uniform. (b) Runs of character classes (digit, lower, upper case), of which text has fewer: a
+   binomial tail. (c) Lag-1 serial correlation: of vowels among neighbouring letters, which
+   alternate in text (RHO); in hexadecimal, of alphabet positions, high where digits follow a
+   pattern (PATTERN). Small p: not text. The p-values of the tests that apply are joined by
+   Fisher's method. Sequences and repeats are neither text nor random: a candidate whose
+   positions correlate at LEVEL has p = 1.
 3. Benjamini-Hochberg at rate Q over all candidates of the corpus, separately in
    each band of lengths, on a grid of p-values (0.1 in log10, rounded towards 1,
    so the control stays on the safe side). The table of counts has a fixed size,
    bands x grid cells.
 
+What lies inside a base span is not tested: it is reported already.
+
 Offsets are code points, ends exclusive. Defined cases: null text counts as
 empty; null and repeated doc_id are ordinary rows; an empty table gives an empty
 table; other columns are ignored by scan() and carried by drop_documents().
@@ -52,13 +56,18 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 #: Level of false discoveries among added spans.
 Q = 0.01
-#: Cells of letters and how much of a text's letters falls into each: rounded averages of English, French, German and Spanish.
+#: Cells of letters and the share of a text's letters in each: rounded averages of English, French, German and Spanish.
+#: Shares of capitals among letters, of digits and of marks in identifiers and paths. All of this, and the constants below, was set on words of these four languages joined
+#: as identifiers, compounds and paths; tests hold it against words of six other languages.
 CELLS_OF = ("aeiou", "nrstld", "bcfghmp", "jkqvwxyz")
 SHARES = (0.40, 0.36, 0.18, 0.06)
-#: Under the hypothesis: noncentrality per hexadecimal digit; chance that the next character is of another class, for
+CAPITALS, DIGITS, MARKS = 0.2, 0.04, 0.08
+#: Under the hypothesis: share of the noncentrality that counts where both cases, or one case, are in use (names and other languages are nearer to uniform); noncentrality per hexadecimal digit; chance that the next character is of another class, for
 #: identifiers of capitalised words and for a single case with digits; correlation of vowels (text has about -0.35, the
 #: nearer to 0 the safer); correlation of patterned digits. Level of the test for sequences and repeats.
-UNEVEN, TURNS, TURNS_ONE_CASE, RHO, PATTERN, LEVEL = 0.6, 0.4, 0.2, -0.2, 0.5, 0.005
+SAFE, SAFE_ONE_CASE, UNEVEN, TURNS, TURNS_ONE_CASE, RHO, PATTERN, LEVEL = 1.0, 0.8, 0.6, 0.35, 0.2, -0.2, 0.5, 0.005
+#: From LONG characters on, where the hypothesis is told apart easily, only LONG_SHARE of the noncentrality counts: what a language misses of it grows with the length.
+LONG, LONG_SHARE = 56, 0.8
 #: Letters, or pairs of them, that a test needs.
 ENOUGH = 8
 #: Length bands (upper ends) and grid cells of -log10 p.
@@ -77,7 +86,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 _LOW, _UP, _DIGITS, _MARKS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_-"
-_CELL = {c: i for i, cell in enumerate(CELLS_OF) for c in cell}
+_LETTERS = frozenset("".join(CELLS_OF))
 
 
 def encoding(s: str) -> str | None:
@@ -88,7 +97,24 @@ def encoding(s: str) -> str | None:
     for alphabet in (_DIGITS + "abcdef", _DIGITS + "ABCDEF", _UP + "234567"):
         if dig and set(s) <= set(alphabet):
             return alphabet
-    return _UP * up + _LOW * low + _DIGITS * dig + _MARKS * mark
+    marks = [pair for pair in ("+/", "_-") if any(c in pair for c in s)] if mark else []
+    return _UP * up + _LOW * low + _DIGITS * dig + "".join(marks)
+
+
+@lru_cache(10_000)
+def _pools(alphabet: str) -> tuple[dict[str, int], np.ndarray, float]:
+    """Cell of each character of an alphabet, the cells' shares under uniform use, and the noncentrality per character under the hypothesis."""
+    if len(alphabet) == 16:
+        return {c: i for i, c in enumerate(alphabet)}, np.full(16, 1 / 16), UNEVEN
+    up, low = _UP[0] in alphabet, _LOW[0] in alphabet
+    rest = [(kind, share) for kind, share in ((_DIGITS, DIGITS), (_MARKS, MARKS)) if any(c in kind for c in alphabet)]
+    words = 1 - sum(share for _, share in rest)
+    cells = [(cell, words * share * (1 - CAPITALS if up else 1)) for cell, share in zip(CELLS_OF, SHARES, strict=True) if low]
+    cells += [(cell.upper(), words * share * (CAPITALS if low else 1)) for cell, share in zip(CELLS_OF, SHARES, strict=True) if up]
+    cells = [([c for c in kind if c in alphabet], share) for kind, share in cells + rest]
+    even = np.array([len(chars) / len(alphabet) for chars, _ in cells])
+    text = np.array([share for _, share in cells])
+    return {c: i for i, (chars, _) in enumerate(cells) for c in chars}, even, (SAFE if up and low else SAFE_ONE_CASE) * float(((text - even) ** 2 / even).sum())
 
 
 def _normal(z: float) -> float:
@@ -112,29 +138,21 @@ def _correlation(x: list[float], y: list[float]) -> float:
     return min(0.999, max(-0.999, float((a * b).sum()) / spread)) if spread else 0.999
 
 
-def _uneven(x: list[int], k: int) -> float:
-    """Chance under the hypothesis that k digits are used so evenly: noncentral chi-squared by Sankaran's cube-root normal."""
-    n = len(x)
-    counts = np.bincount(x, minlength=k)
-    chi = float(((counts - n / k) ** 2).sum() * k / n)
-    f, lam = k - 1, n * UNEVEN
+def uniformity(s: str, alphabet: str) -> tuple[float, int, float]:
+    """Chi-squared statistic of uniform use of an alphabet's cells, its degrees of freedom and its noncentrality under the hypothesis."""
+    cell, even, apart = _pools(alphabet)
+    n = len(s)
+    counts = np.bincount([cell[c] for c in s], minlength=len(even))
+    return float(((counts - n * even) ** 2 / (n * even)).sum()), len(even) - 1, n * apart * (LONG_SHARE if n >= LONG else 1)
+
+
+def _so_even(chi: float, f: int, lam: float) -> float:
+    """Chance of at most chi for a noncentral chi-squared variable: Sankaran's cube-root normal."""
     h = 1 - 2 * (f + lam) * (f + 3 * lam) / (3 * (f + 2 * lam) ** 2)
     p, m = (f + 2 * lam) / (f + lam) ** 2, (h - 1) * (1 - 3 * h)
     return _normal(((chi / (f + lam)) ** h - (1 + h * p * (h - 1 - 0.5 * (2 - h) * m * p))) / (h * math.sqrt(2 * p) * (1 + 0.5 * m * p)))
 
 
-def _cells(letters: list[str]) -> float:
-    """Chance under the hypothesis that letters are so far from text's use of the cells (3 degrees), towards more of the rare ones."""
-    n = len(letters)
-    counts = [0] * len(CELLS_OF)
-    for c in letters:
-        counts[_CELL[c]] += 1
-    if counts[-1] <= n * SHARES[-1]:
-        return 1.0
-    chi = sum((o - n * t) ** 2 / (n * t) for o, t in zip(counts, SHARES, strict=True))
-    return max(1e-300, math.erfc(math.sqrt(chi / 2)) + math.sqrt(2 * chi / math.pi) * math.exp(-chi / 2))
-
-
 def battery(s: str) -> tuple[list[float], float] | None:
     """(p-values of the tests against text-likeness that apply, p-value of a pattern in the positions); None for numbers and what has too few letters."""
     alphabet = encoding(s)
@@ -145,15 +163,14 @@ def battery(s: str) -> tuple[list[float], float] | None:
     r = abs(_correlation(x[:-1], x[1:]))
     depth = math.sqrt(max(1, len(s) - 3))
     pattern = max(1e-300, math.erfc(math.atanh(r) * depth / math.sqrt(2)))
+    ps = [_so_even(*uniformity(s, alphabet))]
     if len(alphabet) == 16:
-        ps = [_uneven(x, 16), _normal((math.atanh(r) - math.atanh(PATTERN)) * depth)]
+        ps.append(_normal((math.atanh(r) - math.atanh(PATTERN)) * depth))
     else:
         folded = s.lower()
-        letters = [c for c in folded if c in _CELL]
-        if len(letters) < ENOUGH:
+        if sum(c in _LETTERS for c in folded) < ENOUGH:
             return None
-        ps = [_cells(letters)]
-        pairs = [(float(a in "aeiou"), float(b in "aeiou")) for a, b in zip(folded, folded[1:], strict=False) if a in _CELL and b in _CELL]
+        pairs = [(float(a in "aeiou"), float(b in "aeiou")) for a, b in zip(folded, folded[1:], strict=False) if a in _LETTERS and b in _LETTERS]
         if len(pairs) >= ENOUGH:
             v = _correlation(*map(list, zip(*pairs, strict=True)))
             v = 0.0 if v == 0.999 else v
@@ -177,11 +194,13 @@ def joint(tested: tuple[list[float], float]) -> float:
     return 0.0 if tested[1] <= LEVEL else fisher(tested[0])
 
 
-def candidates(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, length band, grid cell) of each run that was tested."""
-    out = []
+def candidates(text: str, base: list[tuple[int, int, str]] = ()) -> list[tuple[int, int, int, int]]:
+    """(start, end, length band, grid cell) of each run that was tested: those that lie in no base span (sorted by start)."""
+    out, held, reach = [], 0, -1
     for m in CANDIDATE.finditer(text):
-        if (tested := battery(m[0])) is not None:
+        while held < len(base) and base[held][0] <= m.start():
+            reach, held = max(reach, base[held][1]), held + 1
+        if m.end() > reach and (tested := battery(m[0])) is not None:
             out.append((m.start(), m.end(), next(i for i, top in enumerate(BANDS) if m.end() - m.start() <= top), min(CELLS, int(joint(tested) / CELL))))
     return out
 
@@ -220,8 +239,9 @@ def _scan_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base, tested = [[] for _ in range(hi - lo)], [[] for _ in range(hi - lo)]
             for i in np.flatnonzero(_suspects(data, offs)):
                 text = data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")
-                base[i] = [(s, e, KINDS.index(k)) for s, e, k in base_spans(text)]
-                tested[i] = candidates(text)
+                spans = base_spans(text)
+                base[i] = [(s, e, KINDS.index(k)) for s, e, k in spans]
+                tested[i] = candidates(text, spans)
             cols = [pa.array([[dict(zip(names, x, strict=True)) for x in row] for row in rows], t) for rows, t, names in ((base, _TYPES[0], "sek"), (tested, _TYPES[1], ("s", "e", "band", "cell")))]
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *cols], ["doc_id", "base", "tested"])
 
