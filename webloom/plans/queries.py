@@ -24,6 +24,7 @@ from webloom.operators.politeness import fetch_schedule
 from webloom.operators.robots import allowed_by_join, is_url_allowed, parse_robots, parse_robots_table
 from webloom.operators.sitemaps import common_sitemaps, discover_many, discover_sitemaps, parse_sitemap_table, sitemap_levels, urls_of
 from webloom.plans.crawl import bfs_levels, crawl_batch, followable, start
+from webloom.plans.endpoints import BAD_FORMAT, NO_URL, discover_answers, fetch_answers
 from webloom.plans.many import crawl_many
 from webloom.plans.recursive import sitemap_tree, walk
 from webloom.plans.report import page_report as report_of
@@ -452,6 +453,18 @@ def sitemap_discover_totals(spark, sf_dir):
     return every_top(spark, sf_dir).summary
 
 
+@query(EACH_TOP.replace("ord < 12", "ord < 50") + f"""SELECT top AS url, 200 AS status, top AS host, count(*) AS n_sitemaps, CAST(coalesce(sum(n) FILTER (type = 'urlset'), 0) AS BIGINT) AS total_urls,
+(SELECT count(*) FROM a WHERE a.top = k.top) > 50 AS has_more, string_agg(source, ' ' ORDER BY ord) AS sitemaps, NULL AS error FROM k GROUP BY top
+UNION ALL SELECT NULL, 400, NULL, NULL, NULL, NULL, NULL, '{NO_URL.replace("'", "''")}' UNION ALL SELECT 'https://', 500, NULL, NULL, NULL, NULL, NULL, 'Invalid URL'""")
+def discover_endpoint(spark, sf_dir):
+    """The discover endpoint for every top-level label, a request without url and one that is no URL."""
+    store = sitemap_files(spark, sf_dir)
+    odd = pages_of(spark, sf_dir).filter("page_id < 2").select(F.when(F.col("page_id") == 0, "https://").alias("url"))
+    asked = store.select(F.element_at(F.split("host", r"\."), -1).alias("url")).unionByName(odd)
+    found = discover_answers(PageStore(pages_of(spark, sf_dir).limit(0), sitemaps=store), asked).answers
+    return found.withColumn("sitemaps", F.array_join(F.transform("sitemaps", lambda x: x["url"]), " "))
+
+
 @query(DISCOVERED + f"""SELECT 0 :: BIGINT AS seq, 'https://' || min(top) || '/' AS url, 0 :: BIGINT AS depth FROM t UNION ALL
 SELECT * FROM (SELECT row_number() OVER (ORDER BY ord, pos) AS seq, {NORM} AS url, 0 :: BIGINT FROM d WHERE ord < 50 ORDER BY seq LIMIT 199)""")
 def crawl_start(spark, sf_dir):
@@ -668,6 +681,54 @@ def crawl_followable(spark, sf_dir):
     return followable(links, fr.CrawlConfig("https://example.com", include_subdomains=True, exclude_patterns=("**/es/**",)), "example.com").select("page_id", "url")
 
 
+# One page for each normalised URL, the least html.
+def least_pages(spark, sf_dir) -> DataFrame:
+    return pages_of(spark, sf_dir).groupBy(normalize_url(F.col("url")).alias("url")).agg(F.min("html").alias("html"))
+
+
+LEAST = f"w AS (SELECT {NORM} AS u, min(html) AS html, any_value({HOST}) AS host FROM pages GROUP BY 1)"
+
+
+@query(f"""WITH {LEAST}, q AS (SELECT page_id, page_id % 4 = 1 AS bad, CASE page_id % 4 WHEN 2 THEN '' WHEN 3 THEN 'https://example.com/' ELSE {NORM} END AS u FROM pages),
+a AS (SELECT page_id, bad, CASE WHEN NOT bad THEN w.html END AS body FROM q LEFT JOIN w USING (u))
+SELECT page_id, CASE WHEN bad THEN 'pdf' ELSE 'html' END AS format, CASE WHEN bad THEN 400 WHEN body IS NULL THEN 500 ELSE 200 END AS status,
+CASE WHEN body IS NULL THEN 'application/json' ELSE 'text/html; charset=utf-8' END AS content_type, body, CASE WHEN bad THEN '{BAD_FORMAT}' WHEN body IS NULL THEN 'page not in store' END AS error FROM a""")
+def fetch_endpoint(spark, sf_dir):
+    """The fetch endpoint: pages, a format that is none, pages that are missing, requests without url (the default page)."""
+    i = F.col("page_id") % 4
+    asked = pages_of(spark, sf_dir).select("page_id", F.when(i < 2, F.col("url")).when(i == 2, F.concat(normalize_url(F.col("url")), F.lit("-none"))).alias("url"), F.when(i == 1, "pdf").otherwise("html").alias("format"))
+    return fetch_answers(PageStore(least_pages(spark, sf_dir)), asked).drop("url")
+
+
+@query(f"""WITH {RULES}, {LEAST},
+a AS (SELECT u, coalesce(arg_max(allow, n * 2 + allow :: INT), TRUE) AS ok FROM w JOIN h USING (host) LEFT JOIN r ON r.kind = h.kind AND regexp_matches(regexp_extract(u, '^https?://[^/?#]*([^#]*)', 1), re) GROUP BY u)
+SELECT u AS url, CASE WHEN ok THEN 200 END AS status_code, CASE WHEN ok THEN html END AS content FROM a JOIN w USING (u)""")
+def fetch_obeying_robots(spark, sf_dir):
+    pages = least_pages(spark, sf_dir)
+    return PageStore(pages, robots_files(spark, sf_dir)).fetch(pages.select("url"), obey_robots=True)
+
+
+@query(f"""WITH {LEAST}, f AS (SELECT u, CASE WHEN length(u) % 3 = 0 THEN u || '-frame' WHEN length(u) % 3 = 1 THEN u || '-none' ELSE u || '-frame' END AS src FROM w)
+SELECT u AS url, '<body><iframe src="' || src || '"></iframe>' || CASE WHEN src LIKE '%-frame' THEN '<div>$1 \\ framed by ' || u || '</div>' ELSE '' END || ' end</body>' AS content FROM f""")
+def fetch_with_frames(spark, sf_dir):
+    """Every page holds a frame; two in three frames have a page."""
+    pages = least_pages(spark, sf_dir)
+    src = F.concat("url", F.when(F.length("url") % 3 == 1, "-none").otherwise("-frame"))
+    outer = pages.select("url", F.concat(F.lit('<body><iframe src="'), src, F.lit('"></iframe> end</body>')).alias("html"))
+    inner = pages.select(F.concat("url", F.lit("-frame")).alias("url"), F.concat(F.lit("<html><body class='x'>$1 \\ framed by "), "url", F.lit("</body></html>")).alias("html"))
+    return PageStore(outer.unionByName(inner)).fetch(outer.select("url"), with_frames=True).select("url", "content")
+
+
+@query(f"""WITH {RULES}, s AS (SELECT DISTINCT host, kind, CASE WHEN length(host) % 2 = 0 THEN host ELSE 'https://' || host || '/a/b?c' END AS site FROM h)
+SELECT site, host, 'https://' || host || '/robots.txt' AS robots_url, kind <> 1 AS found FROM s""")
+def robots_read_many(spark, sf_dir):
+    """robots.txt of all hosts, named by host or by some URL; a third of them have none."""
+    files = robots_files(spark, sf_dir)
+    site = F.when(F.length("host") % 2 == 0, F.col("host")).otherwise(F.concat(F.lit("https://"), "host", F.lit("/a/b?c")))
+    store = PageStore(pages_of(spark, sf_dir).limit(0), files.filter(F.length("host") % 3 != 1))
+    return store.robots_for(files.select(site.alias("site"))).select("site", "host", "robots_url", F.col("content").isNotNull().alias("found"))
+
+
 # A page that SQL can write as markdown and as an outline.
 @query(f"""SELECT page_id, '# Page ' || page_id || chr(10) || chr(10) || 'Some **bold** text & [go on](' || {ORIGIN} || '/x/' || page_id || ') ![pic](' || {ORIGIN} || '/p.png)' || chr(10) || chr(10) || '- a' || chr(10) || '- b' AS markdown,
 'Page ' || page_id AS heading, CAST(11 AS BIGINT) AS nodes FROM pages""")
