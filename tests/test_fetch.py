@@ -45,7 +45,7 @@ def live(spark):
 def test_filters_choose_the_requests(server, live):
     base, asked = server
     other = base.replace("127.0.0.1", "localhost")
-    pages = live.option("urls", f"{base}/a {base}/b {other}/c {base}/da {base}/db").load()
+    pages = live.option("pushdown", "true").option("urls", f"{base}/a {base}/b {other}/c {base}/da {base}/db").load()
     for condition, want in (("host = 'localhost'", ["/c"]), (f"url IN ('{base}/a', '{base}/b')", ["/a", "/b"]), (f"url LIKE '{base}/d%' AND html NOT LIKE '/db%'", ["/da"]), ("url = 'http://x.org/'", [])):
         asked.clear()
         assert sorted(r.html.split()[0] for r in pages.filter(condition).collect()) == want

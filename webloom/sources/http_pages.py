@@ -54,6 +54,7 @@ class _Options:
         self.limit = int(get("maxBytes", str(100 << 20)))
         self.insecure = get("insecureTls", "false").lower() == "true"
         self.obey = get("obeyRobots", "false").lower() == "true"
+        self.pushdown = get("pushdown", "false").lower() == "true"
         self.at_once = int(get("maxUrlsPerBatch", "100"))
         if self.at_once < 1:
             raise ValueError("maxUrlsPerBatch must be 1 or more")
@@ -113,8 +114,8 @@ class _Options:
 class HttpPages(DataSource):
     """spark.read.format("webloom_http").option("urls", "u1 u2").load(): one row per URL.
 
-    An error, a body of more than maxBytes or, with obeyRobots, a URL that robots.txt disallows gives a null html. Equality, IN and prefix filters on url, and equality and IN
-    on host, choose what is requested at all (spark.sql.python.filterPushdown.enabled). As a stream a batch takes the next maxUrlsPerBatch URLs; its offset is their number.
+    An error, a body of more than maxBytes or, with obeyRobots, a URL that robots.txt disallows gives a null html. With pushdown, which
+    needs spark.sql.python.filterPushdown.enabled, equality, IN and prefix filters on url, and equality and IN on host, choose what is requested at all. As a stream a batch takes the next maxUrlsPerBatch URLs; its offset is their number.
     """
 
     @classmethod
@@ -125,7 +126,8 @@ class HttpPages(DataSource):
         return "url string, status_code int, html string, error string, host string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _HttpReader(_Options(self.options))
+        options = _Options(self.options)
+        return _FilteredReader(options) if options.pushdown else _HttpReader(options)
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _HttpStream(_Options(self.options))
@@ -135,6 +137,14 @@ class _HttpReader(DataSourceReader):
     def __init__(self, options: _Options):
         self.options, self.urls = options, options.urls
 
+    def partitions(self) -> list[InputPartition]:
+        return self.options.split(self.urls) or [_Urls([])]
+
+    def read(self, partition: _Urls) -> Iterator[tuple]:
+        return self.options.rows(partition.urls)
+
+
+class _FilteredReader(_HttpReader):
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
             column = f.attribute[0] if hasattr(f, "attribute") else None
@@ -148,12 +158,6 @@ class _HttpReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[InputPartition]:
-        return self.options.split(self.urls) or [_Urls([])]
-
-    def read(self, partition: _Urls) -> Iterator[tuple]:
-        return self.options.rows(partition.urls)
-
 
 class _HttpStream(DataSourceStreamReader):
     def __init__(self, options: _Options):
