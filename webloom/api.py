@@ -1,5 +1,6 @@
 """Public names in one place."""
 
+from webloom.functions.jsonld import json_ld_fields, json_ld_nodes, json_ld_profile, json_ld_schemas
 from webloom.functions.metadata import extract_metadata
 from webloom.functions.render import render_html
 from webloom.functions.text import strip_html_to_text
@@ -21,6 +22,6 @@ from webloom.streaming.keyed import first_seen, polite_stream
 
 __all__ = [
     "CrawlConfig", "PageStore", "allowed_by_join", "bfs_levels", "crawl_batch", "crawl_many", "crawl_stream", "decode_cursor", "discover_answers", "discover_many", "discover_sitemaps", "encode_cursor",
-    "extract_images", "extract_metadata", "fetch_answers", "fetch_schedule", "first_seen", "is_url_allowed", "links_table", "matches_pattern", "normalize_url", "page_preset", "page_report", "page_rows",
+    "extract_images", "extract_metadata", "fetch_answers", "fetch_schedule", "first_seen", "is_url_allowed", "json_ld_fields", "json_ld_nodes", "json_ld_profile", "json_ld_schemas", "links_table", "matches_pattern", "normalize_url", "page_preset", "page_report", "page_rows",
     "parse_robots", "parse_sitemap", "passes_domain_filter", "polite_stream", "register_functions", "render_html", "sitemap_pages", "sitemap_tree", "strip_html_to_text", "url_hash", "walk", "with_links",
 ]

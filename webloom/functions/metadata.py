@@ -132,13 +132,14 @@ def twitter_of(head: Column) -> Column:
 
 
 def canonical_json(text: str) -> str | None:
-    """Strictly parsed JSON in canonical form; None where it is malformed."""
+    """Strictly parsed JSON in canonical form; None where it is malformed. Lone surrogates, which UTF-8 can't hold, stay escapes."""
 
     def refuse(name: str):
         raise ValueError(name)
 
     try:
-        return json.dumps(json.loads(text, parse_constant=refuse), ensure_ascii=False, separators=(",", ":"))
+        form = json.dumps(json.loads(text, parse_constant=refuse), ensure_ascii=False, separators=(",", ":"))
+        return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", form)
     except (ValueError, RecursionError):
         return None
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from webloom.functions.jsonld import json_ld_fields, json_ld_nodes, json_ld_profile, json_ld_schemas
 from webloom.functions.metadata import canonical_of, head_of, json_ld_of, language_of, meta_content, title_of, with_metadata
 from webloom.functions.render import render_html
 from webloom.functions.text import strip_html_to_text, utf16_length
@@ -173,6 +174,57 @@ def page_jsonld(spark, sf_dir):
     return ld.select("page_id", F.coalesce(F.size("ld"), F.lit(0)).cast("long").alias("n_json_ld"), F.get("ld", F.lit(0)).alias("first"))
 
 
+# JSON-LD: scripts of six kinds by page_id: a graph, a list, equal keys, malformed ones, a text and an untyped node, none.
+LD_SCRIPTS = (
+    ('{"@context":"https://schema.org","@graph":[{"@type":"WebPage","@id":"#p%1$s","name":"Page %1$s"},{"@type":["Article","NewsArticle"],"headline":"H%1$s","wordCount":%1$s,"isAccessibleForFree":true}]}',),
+    ('[{"@type":"Product","name":"P%1$s","offers":{"price":%1$s.5,"priceCurrency":"EUR"}},{"@type":"Product","name":null}]',),
+    ('{"@type":"Product","name":"Q%1$s","name":"R%1$s","offers":[{"price":"%1$s"}]}',),
+    ('{"@type":"Article",}', '{"@type":"Article","headline":"X"} more'),
+    ('"text %1$s"', '{"name":"untyped %1$s"}'),
+    (),
+)
+
+
+def with_scripts(spark, sf_dir) -> DataFrame:
+    def html(scripts: tuple[str, ...]):
+        return F.format_string("<head>" + "".join(f'<script type="application/ld+json">{x}</script>' for x in scripts) + "</head>", F.col("page_id").cast("string"))
+
+    kind = F.col("page_id") % 6
+    return pages_of(spark, sf_dir).withColumn("html", F.concat(functools.reduce(lambda c, k: c.when(kind == k, html(LD_SCRIPTS[k])), range(1, 6), F.when(kind == 0, html(LD_SCRIPTS[0]))), "html"))
+
+
+LD = """WITH n AS (SELECT page_id, script :: BIGINT AS script, node_pos :: BIGINT AS node_pos, CASE WHEN k = 0 AND node_pos = 0 THEN '#p' || page_id END AS id, types,
+ CASE WHEN k = 0 AND node_pos = 0 THEN 'Page ' || page_id WHEN k = 1 AND node_pos = 0 THEN 'P' || page_id WHEN k = 2 THEN 'R' || page_id WHEN k = 4 THEN 'untyped ' || page_id END AS name,
+ CASE WHEN k = 0 AND node_pos = 1 THEN 'H' || page_id END AS headline, CASE WHEN k = 0 AND node_pos = 1 THEN page_id :: BIGINT END AS word_count,
+ CASE WHEN k = 1 AND node_pos = 0 THEN page_id + 0.5 :: DOUBLE WHEN k = 2 THEN page_id :: DOUBLE END AS price, fields
+ FROM (SELECT page_id, page_id % 6 AS kind FROM pages) JOIN (VALUES
+ (0, 0, 0, 'WebPage', ['@id:string', '@type:string', 'name:string']), (0, 0, 1, 'Article,NewsArticle', ['@type:array', 'headline:string', 'isAccessibleForFree:boolean', 'wordCount:number']),
+ (1, 0, 0, 'Product', ['@type:string', 'name:string', 'offers:object']), (1, 0, 1, 'Product', ['@type:string', 'name:null']),
+ (2, 0, 0, 'Product', ['@type:string', 'name:string', 'offers:array']), (4, 1, 0, '', ['name:string'])) v(k, script, node_pos, types, fields) ON k = kind)
+"""
+
+
+@query(LD + "SELECT page_id, script, node_pos, id, types, name, headline, word_count, price FROM n")
+def jsonld_nodes(spark, sf_dir):
+    """Typed fields of each JSON-LD node."""
+    rows = json_ld_fields(json_ld_nodes(with_scripts(spark, sf_dir), keep=["page_id"]), {"name": ("$.name", "string"), "headline": ("$.headline", "string"), "word_count": ("$.wordCount", "long"), "price": (("$.offers.price", "$.offers[0].price"), "double")})
+    return rows.withColumn("types", F.array_join("types", ",")).drop("node")
+
+
+@query(LD + "SELECT type, split_part(f, ':', 1) AS field, split_part(f, ':', 2) AS kind, count(*) AS n FROM (SELECT unnest(string_split(types, ',')) AS type, fields FROM n), unnest(fields) AS u(f) GROUP BY ALL")
+def jsonld_profile(spark, sf_dir):
+    """Fields and their kinds by type."""
+    return json_ld_profile(json_ld_nodes(with_scripts(spark, sf_dir)))
+
+
+@query(LD + """SELECT type, count(*) AS n, CASE type WHEN '' THEN 'OBJECT<name: STRING>' WHEN 'WebPage' THEN 'OBJECT<`@id`: STRING, `@type`: STRING, name: STRING>'
+ WHEN 'Product' THEN CASE WHEN count(DISTINCT fields[3]) > 1 THEN 'OBJECT<`@type`: STRING, name: STRING, offers: VARIANT>' END ELSE 'OBJECT<`@type`: ARRAY<STRING>, headline: STRING, isAccessibleForFree: BOOLEAN, wordCount: BIGINT>' END AS schema
+ FROM (SELECT unnest(string_split(types, ',')) AS type, fields FROM n) GROUP BY type""")
+def jsonld_schemas(spark, sf_dir):
+    """The merged schema of the nodes of each type."""
+    return json_ld_schemas(json_ld_nodes(with_scripts(spark, sf_dir)))
+
+
 # Markdown: a page's navigation anchors as links to its own host, with noise that the rules must drop.
 ANCHOR = r'(?s)<a href="(/[A-Za-z0-9_/.-]*)">([^<]*)</a>'
 
