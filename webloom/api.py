@@ -15,13 +15,14 @@ from webloom.plans.endpoints import discover_answers, fetch_answers
 from webloom.plans.many import crawl_many
 from webloom.plans.recursive import sitemap_tree, walk
 from webloom.plans.report import page_report, page_rows, sitemap_pages
+from webloom.plans.versions import VersionedCrawl
 from webloom.sources.page_store import PageStore
 from webloom.sql import register_functions
 from webloom.streaming.ingest import crawl_stream
 from webloom.streaming.keyed import first_seen, polite_stream
 
 __all__ = [
-    "CrawlConfig", "PageStore", "allowed_by_join", "bfs_levels", "crawl_batch", "crawl_many", "crawl_stream", "decode_cursor", "discover_answers", "discover_many", "discover_sitemaps", "encode_cursor",
+    "CrawlConfig", "PageStore", "VersionedCrawl", "allowed_by_join", "bfs_levels", "crawl_batch", "crawl_many", "crawl_stream", "decode_cursor", "discover_answers", "discover_many", "discover_sitemaps", "encode_cursor",
     "extract_images", "extract_metadata", "fetch_answers", "fetch_schedule", "first_seen", "is_url_allowed", "json_ld_fields", "json_ld_nodes", "json_ld_profile", "json_ld_schemas", "links_table", "matches_pattern", "normalize_url", "page_preset", "page_report", "page_rows",
     "parse_robots", "parse_sitemap", "passes_domain_filter", "polite_stream", "register_functions", "render_html", "sitemap_pages", "sitemap_tree", "strip_html_to_text", "url_hash", "walk", "with_links",
 ]

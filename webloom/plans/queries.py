@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,6 +31,8 @@ from webloom.plans.many import crawl_many
 from webloom.plans.recursive import sitemap_tree, walk
 from webloom.plans.report import page_report as report_of
 from webloom.plans.report import page_rows, sitemap_pages
+from webloom.plans.versions import VersionedCrawl
+from webloom.scratch import checkpoint_base
 from webloom.session import ship
 from webloom.sources.page_store import PageStore
 
@@ -616,6 +619,19 @@ def crawl_bfs_recursive(spark, sf_dir):
     return walk(*graph(spark, sf_dir), max_depth=6)
 
 
+@query(BFS)
+def crawl_bfs_versioned(spark, sf_dir):
+    """The same traversal, stopped after two levels and resumed from its versioned tables."""
+    path = f"{checkpoint_base(spark)}/crawl-{uuid.uuid4().hex}"
+    first = VersionedCrawl(spark, path)
+    first.start(*graph(spark, sf_dir))
+    first.resume(levels=2)
+    first.forget()
+    state = VersionedCrawl(spark, path)
+    state.resume(max_depth=6)
+    return state.visited()
+
+
 @query()
 def crawl_bfs_whole(spark, sf_dir):
     """Every reachable page: as many levels as the longest chain of a host has, so no recursive SQL."""
