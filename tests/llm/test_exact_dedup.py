@@ -45,3 +45,9 @@ def test_dedup_and_hot_group(spark, monkeypatch):
     left = {(d, sha) for d, _, _, kept, sha in want(ROWS) if kept}
     assert sorted(str((r.doc_id, hashlib.sha256(norm(r.text).encode()).hexdigest())) for r in got.collect()) == sorted(map(str, left))
     assert exact_dedup.groups(df.limit(0)).collect() == []
+
+
+def test_very_long_texts(spark):
+    text = "".join(f"word{i % 9973} of {i}, " for i in range(150_000))
+    rows = [(4, text), (2, text.replace(" ", "\n\t")), (3, text + "."), (9, "." + text)]
+    assert sorted(map(tuple, exact_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == want(rows)

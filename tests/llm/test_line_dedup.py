@@ -47,3 +47,12 @@ def test_templates_of_a_large_leaf(spark, monkeypatch):
         monkeypatch.setattr("webloom.llm._common.HOT_ROWS", hot_rows)
         got = line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"))
         assert sorted((r.doc_id, r.n_dropped, r.text_sha256) for r in got.collect()) == want
+
+
+def test_long_text(spark):
+    """A text of 30,000 lines, half of which go, among them the first, the last and neighbours; and one line of two million characters."""
+    lines = ["Read all of it here", *(f"Item {k} of the list" if k % 4 < 2 else ["", "word " * (k % 5) + "abcdefghij"[k // 4 % 10] * (k % 97)][k % 2] for k in range(30_000)), "Read all of it here"]
+    rows = [(1, "\n".join(lines)), (2, "x" * 2_000_000), (3, "\n")] + [(10 + i, "Item 7 of the list\nRead all of it here") for i in range(12)]
+    got = line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(d, n, hashlib.sha256(t.encode()).hexdigest()) for d, n, t in line_dedup.brute_force(rows, line_dedup.MIN_DOCS)]
+    assert sorted((r.doc_id, r.n_dropped, r.text_sha256) for r in got.collect()) == want and want[0][1] == 15_002

@@ -155,3 +155,11 @@ def test_dedup_decides_by_row(spark):
     assert ngram_join.dedup(df).columns == df.columns
     got = ngram_join.dedup(df).collect()
     assert sorted((str(r.doc_id), (r.text or "")[:2]) for r in got) == [("1", "a0"), ("5", "b0"), ("7", "e0"), ("8", ""), ("8", ""), ("None", "c0"), ("None", "d0")]
+
+
+def test_very_long_texts(spark):
+    """Two texts of 200,000 words that share most of them link, and a third that shares a fifth doesn't."""
+    words = [f"w{i}" for i in range(200_000)]
+    rows = [(7, " ".join(words)), (3, " ".join([*words[:190_000], *(f"x{i}" for i in range(10_000))])), (1, " ".join([*words[:40_000], *(f"y{i}" for i in range(160_000))])), (9, "w" * 1_000_000)]
+    got = ngram_join.components_of(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == [(1, 199_997, 1), (3, 199_997, 3), (7, 199_997, 3), (9, 1, 9)]

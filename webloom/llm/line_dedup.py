@@ -148,9 +148,11 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", tex
     places = map_arrow(_keyed(docs, id_col, text_col), _places_task, "doc long, pos int, mask long")
     hit = keyed_filter(places, gone, "mask", "left_semi").select("doc", "pos").distinct()
     doc, held = fresh(docs, "doc"), fresh(docs, "gone")
-    bad = save(hit.groupBy(F.col("doc").alias(doc)).agg(F.collect_list("pos").alias(held)), "hit-lines")
+    bad = save(hit.groupBy(F.col("doc").alias(doc)).agg(F.array_sort(F.collect_list("pos")).alias(held)), "hit-lines")
     rows = keyed_filter(docs.withColumn(doc, F.xxhash64(F.col(f"`{id_col}`"), text)), bad, doc, "left").select(*(f"`{c}`" for c in docs.columns), held)
-    left = F.array_join(F.filter(_split(text), lambda _, i: ~F.array_contains(held, i)), "\n")
+    # A flag a line, from the gaps between the lines that go, so that the time grows with the lines and not with their square; array_join passes over nulls.
+    flags = F.flatten(F.transform(F.col(held), lambda p, i: F.concat(F.array_repeat(F.lit(False), p - F.coalesce(F.get(F.col(held), i - 1), F.lit(-1)) - 1), F.array(F.lit(True)))))
+    left = F.array_join(F.zip_with(_split(text), flags, lambda line, go: F.when(go, None).otherwise(line)), "\n")
     out = rows.withColumn(text_col, F.when(F.col(held).isNull(), text).otherwise(left))
     if counter:
         out = out.withColumn(counter, F.coalesce(F.size(held), F.lit(0)).cast("long"))
