@@ -25,6 +25,7 @@ from webloom.operators.links import inlink_counts, link_counts, links_table, wit
 from webloom.operators.politeness import fetch_schedule
 from webloom.operators.robots import allowed_by_join, is_url_allowed, parse_robots, parse_robots_table
 from webloom.operators.sitemaps import common_sitemaps, discover_many, discover_sitemaps, parse_sitemap_table, sitemap_levels, urls_of
+from webloom.plans.blocks import bfs_whole
 from webloom.plans.crawl import bfs_levels, crawl_batch, followable, start
 from webloom.plans.endpoints import BAD_FORMAT, NO_URL, discover_answers, fetch_answers
 from webloom.plans.many import crawl_many
@@ -591,12 +592,12 @@ def cursor_short(spark, sf_dir):
     return queue(spark, sf_dir).select("seq", fr.short_cursor(F.struct("url", "depth")).alias("cursor"))
 
 
-# Page graph: each page links to the next one to three pages of its host.
-def graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+# Page graph: each page links to the next one to three pages of its host. near: edges have a column near, the page_id of the page that links.
+def graph(spark, sf_dir, near: bool = False) -> tuple[DataFrame, DataFrame]:
     pages = pages_of(spark, sf_dir).select("page_id", normalize_url(F.col("url")).alias("url")).withColumn("host", safe_host(F.col("url")))
     w = Window.partitionBy("host").orderBy("page_id")
     ahead = [F.when(F.col("page_id") % 3 >= k - 1, F.lead("url", k).over(w)) for k in (1, 2, 3)]
-    edges = pages.withColumn("ahead", F.array(*ahead)).select(F.col("url").alias("src"), F.explode("ahead").alias("dst")).filter("dst is not null")
+    edges = pages.withColumn("ahead", F.array(*ahead)).select(F.col("url").alias("src"), F.explode("ahead").alias("dst"), *[F.col("page_id").alias("near")] * near).filter("dst is not null")
     seeds = pages.groupBy("host").agg(F.min_by("url", "page_id").alias("url")).select("url")
     return seeds, edges
 
@@ -634,9 +635,9 @@ def crawl_bfs_versioned(spark, sf_dir):
 
 @query()
 def crawl_bfs_whole(spark, sf_dir):
-    """Every reachable page: as many levels as the longest chain of a host has, so no recursive SQL."""
-    seeds, edges = graph(spark, sf_dir)
-    return bfs_levels(seeds, edges, max_depth=None)
+    """Every reachable page: as many levels as the longest chain of a host has, so no recursive SQL and no round a level."""
+    seeds, edges = graph(spark, sf_dir, near=True)
+    return bfs_whole(seeds, edges, "near")
 
 
 @query(f"""WITH {RULES}, p AS (SELECT page_id, {HOST} AS host, {NORM} AS u FROM pages),
