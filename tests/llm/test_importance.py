@@ -93,3 +93,25 @@ def test_weights_and_draw_against_plain_counting(spark):
 def test_long_text(spark):
     df = spark.createDataFrame([(1, "word " * 300_000), (2, "w" * 500_000)], "doc_id long, text string")
     assert [x.kept for x in I.weigh(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()] == [True, True]
+
+
+@pytest.mark.parametrize("n,share", [(0, 0.5), (1, 0.3), (2, 0.25), (90, 0.005), (90, 0.2), (101, 0.01), (101, 1.0)])
+def test_percentile_of_all_values(spark, n, share):
+    r = random.Random(n)
+    values = np.array([r.choice([r.uniform(-1e9, 1e9), r.uniform(-1e-9, 1e-9), float(r.randrange(-2, 3))]) for _ in range(n)])
+    longs = [(v,) for v in I._ordered(values.view(np.int64)).tolist()]
+    got = I._percentile(spark.createDataFrame(longs, "v long"), share)
+    want = spark.createDataFrame([(v,) for v in values.tolist()], "v double").selectExpr(f"percentile(v, {share}D)").first()[0]
+    assert got == want and (n == 0 or got == pytest.approx(np.percentile(values, 100 * share), rel=1e-12))
+
+
+def test_every_wanted_label_counts(spark):
+    """More wanted labels than the 20,000 that an earlier version took."""
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice("abcdefghij") for _ in range(4))) for i in range(23_000)]
+    labels = [(i, 1, 0) for i in range(22_000)]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in I.weigh(df, lab, recall=0.7).collect()}
+    weight, held = plain_weights(spark, rows, labels)
+    assert max(abs(got[d].weight - w) for d, w in weight.items()) < 1e-6
+    assert {d for d, x in got.items() if x.kept} == plain_draw(weight, held, {d: x.noisy for d, x in got.items()}, 0.7)
